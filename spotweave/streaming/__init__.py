@@ -1,0 +1,4 @@
+"""No streaming operators: the data model is two finished matrices.
+
+The package exists so that the layout stays the same if that changes.
+"""
