@@ -1,7 +1,7 @@
 """Graphs over matrix rows: neighbour graph, modularity, community search.
 
 Edges are DataFrames; iterations are DataFrame joins whose lineage is cut by a
-reliable checkpoint.
+write to shared storage.
 """
 
 from __future__ import annotations
@@ -171,7 +171,8 @@ def _local_moves(edges: DataFrame, nodes: DataFrame, resolution: float, rounds:
                 "label",
             )
         )
-        # Every round feeds the next twice; without a cut the plan doubles each time.
+        # A round reads the last labels several times; without a cut the plan would
+        # grow by that factor each round.
         saved = cut_lineage(moved)
         changed = saved.where(F.col("new") != F.col("label")).limit(1).count()
         labels = saved.select("v", F.col("new").alias("label"), "deg")
@@ -210,7 +211,7 @@ def communities(
     edges: DataFrame,
     resolution: float = RESOLUTION,
     levels: int = 2,
-    rounds: int = 12,
+    rounds: int = 8,
     vertices: DataFrame | None = None,
 ) -> DataFrame:
     """``(obs_id, c, name)``: communities of a graph by modularity, numbered by size.

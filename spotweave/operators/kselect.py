@@ -114,8 +114,8 @@ def overall(scores: DataFrame, keys: tuple[str, ...] | None = None) -> Column:
     return F.when(good, F.try_divide(F.lit(float(len(keys))), total)).otherwise(F.lit(NAN))
 
 
-def pareto_flag(scores: DataFrame, keys: tuple[str, ...] | None = None) -> Column:
-    """True for rows no other row beats: at least as good on all scores, better on one.
+def with_pareto(scores: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
+    """Adds ``pareto``: no other row is at least as good on all scores and better on one.
 
     A missing score is the worst value. Equal rows keep each other.
     """
@@ -127,24 +127,25 @@ def pareto_flag(scores: DataFrame, keys: tuple[str, ...] | None = None) -> Colum
         return F.when(is_finite(v), v).otherwise(low)
 
     point = F.struct(*[value(k).alias(k) for k in keys])
-    # The table's points, one per K, as a single value.
+    # The table's points, one per K, as a single value beside every row.
     points = scores.agg(F.collect_list(point)).scalar()
 
     def beats(p: Column) -> Column:
         all_ge, any_gt = F.lit(True), F.lit(False)
         for k in keys:
-            all_ge = all_ge & (p[k] >= value(k))
-            any_gt = any_gt | (p[k] > value(k))
+            all_ge = all_ge & (p[k] >= F.col("_own")[k])
+            any_gt = any_gt | (p[k] > F.col("_own")[k])
         return all_ge & any_gt
 
-    return ~F.exists(points, beats)
+    wide = scores.withColumn("_own", point).withColumn("_points", points)
+    return wide.withColumn("pareto", ~F.exists("_points", beats)).drop("_own", "_points")
 
 
 def score_metrics(table: DataFrame) -> DataFrame:
     """The metric table with one score per criterion, ``overall`` and ``pareto``."""
     scores = score_table(table)
-    extra = scores.select(
-        "k", *[c.key for c in CRITERIA], overall(scores).alias("overall"), pareto_flag(scores).alias("pareto")
+    extra = with_pareto(scores.withColumn("overall", overall(scores))).select(
+        "k", *[c.key for c in CRITERIA], "overall", "pareto"
     )
     return table.join(extra, "k").orderBy("k")
 

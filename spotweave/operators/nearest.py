@@ -18,36 +18,40 @@ DIGITS = 9  # scores are ranked after rounding; ties go to the lowest state
 
 
 def cluster_dots(counts: DataFrame, obs: DataFrame, sums: DataFrame, n_clusters: int) -> DataFrame:
-    """``(obs_id, dots ARRAY, ldots ARRAY, nn, ln)``: dot products of each row with every
-    cluster sum, raw and log-normalised, and its squared norms. Rows of ``obs`` without
-    counts stay, with zeros.
+    """``(obs_id, dots ARRAY<STRUCT<c, d, e>>, nn, ln)``: dot products of each row with the
+    cluster sums, raw (d) and log-normalised (e), and its squared norms.
 
-    The cluster side is one row per feature with L numbers per value. The sums below
-    are combined on the map side, so one row per spot and task is shuffled.
+    Products are combined on the map side before the shuffle, so at most L numbers
+    per row and task move. Rows of ``obs`` without counts stay; every row lists every
+    cluster, those it shares nothing with as zeros.
     """
-    ids = range(n_clusters)
-    wide = sums.groupBy("feature").agg(
-        *[F.sum(F.when(F.col("c") == i, F.col("sx"))).alias(f"w{i}") for i in ids],
-        *[F.sum(F.when(F.col("c") == i, F.col("slx"))).alias(f"v{i}") for i in ids],
+    products = (
+        counts.select("obs_id", "feature", "x", "lx")
+        .join(sums, "feature")
+        .groupBy("obs_id", "c")
+        .agg(F.sum(F.col("x") * F.col("sx")).alias("d"), F.sum(F.col("lx") * F.col("slx")).alias("e"))
     )
-    zero = F.lit(0.0)
-    met = counts.select("obs_id", "feature", "x", "lx").join(wide, "feature", "left").drop("feature")
-    empty = obs.select("obs_id", zero.alias("x"), zero.alias("lx"))
-    rows = met.unionByName(empty, allowMissingColumns=True)
+    norms = counts.groupBy("obs_id").agg(
+        F.sum(F.col("x") * F.col("x")).alias("d"), F.sum(F.col("lx") * F.col("lx")).alias("e")
+    )
+    rows = products.unionByName(norms.withColumn("c", F.lit(-1))).unionByName(
+        obs.select("obs_id"), allowMissingColumns=True
+    )
+    zeros = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(0.0).alias("d"), F.lit(0.0).alias("e")) for c in range(n_clusters)])
+    is_norm = F.col("c") == -1
     return (
         rows.groupBy("obs_id")
         .agg(
-            *[F.sum(F.col("x") * F.coalesce(F.col(f"w{i}"), zero)).alias(f"d{i}") for i in ids],
-            *[F.sum(F.col("lx") * F.coalesce(F.col(f"v{i}"), zero)).alias(f"e{i}") for i in ids],
-            F.sum(F.col("x") * F.col("x")).alias("nn"),
-            F.sum(F.col("lx") * F.col("lx")).alias("ln"),
+            # Bounded by the number of clusters.
+            F.collect_list(F.when(F.col("c") >= 0, F.struct("c", "d", "e"))).alias("dots"),
+            F.sum(F.when(is_norm, F.col("d"))).alias("nn"),
+            F.sum(F.when(is_norm, F.col("e"))).alias("ln"),
         )
         .select(
             "obs_id",
-            F.array(*[F.col(f"d{i}") for i in ids]).alias("dots"),
-            F.array(*[F.col(f"e{i}") for i in ids]).alias("ldots"),
-            "nn",
-            "ln",
+            F.concat("dots", zeros).alias("dots"),
+            F.coalesce("nn", F.lit(0.0)).alias("nn"),
+            F.coalesce("ln", F.lit(0.0)).alias("ln"),
         )
     )
 
@@ -86,15 +90,14 @@ def state_scores(dots: DataFrame, weights: DataFrame) -> DataFrame:
     whose norms carry ``EPS``. The grouping keeps the partitioning by ``obs_id``: no
     further shuffle.
     """
-    pairs = F.posexplode(F.arrays_zip("dots", "ldots")).alias("c", "e")
     # `weights` has L rows per K and was built on the driver from known sizes.
     rolled = (
-        dots.select("obs_id", "nn", "ln", pairs)
+        dots.select("obs_id", "nn", "ln", F.inline("dots"))
         .join(F.broadcast(weights), "c")
         .groupBy("k", "obs_id", "state")
         .agg(
-            F.sum(F.col("e.dots") * F.col("w")).alias("dot"),
-            F.sum(F.col("e.ldots") * F.col("w")).alias("ldot"),
+            F.sum(F.col("d") * F.col("w")).alias("dot"),
+            F.sum(F.col("e") * F.col("w")).alias("ldot"),
             *[F.first(c).alias(c) for c in ("nn", "ln", "mm", "lmm")],
         )
     )

@@ -54,10 +54,14 @@ def assign_boxes_table(spots: DataFrame, boxes: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("box", "x0", "y0", "x1", "y1")))
     ).scalar()
     inside = F.filter(
-        packed,
+        "_boxes",
         lambda b: F.col("px").between(b["x0"], b["x1"]) & F.col("py").between(b["y0"], b["y1"]),
     )
-    return spots.withColumn("box", F.coalesce(F.get(inside["box"], 0), F.lit(-1)).cast("int"))
+    return (
+        spots.withColumn("_boxes", packed)
+        .withColumn("box", F.coalesce(F.get(inside["box"], 0), F.lit(-1)).cast("int"))
+        .drop("_boxes")
+    )
 
 
 def fill_from_nearest(assigned: DataFrame) -> DataFrame:

@@ -18,55 +18,60 @@ from spotweave.operators.normalize import relative_frequency
 METHODS = ("average", "ward")
 
 
-def _pair_sums(profiles: DataFrame, value: str, n_clusters: int, kind: str) -> np.ndarray:
-    """L x L matrix of a per-feature pair sum: dot products or squared differences."""
+def _pair_sums(profiles: DataFrame, values: list[str], n_clusters: int, kind: str) -> list[np.ndarray]:
+    """L x L matrices of a per-feature pair sum, one per value column: dot products or
+    squared differences."""
     upper = np.triu_indices(n_clusters)
+    names = [f"s{i}" for i in range(len(values))]
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((n_clusters, n_clusters))
+        total = np.zeros((len(values), n_clusters, n_clusters))
         for pdf in batches:
             if not len(pdf):
                 continue
-            # One row per feature with its (cluster, value) list, so a batch never
-            # splits a feature.
-            block = np.zeros((len(pdf), n_clusters))
+            # One row per feature with its cluster list: a batch never splits a feature.
             row = np.repeat(np.arange(len(pdf)), pdf["c"].map(len))
-            block[row, np.concatenate(pdf["c"].to_list()).astype(int)] = np.concatenate(
-                pdf["v"].to_list()
-            )
-            if kind == "dot":
-                total += block.T @ block
-            else:
-                for i in range(n_clusters):
-                    total[i] += ((block[:, i : i + 1] - block) ** 2).sum(0)
-        yield pd.DataFrame(
-            {"a": upper[0].astype(np.int32), "b": upper[1].astype(np.int32), "s": total[upper]}
-        )
-
-    packed = profiles.groupBy("feature").agg(
-        F.collect_list(F.struct(F.col("c"), F.col(value).cast("double").alias("v"))).alias("e")
-    ).select(F.col("e.c").alias("c"), F.col("e.v").alias("v"))
+            col = np.concatenate(pdf["c"].to_list()).astype(int)
+            for at, name in enumerate(names):
+                block = np.zeros((len(pdf), n_clusters))
+                block[row, col] = np.concatenate(pdf[name].to_list())
+                if kind == "dot":
+                    total[at] += block.T @ block
+                else:
+                    for i in range(n_clusters):
+                        total[at, i] += ((block[:, i : i + 1] - block) ** 2).sum(0)
+        out = {"a": upper[0].astype(np.int32), "b": upper[1].astype(np.int32)}
+        yield pd.DataFrame({**out, **{n: total[at][upper] for at, n in enumerate(names)}})
+
+    fields = [F.col(v).cast("double").alias(n) for v, n in zip(values, names)]
+    packed = (
+        profiles.groupBy("feature")
+        .agg(F.collect_list(F.struct("c", *fields)).alias("e"))
+        .select(F.col("e.c").alias("c"), *[F.col(f"e.{n}").alias(n) for n in names])
+    )
+    schema = "a int, b int, " + ", ".join(f"{n} double" for n in names)
     rows = (
-        packed.mapInPandas(partial, "a int, b int, s double")
+        packed.mapInPandas(partial, schema)
         .groupBy("a", "b")
-        .agg(F.sum("s").alias("s"))
+        .agg(*[F.sum(n).alias(n) for n in names])
         .toPandas()
     )
-    out = np.zeros((n_clusters, n_clusters))
-    out[rows["a"], rows["b"]] = rows["s"]
-    out[rows["b"], rows["a"]] = rows["s"]
-    return out
+    out = np.zeros((len(values), n_clusters, n_clusters))
+    for at, n in enumerate(names):
+        out[at, rows["a"], rows["b"]] = rows[n]
+        out[at, rows["b"], rows["a"]] = rows[n]
+    return list(out)
 
 
-def cluster_gram(sums: DataFrame, n_clusters: int, value: str = "sx") -> np.ndarray:
-    """L x L dot products of the cluster rows."""
-    return _pair_sums(sums, value, n_clusters, "dot")
+def cluster_grams(sums: DataFrame, n_clusters: int, values: list[str]) -> list[np.ndarray]:
+    """L x L dot products of the cluster rows, per value column."""
+    return _pair_sums(sums, values, n_clusters, "dot")
 
 
 def profile_distances(centroids: DataFrame, n_clusters: int, value: str = "m") -> np.ndarray:
     """L x L Euclidean distances between relative-frequency profiles."""
     freq = relative_frequency(centroids, "c", value)
-    return np.sqrt(_pair_sums(freq, "f", n_clusters, "difference"))
+    return np.sqrt(_pair_sums(freq, ["f"], n_clusters, "difference")[0])
 
 
 def link(distances: np.ndarray, method: str = "average") -> np.ndarray:

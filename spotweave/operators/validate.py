@@ -156,6 +156,22 @@ def check_index_counts(index: DataFrame, name: str, subject: str, actual: dict[s
     return union_findings(parts) if parts else index.sparkSession.createDataFrame([], SCHEMA)
 
 
+def index_count_mismatches(
+    index: DataFrame, rows: DataFrame, name: str, column: str, key: str
+) -> DataFrame:
+    """``(name, stated, n)`` for every data set of an index whose stated count differs.
+
+    ``rows(key, n)`` holds the actual counts of all data sets; one without rows has 0.
+    """
+    stated = index.select(F.col(name), safe_int(f"`{column}`").alias("stated"))
+    actual = rows.select(F.col(key).alias(name), "n")
+    return (
+        stated.join(actual, name, "left")
+        .select(name, "stated", F.coalesce("n", F.lit(0)).alias("n"))
+        .where(F.col("stated").isNotNull() & (F.col("stated") != F.col("n")))
+    )
+
+
 def check_label_keys(obs: DataFrame, index_row: dict[str, str], subject: str) -> DataFrame:
     """Label columns an index row names: they must exist, and their number of distinct
     labels must match. Reading stops at the first blank key."""

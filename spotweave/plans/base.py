@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from spotweave.operators import clusters, features, knn, nearest, normalize, tree
+from spotweave.session import broadcast_if_small
 from spotweave.sources import tables
 
 
@@ -92,17 +93,19 @@ class TablePair:
 
     @cached_property
     def dots(self) -> DataFrame:
-        return nearest.cluster_dots(self.st_shared, self.st_obs, self.sums, self.n_clusters)
+        sums = broadcast_if_small(self.sums)
+        return nearest.cluster_dots(self.st_shared, self.st_obs, sums, self.n_clusters)
 
     def scores(self, labels: dict[int, np.ndarray]) -> DataFrame:
-        grams = [tree.cluster_gram(self.sums, self.n_clusters, v) for v in ("sx", "slx")]
+        grams = tree.cluster_grams(self.sums, self.n_clusters, ["sx", "slx"])
         weights = nearest.cut_weights(self.spark, labels, self.size_vector, *grams)
         return nearest.state_scores(self.dots, weights)
 
     @cached_property
     def rule_assignment(self) -> DataFrame:
-        """Nearest centroid at every rule cut."""
-        return nearest.nearest_assignment(self.scores(self.rule_labels))
+        """Nearest centroid at every rule cut: one narrow row per spot and cut, kept because
+        the metrics read it several times."""
+        return nearest.nearest_assignment(self.scores(self.rule_labels)).persist()
 
     def profiles(self, cut: DataFrame) -> DataFrame:
         return clusters.state_profiles(self.sums, self.sizes, cut)

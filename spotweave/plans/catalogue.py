@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spotweave.plans import queries_core, queries_neighbours  # noqa: F401
+from spotweave.plans import queries_core, queries_data, queries_neighbours  # noqa: F401
 from spotweave.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from spotweave.operators import clusters, coherence, features, nearest, normalize, prep, quality, reconstruct, tree
 from spotweave.plans.base import TablePair, r6
@@ -397,7 +397,7 @@ def merged_coherence(spark: SparkSession, sf: str) -> DataFrame:
 def coherence_null(spark: SparkSession, sf: str) -> DataFrame:
     """Merge coherence of the tree's cuts against random draws."""
     p = TablePair(spark, sf)
-    gram = tree.cluster_gram(p.centroids, p.n_clusters, "ml")
+    gram = tree.cluster_grams(p.centroids, p.n_clusters, ["ml"])[0]
     d = tree.profile_distances(p.centroids, p.n_clusters)
     labels = tree.cuts(tree.link(d), tree.k_range(p.n_clusters), p.n_clusters)
     return coherence.merge_coherence(spark, coherence.centroid_cosines(gram), gram.diagonal() > 0, labels)
@@ -437,8 +437,6 @@ def hvg_topn(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def variance_rank(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
     p = TablePair(spark, sf)
     identity = p.sizes.select(F.lit(1).alias("k"), "c", F.col("c").alias("state"))
     z = clusters.profile_zscores(

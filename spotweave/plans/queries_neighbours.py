@@ -267,9 +267,7 @@ def purity_expected(spark: SparkSession, sf: str) -> DataFrame:
 def spatial_organisation(spark: SparkSession, sf: str) -> DataFrame:
     """Purity and enrichment against 100 label shuffles, for every cut."""
     p = TablePair(spark, sf)
-    # One small row per spot and cut, read by the observed and the null branch.
-    assigned = p.rule_assignment.select("k", "obs_id", "state").persist()
-    return spatial.spatial_organisation(p.st_obs, assigned)
+    return spatial.spatial_organisation(p.st_obs, p.rule_assignment.select("k", "obs_id", "state"))
 
 
 @query("reconstruction_null")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
+from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Only settings that help every plan here; sizes (shuffle partitions, memory) are
 # left to the cluster that runs the job.
@@ -26,16 +30,36 @@ def build_session(app_name: str = "spotweave", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+# About 50 bytes a row: what a broadcast side may take in every executor.
+BROADCAST_ROWS = 4_000_000
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Hints a broadcast when ``df`` (a cached or small table) is counted to be under the
+    limit; beyond it the join stays a shuffle join that AQE can split."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` in the shared folder the cluster names.
+    """``df`` written to and read back from the shared folder the cluster names.
 
-    ``spark.checkpoint.dir`` is used when the session has it. Only a session that
-    names none (a test on one machine) gets a temporary folder.
+    One job, unlike a checkpoint, which computes its input twice, and as safe: the
+    files outlive any executor. ``spark.checkpoint.dir`` is used when the session has
+    it. Only a session on one machine that names none (a test) gets a temporary folder.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        configured = context.getConf().get("spark.checkpoint.dir")
-        if not configured and not context.master.startswith("local"):
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spotweave-ckpt-"))
-    return df.checkpoint(eager=True)
+        folder = _local_folder()
+    path = f"{folder}/spotweave-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="spotweave-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
