@@ -33,17 +33,34 @@ def write_start_clustering(start: DataFrame, n_clusters: int, path: str) -> None
     start.write.mode("overwrite").parquet(f"{path}/start_clustering")
 
 
-def write_by_k(df: DataFrame, run: str, table: str, replace: bool = False) -> None:
-    """Writes a per-K table as one folder per K. Only the K values written are replaced,
-    unless ``replace`` drops the rest too."""
-    writer = df.repartition("k").write if table in SMALL_TABLES else df.write
-    writer.mode("overwrite").option(
-        "partitionOverwriteMode", "static" if replace else "dynamic"
-    ).partitionBy("k").parquet(f"{run}/{table}")
-
-
 # Tables of a few rows per K: one file per K is enough.
-SMALL_TABLES = {"cut", "onehot_summary", "confidence_summary", "topology", "coherence", "coherence_summary", "cossim_summary", "modularity"}
+SMALL_TABLES = {
+    "cut",
+    "onehot_summary",
+    "confidence_summary",
+    "topology",
+    "coherence",
+    "coherence_summary",
+    "cossim_summary",
+    "modularity",
+}
+
+
+def write_by_k(df: DataFrame, run: str, table: str) -> None:
+    """Writes a per-K table as one folder per K; only the K values written are replaced."""
+    # Row tables are spread by K and row hash: a task writes few folders, and one K is
+    # still written by many tasks.
+    wide = df.repartition("k") if table in SMALL_TABLES else df.repartition("k", F.pmod(F.xxhash64(*df.columns), F.lit(16)))
+    wide.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("k").parquet(
+        f"{run}/{table}"
+    )
+
+
+def drop_by_k(spark: SparkSession, run: str, table: str) -> None:
+    """Empties a table an earlier run with this name may have left."""
+    if files.exists(spark, f"{run}/{table}"):
+        old = spark.read.parquet(f"{run}/{table}")
+        spark.createDataFrame([], old.schema).write.mode("overwrite").parquet(f"{run}/{table}")
 
 
 def write_config(spark: SparkSession, run: str, config: dict) -> None:
