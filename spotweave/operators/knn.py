@@ -8,8 +8,8 @@ is skipped.
 
 Load: equal vectors are reduced first (only their k smallest ids can ever be
 neighbours, and equal queries share one search); cells bigger than a block are
-split, and so are the queries visiting a popular cell. A task therefore multiplies
-two blocks of at most ``block_rows`` rows.
+split, and so are the queries visiting a popular cell. A task therefore holds at most
+``block_rows`` queries and ``PART_BYTES`` of references.
 """
 
 from __future__ import annotations
@@ -19,18 +19,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-BLOCK_ROWS = 4096
+from spotweave.session import spread
+
+BLOCK_ROWS = 2048  # queries of one task, and references of one multiplication
+PART_BYTES = 32 << 20  # references of one task
 PIVOT_BYTES = 64 << 20  # what the pivots, broadcast to every task, may take
-MAX_PIVOTS = 4096
+MAX_PIVOTS = 16_384
+# In a few dimensions small cells skip nearly everything; in many, every query visits
+# most cells, and small ones would only multiply the partial results.
+FEW_DIMENSIONS = 3
+SMALL_CELL, LARGE_CELL = 32, 8192
 COSINE_EPS = 1e-8  # added to each norm by the neighbour mapper's cosine
 DIGITS = 9  # scores are ranked after rounding, so that engines agree on ties
 SLACK = 1e-6  # wider than any rounding above; a bound never cuts inside it
 
 
-def _rows(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.empty((0, 0))
+def _rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors as one matrix, straight from the Arrow buffer."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _slices(n: int, width: int) -> Iterator[slice]:
+    """Row ranges whose rows x width matrix stays around 32 MB."""
+    step = max(1, (4 << 20) // max(1, width))
+    return (slice(i, min(n, i + step)) for i in range(0, n, step))
 
 
 def _cell_points(x: np.ndarray, metric: str) -> np.ndarray:
@@ -78,6 +95,7 @@ def knn_join(
     metric: str = "cosine",
     self_join: bool = False,
     block_rows: int = BLOCK_ROWS,
+    part_bytes: int = PART_BYTES,
     seed: int = 0,
 ) -> DataFrame:
     """``(obs_id, nbr, rank, score)``: the ``k`` best rows of ``refs`` per query.
@@ -116,9 +134,9 @@ def knn_join(
         return spark.createDataFrame([], schema)
 
     dims = len(distinct_refs.select("vec").first()[0])
-    n_pivots = int(
-        min(MAX_PIVOTS, max(1, PIVOT_BYTES // (8 * max(1, dims))), max(1, math.isqrt(n_refs)))
-    )
+    part_rows = max(block_rows, part_bytes // (8 * max(1, dims)))
+    cell_rows = SMALL_CELL if dims <= FEW_DIMENSIONS else LARGE_CELL
+    n_pivots = min(MAX_PIVOTS, max(1, PIVOT_BYTES // (8 * max(1, dims))), math.ceil(n_refs / cell_rows))
     # A bounded number of pivots reaches the driver, drawn by hash so that a lost
     # task draws the same ones.
     share = min(1.0, 4.0 * n_pivots / n_refs)
@@ -136,17 +154,19 @@ def knn_join(
     pivots = _cell_points(np.array([row[0] for row in drawn], dtype=np.float64), metric)
     shared = spark.sparkContext.broadcast(pivots)
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = _rows(pdf["vec"])
-            d = _distance(_cell_points(x, metric), shared.value, metric)
-            cell = d.argmin(1).astype(np.int32)
-            dist = d[np.arange(len(d)), cell]
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _rows(batch.column("vec"))
+            cell = np.empty(len(x), dtype=np.int32)
+            dist = np.empty(len(x))
+            for part in _slices(len(x), len(shared.value)):
+                d = _distance(_cell_points(x[part], metric), shared.value, metric)
+                cell[part] = d.argmin(1)
+                dist[part] = d.min(1)
             cell[_small_norm(x, metric)] = -1
-            yield pd.DataFrame(
-                {"obs_id": pdf["obs_id"], "vec": pdf["vec"], "cell": cell, "dist": dist}
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("obs_id"), batch.column("vec"), pa.array(cell), pa.array(dist)],
+                names=["obs_id", "vec", "cell", "dist"],
             )
 
     ref_schema = T.StructType(
@@ -157,7 +177,7 @@ def knn_join(
             T.StructField("dist", T.DoubleType()),
         ]
     )
-    celled = distinct_refs.mapInPandas(assign, ref_schema).persist()
+    celled = distinct_refs.mapInArrow(assign, ref_schema).persist()
     # One row per cell: bounded by the number of pivots.
     stats = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("r")).collect()
     counts = {row["cell"]: row["n"] for row in stats}
@@ -167,37 +187,41 @@ def knn_join(
     always = [-1] if -1 in counts else []
     plan = spark.sparkContext.broadcast((ids, sizes, radius))
 
-    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_, sizes_, radius_ = plan.value
-        for pdf in batches:
-            if not len(pdf):
+        far_pivot = np.linalg.norm(shared.value, axis=1).max()
+        for batch in batches:
+            x = _rows(batch.column("vec"))
+            small = _small_norm(x, metric)
+            cells, lengths = [], []
+            for part in _slices(len(x), max(1, len(ids_))):
+                n = part.stop - part.start
+                visited = np.zeros((n, len(ids_) + len(always)), dtype=bool)
+                visited[:, len(ids_) :] = True
+                if len(ids_):
+                    d = _distance(_cell_points(x[part], metric), shared.value[ids_], metric)
+                    far = d + radius_
+                    order = np.argsort(far, axis=1, kind="stable")
+                    # Enough rows lie within this reach; without them, look everywhere.
+                    enough = np.cumsum(sizes_[order], axis=1) >= keep
+                    at = enough.argmax(1)
+                    reach = np.take_along_axis(far, order, 1)[np.arange(n), at]
+                    reach = np.where(enough.any(1) & ~small[part], reach, np.inf)
+                    # Room for rounding: the expanded square loses digits far from the
+                    # origin, and an angle near 0 hides cosine differences below 1e-6.
+                    size = np.linalg.norm(x[part], axis=1) + far_pivot
+                    slack = 1e-3 if metric == "cosine" else SLACK * (1.0 + size)[:, None]
+                    visited[:, : len(ids_)] = d - radius_ <= reach[:, None] * (1 + SLACK) + slack
+                row, col = np.nonzero(visited)
+                cells.append(np.concatenate([ids_, np.array(always, dtype=np.int32)])[col])
+                lengths.append(visited.sum(1))
+            if not cells:
                 continue
-            cells = [[] for _ in range(len(pdf))]
-            if len(ids_):
-                x = _rows(pdf["vec"])
-                d = _distance(_cell_points(x, metric), shared.value[ids_], metric)
-                far = d + radius_
-                order = np.argsort(far, axis=1, kind="stable")
-                filled = np.cumsum(sizes_[order], axis=1)
-                # Enough rows lie within this reach; without them, look everywhere.
-                enough = filled >= keep
-                at = np.where(enough.any(1), enough.argmax(1), len(ids_) - 1)
-                reach = np.take_along_axis(far, order, 1)[np.arange(len(d)), at]
-                reach = np.where(enough.any(1), reach, np.inf)
-                if metric == "cosine":
-                    reach = np.where(_small_norm(x, metric), np.inf, reach)
-                # Room for rounding: the expanded square loses digits far from the
-                # origin, and an angle near 0 hides cosine differences below 1e-6.
-                size = np.linalg.norm(x, axis=1) + np.linalg.norm(shared.value, axis=1).max()
-                slack = 1e-3 if metric == "cosine" else SLACK * (1.0 + size)[:, None]
-                open_ = d - radius_ <= reach[:, None] * (1 + SLACK) + slack
-                cells = [ids_[row].tolist() for row in open_]
-            yield pd.DataFrame(
-                {
-                    "obs_id": pdf["obs_id"],
-                    "vec": pdf["vec"],
-                    "cells": [c + always for c in cells],
-                }
+            ends = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int32)
+            flat = np.concatenate(cells).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("obs_id"), batch.column("vec"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                names=["obs_id", "vec", "cells"],
             )
 
     query_id = queries.schema["obs_id"].dataType
@@ -211,7 +235,7 @@ def knn_join(
     # Equal queries share one search, run under the smallest id of the group.
     searched = queries.groupBy("vec").agg(F.min("obs_id").alias("obs_id")).select("obs_id", "vec")
     visiting = (
-        searched.mapInPandas(visits, visit_schema)
+        searched.mapInArrow(visits, visit_schema)
         .withColumn("cell", F.explode("cells"))
         .drop("cells")
         .persist()
@@ -221,7 +245,7 @@ def knn_join(
         [
             (
                 int(c),
-                max(1, math.ceil(n / block_rows)),
+                max(1, math.ceil(n / part_rows)),
                 max(1, math.ceil(asked.get(c, 0) / block_rows)),
             )
             for c, n in counts.items()
@@ -242,23 +266,42 @@ def knn_join(
         .select("cell", "qp", "rp", F.col("obs_id").alias("nbr"), "vec")
     )
 
-    def search(qs: pd.DataFrame, rs: pd.DataFrame) -> pd.DataFrame:
-        if not len(qs) or not len(rs):
-            return pd.DataFrame({"obs_id": [], "nbr": [], "score": []})
-        rs = rs.sort_values("nbr", kind="stable")
-        score = np.round(_scores(_rows(qs["vec"]), _rows(rs["vec"]), metric), DIGITS + 3)
-        rounded = np.round(score, DIGITS)
-        take = min(keep, rounded.shape[1])
-        # Rows of rs are in id order, so a stable sort breaks ties by id.
-        order = np.argsort(-rounded, axis=1, kind="stable")[:, :take]
-        return pd.DataFrame(
-            {
-                "obs_id": np.repeat(qs["obs_id"].to_numpy(), take),
-                "nbr": rs["nbr"].to_numpy()[order.ravel()],
-                "score": np.take_along_axis(score, order, 1).ravel(),
-            }
+    def search(qs: pa.Table, rs: pa.Table) -> pa.Table:
+        q_ids, r_ids = qs.column("obs_id"), rs.column("nbr")
+        if not len(q_ids) or not len(r_ids):
+            none = pa.array([], pa.int64())
+            return pa.table([q_ids.take(none), r_ids.take(none), pa.array([], pa.float64())], names=found_names)
+        # References in id order: ties then go to the smaller id, and the best of
+        # earlier blocks, listed first, go before later ones.
+        rs = rs.sort_by("nbr")
+        r_ids = rs.column("nbr")
+        q, r = _rows(qs.column("vec")), _rows(rs.column("vec"))
+        best_at = np.empty((len(q), 0), dtype=np.int64)
+        best = np.empty((len(q), 0))
+        for start in range(0, len(r), block_rows):
+            score = np.hstack([best, _scores(q, r[start : start + block_rows], metric)])
+            at = np.hstack([best_at, np.tile(np.arange(start, start + score.shape[1] - best.shape[1]), (len(q), 1))])
+            cost = -np.round(score, DIGITS)
+            take = min(keep, cost.shape[1])
+            # Everything up to the last kept cost, ties included, then order only that.
+            last = np.partition(cost, take - 1, axis=1)[:, take - 1 : take]
+            row, col = np.nonzero(cost <= last)
+            order = np.lexsort((at[row, col], cost[row, col], row))
+            row, col = row[order], col[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < take
+            row, col = row[kept].reshape(len(q), take), col[kept].reshape(len(q), take)
+            best, best_at = score[row, col], at[row, col]
+        take = best.shape[1]
+        return pa.table(
+            [
+                q_ids.take(pa.array(np.repeat(np.arange(len(q)), take))),
+                r_ids.take(pa.array(best_at.ravel())),
+                pa.array(best.ravel()),
+            ],
+            names=found_names,
         )
 
+    found_names = ["obs_id", "nbr", "score"]
     found_schema = T.StructType(
         [
             T.StructField("obs_id", query_id),
@@ -267,7 +310,9 @@ def knn_join(
         ]
     )
     keys = ["cell", "qp", "rp"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, found_schema)
+    # A block is small in bytes and large in work.
+    pairs = spread(left, *keys).groupBy(*keys).cogroup(spread(right, *keys).groupBy(*keys))
+    found = pairs.applyInArrow(search, found_schema)
     # At most `keep` rows per visited block and query; Spark trims before the shuffle.
     best = W.partitionBy("obs_id").orderBy(F.round("score", DIGITS).desc(), "nbr")
     top = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep)

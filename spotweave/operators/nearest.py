@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from spotweave.functions.scalars import clip01
+from spotweave.session import spread
 
 EPS = 1e-8
 TOP_STATES = 4  # candidates the margin confidence looks at
@@ -40,7 +41,9 @@ def cluster_dots(counts: DataFrame, obs: DataFrame, sums: DataFrame, n_clusters:
     zeros = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(0.0).alias("d"), F.lit(0.0).alias("e")) for c in range(n_clusters)])
     is_norm = F.col("c") == -1
     return (
-        rows.groupBy("obs_id")
+        # Every row is about to meet every cut: more work than its bytes tell.
+        spread(rows, "obs_id")
+        .groupBy("obs_id")
         .agg(
             # Bounded by the number of clusters.
             F.collect_list(F.when(F.col("c") >= 0, F.struct("c", "d", "e"))).alias("dots"),

@@ -17,6 +17,7 @@ from spotweave.functions.indexing import dense_index
 from spotweave.functions.scalars import guarded_cosine
 from spotweave.operators.knn import knn_join
 from spotweave.operators.nulls import LabelShuffle, permute
+from spotweave.session import spread
 
 NEIGHBOURS = 6  # of the spatial graph
 SHUFFLES = 100
@@ -137,7 +138,8 @@ def shuffled_edge_counts(
             )
 
     return (
-        index_edges.mapInPandas(count, "k int, draw int, state int, n bigint")
+        spread(index_edges, "i", "j")
+        .mapInPandas(count, "k int, draw int, state int, n bigint")
         .groupBy("k", "draw", "state")
         .agg(F.sum("n").alias("n"))
     )
@@ -263,7 +265,7 @@ def shuffled_reconstruction(
             T.StructField("state", T.IntegerType()),
         ]
     )
-    labels = index.select("obs_id", "i").mapInPandas(draw_labels, schema)
+    labels = spread(index.select("obs_id", "i"), "obs_id").mapInPandas(draw_labels, schema)
     norms = profiles.groupBy("k", "state").agg(F.sum(F.col("m") * F.col("m")).alias("mm"))
     per_spot = (
         labels.join(scores.select("k", "obs_id", "state", "dot", "nn"), ["k", "obs_id", "state"])

@@ -40,6 +40,16 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash-partitions ``df`` for a step whose work is far larger than its bytes.
+
+    AQE merges partitions by size, which would leave such a step to a few tasks; an
+    explicit number of partitions is kept. A group-by on the same columns reuses it.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *columns)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to and read back from the shared folder the cluster names.
 

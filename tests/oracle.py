@@ -42,6 +42,10 @@ def compare(spark: SparkSession, con, sf_dir: str, name: str, fn, sql: str | Non
     got = [tuple(r) for r in df.collect()]
     spark_s = time.time() - t
     out = {"name": name, "rows": len(got), "spark_s": round(spark_s, 2), "ok": True, "why": ""}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "CartesianProduct" in plan or "NestedLoopJoin" in plan:
+        out.update(ok=False, why="pairs every row with every other")
+        return out
     if sql is None:
         out["why"] = "rows only"
         return out
