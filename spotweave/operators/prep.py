@@ -242,23 +242,18 @@ def register_patches(
     rc = [F.regexp_extract("patch", r"^patch_(\d+)_(\d+)$", g).cast("int") for g in (1, 2)]
     filled = summary.where("spots > 0").select("patch", "spots", rc[0].alias("_r"), rc[1].alias("_c"))
     numbered = ordered_index(filled, ["_r", "_c"], "_i").select(
-        F.concat(m[0], F.lit("_"), (F.col("_i") + 1).cast("string"), F.lit("_"), m[1]).alias("_name"),
-        F.col("spots").cast("string").alias("_spots"),
-        F.lit(base).alias("_base"),
-    )
-    template = index.where(F.col("Name") == base)
-    fresh = template.join(numbered, template["Name"] == numbered["_base"]).select(
-        *[
-            F.col("_name").alias("Name")
-            if c == "Name"
-            else (F.col("_spots").alias(c) if c == "SpotCount" else F.col(c))
-            for c in index.columns
-        ]
-    )
-    base_pairs = pairs.where(F.col("stName") == base)
-    new_pairs = base_pairs.join(numbered, base_pairs["stName"] == numbered["_base"]).select(
-        *[F.col("_name").alias("stName") if c == "stName" else F.col(c) for c in pairs.columns]
+        F.concat(m[0], F.lit("_"), (F.col("_i") + 1).cast("string"), F.lit("_"), m[1]).alias("name"),
+        F.col("spots").cast("string").alias("spots"),
     )
+    # The patches of one data set, a short list, repeated under each row they replace.
+    patches = F.explode(numbered.agg(F.collect_list(F.struct("name", "spots"))).scalar()).alias("_p")
+
+    def replaced(table: DataFrame, values: dict[str, str]) -> DataFrame:
+        rows = table.select(*table.columns, patches)
+        return rows.select(*[F.col(f"_p.{values[c]}").alias(c) if c in values else F.col(c) for c in table.columns])
+
+    fresh = replaced(index.where(F.col("Name") == base), {"Name": "name", "SpotCount": "spots"})
+    new_pairs = replaced(pairs.where(F.col("stName") == base), {"stName": "name"})
     return (
         index.where(F.col("Name") != base).unionByName(fresh),
         pairs.where(F.col("stName") != base).unionByName(new_pairs),

@@ -431,17 +431,18 @@ def hvg_topn(spark: SparkSession, sf: str) -> DataFrame:
     with_ctes(
         f"""SELECT feature, {s6('variance')} AS variance, row_number() OVER (ORDER BY round(variance, 9) DESC, feature) AS rank
         FROM (SELECT f.feature, var_pop(COALESCE(m, 0)) AS variance
-              FROM sizes z CROSS JOIN shared f LEFT JOIN centroids c ON c.c = z.c AND c.feature = f.feature
+              FROM sizes z CROSS JOIN shared f
+              LEFT JOIN profiles c ON c.k = (SELECT max(k) FROM ks) AND c.state = z.c AND c.feature = f.feature
               GROUP BY f.feature)""",
-        "centroids",
+        "profiles",
+        "shared",
     ),
 )
 def variance_rank(spark: SparkSession, sf: str) -> DataFrame:
     p = TablePair(spark, sf)
-    identity = p.sizes.select(F.lit(1).alias("k"), "c", F.col("c").alias("state"))
+    finest = F.col("k") == p.n_clusters
     z = clusters.profile_zscores(
-        p.centroids.select(F.lit(1).alias("k"), F.col("c").alias("state"), "feature", "m"),
-        identity.select("k", "state"),
+        p.profiles(p.rule_cut).where(finest), clusters.state_domain(p.rule_cut).where(finest)
     )
     # One row per feature is ranked.
     per = z.groupBy("feature").agg(F.max("variance").alias("variance"))
