@@ -238,8 +238,9 @@ def knn_join(
         searched.mapInArrow(visits, visit_schema)
         .withColumn("cell", F.explode("cells"))
         .drop("cells")
-        .persist()
     )
+    # Counted in a pass of its own: keeping the visits would store each query once per
+    # visited cell.
     asked = {r["cell"]: r["count"] for r in visiting.groupBy("cell").count().collect()}
     split = spark.createDataFrame(
         [

@@ -74,13 +74,14 @@ define(
 
 
 class Vectors:
-    """Embeddings as a labelled reference (even ids) and queries (odd ids)."""
+    """Embeddings both as the labelled reference and as the queries, all of them.
+
+    As a query a vector may find itself; in the reference's own lists it may not.
+    """
 
     def __init__(self, spark: SparkSession, sf: str):
         rows = tables.embedding_vectors(spark, sf)
-        even = F.pmod("obs_id", F.lit(2)) == 0
-        self.all = rows
-        self.ref, self.qry = rows.where(even), rows.where(~even)
+        self.all = self.ref = self.qry = rows
         self.start = self.ref.select("obs_id", "c")
 
     def labels(self) -> dict[int, np.ndarray]:

@@ -77,8 +77,8 @@ _PAIR = {
     "vec": """SELECT vec_id AS obs_id, label AS c, CAST(embedding AS DOUBLE[]) AS v,
             sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) + 1e-8 AS n
         FROM embeddings""",
-    "ref": "SELECT * FROM vec WHERE obs_id % 2 = 0",
-    "qry": "SELECT * FROM vec WHERE obs_id % 2 = 1",
+    "ref": "SELECT * FROM vec",
+    "qry": "SELECT * FROM vec",
 }
 _NEEDS = {
     "shared": ["sc", "st"],

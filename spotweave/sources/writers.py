@@ -50,7 +50,7 @@ def write_by_k(df: DataFrame, run: str, table: str) -> None:
     """Writes a per-K table as one folder per K; only the K values written are replaced."""
     # Row tables are spread by K and row hash: a task writes few folders, and one K is
     # still written by many tasks.
-    wide = df.repartition("k") if table in SMALL_TABLES else df.repartition("k", F.pmod(F.xxhash64(*df.columns), F.lit(16)))
+    wide = df.repartition("k") if table in SMALL_TABLES else df.repartition("k", F.pmod(F.xxhash64(*df.columns), F.lit(256)))
     wide.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("k").parquet(
         f"{run}/{table}"
     )
