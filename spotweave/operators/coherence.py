@@ -16,6 +16,7 @@ NORM_EPS = 1e-12
 Z_EPS = 1e-12
 SHUFFLES = 200
 ALPHA = 0.05
+# The two reasons a state is not tested.
 FEW = "fewer than 2 non-empty merged start clusters"
 NO_OTHERS = "no start clusters in other states to draw a null from"
 
