@@ -7,6 +7,7 @@ Hashes are 64 bits wide: two different words share one with probability 2**-64.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,8 +26,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-BYTE_VALUES = mix(np.arange(256, dtype=np.uint64))
-STEP = np.uint64(0xD6E8FEB86659FD93)
+STEP = 0xD6E8FEB86659FD93
+MASK64 = (1 << 64) - 1
+# Bytes of an 8-byte load that belong to a word with 0..8 bytes left.
+LOAD_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+# Longer words are hashed one by one.
+LONG_WORD = 64
 
 
 def byte_class(accept) -> np.ndarray:
@@ -52,42 +57,37 @@ class Words:
     at: np.ndarray
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, STEP, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def _hash_slices(padded: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of ``padded[begin:end]`` for arrays of both, eight bytes a step. ``padded`` has
+    eight bytes behind the last slice."""
+    load = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    length = end - begin
+    out = length.astype(np.uint64)
+    on, step = slice(None), 0
+    while True:
+        rest = np.minimum(length[on] - step, 8)
+        value = out[on] ^ (load[begin[on] + step] & LOAD_MASKS[rest])
+        value = value * np.uint64(STEP)
+        out[on] = value ^ (value >> np.uint64(29))
+        step += 8
+        on = np.flatnonzero((length > step) & (length <= LONG_WORD))
+        if not len(on):
+            break
+    for i in np.flatnonzero(length > LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(padded[begin[i] : end[i]], digest_size=8).digest(), "little")
+    return mix(out)
 
 
 def hash_words(texts: list[bytes], word: np.ndarray = NOT_SPACE) -> Words:
     """Splits ``texts`` into words of the byte class ``word`` and hashes each word."""
     buffer = b"\n".join(texts) + b"\n"
-    sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    raw = np.frombuffer(buffer, np.uint8)
-    begins, ends, hashes = [], [], []
-    low, size = 0, len(raw)
-    while low < size:
-        high = min(size, low + CHUNK_BYTES)
-        if high < size:  # end the piece behind a byte that is in no word
-            inside = word[raw[high - 1 :]] if size - high < CHUNK_BYTES else word[raw[high - 1 : high + CHUNK_BYTES]]
-            stop = int(np.argmin(inside))
-            high = high + stop if not inside[stop] else size
-        part = raw[low:high]
-        flag = word[part]
-        edge = np.diff(flag.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
-        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        if len(begin):
-            length = end - begin
-            place = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-            values = BYTE_VALUES[part[flag]] * _powers(int(length.max()))[place]
-            total = np.add.reduceat(values, np.cumsum(length) - length)
-            begins.append(begin + low)
-            ends.append(end + low)
-            hashes.append(mix(total + length.astype(np.uint64)))
-        low = high
-    join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
-    begin, end = join(begins, np.int64), join(ends, np.int64)
-    return Words(buffer, begin, end, join(hashes, np.uint64), np.searchsorted(begin, at), at)
+    at = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(t) + 1 for t in texts], out=at[1:])
+    flag = word[np.frombuffer(buffer, np.uint8)].view(np.int8)
+    edges = np.flatnonzero(np.diff(flag, prepend=np.int8(0)))
+    begin, end = edges[0::2], edges[1::2]
+    hashes = _hash_slices(buffer + bytes(8), begin, end) if len(begin) else np.empty(0, np.uint64)
+    return Words(buffer, begin, end, hashes, np.searchsorted(begin, at), at)
 
 
 def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -95,18 +95,17 @@ def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
     n = len(hashes) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out, done, block, size, shift = np.zeros(n, np.uint64), 0, hashes, 1, STEP
     # ``block`` holds windows of ``size`` words; the bits of ``width`` say which to join.
-    scale = np.uint64(1)
+    out, done, block, size, scale, shift = np.zeros(n, np.uint64), 0, hashes, 1, 1, STEP
     while True:
         if width & size:
-            out = out + block[done : done + n] * scale
+            out = out + block[done : done + n] * np.uint64(scale)
             done += size
-            scale = scale * shift
+            scale = scale * shift & MASK64
         if size * 2 > width:
             return mix(out)
-        block = block[:-size] + block[size:] * shift
-        shift = shift * shift
+        block = block[:-size] + block[size:] * np.uint64(shift)
+        shift = shift * shift & MASK64
         size *= 2
 
 
