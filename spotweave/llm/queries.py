@@ -172,3 +172,18 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spotweave.llm import jaccard_join
 
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+@query("op4_ppm_score")
+def op4_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spotweave.llm import ppm
+    from spotweave.session import cut_lineage
+
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
+    training = docs.where("NOT held_out").select("text")
+    nodes = ppm.train(training)
+    words = cut_lineage(ppm.count_words(training))
+    train_tokens = words.agg(F.sum("n")).first()[0] or 0
+    scored = ppm.score_documents(ppm.word_scores(docs, words), nodes)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
