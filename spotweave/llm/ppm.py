@@ -38,8 +38,9 @@ WORDS_BYTES = 128 << 20
 END = np.uint64(0x456E64)  # the end token's place among the word hashes
 
 
-class Trie:
-    """Code lengths of the n-grams of one shard (``shard`` of ``shards``)."""
+class Nodes:
+    """The n-grams of one shard and their contexts as nodes of a trie; ``root`` is the empty
+    context, the last node. ``count`` is 0 for a context that is not counted itself."""
 
     def __init__(self, lengths: np.ndarray, packed: np.ndarray, counts: np.ndarray, depth: int, shard: int = 0, shards: int = 1):
         self.depth, self.shard, self.shards = depth, shard, shards
@@ -52,24 +53,55 @@ class Trie:
             np.concatenate([packed, np.zeros(depth, np.uint64), packed[inner] >> np.uint64(8)]),
         )
         keys, first = np.unique(packed | (lengths << np.uint64(56)), return_index=True)
-        c = counts.astype(float)[first]
-        lengths, packed = lengths[first], packed[first]
+        self.n = counts.astype(float)[first]
+        self.lengths, packed = lengths[first], packed[first]
         self.index, root = HashArray(keys), len(keys)
         self.root = root
 
         def locate(length: np.ndarray, value: np.ndarray) -> np.ndarray:
             return np.where(length == 0, root, self.index.find(value | (length << np.uint64(56))))
 
-        shorter = lengths - np.uint64(1)
-        context = locate(shorter, packed >> np.uint64(8))
+        shorter = self.lengths - np.uint64(1)
+        self.context = locate(shorter, packed >> np.uint64(8))
         suffix = locate(shorter, packed & ((np.uint64(1) << (shorter * np.uint64(8))) - np.uint64(1)))
+        self.suffix = np.append(suffix, root).astype(np.int32)
+        self.counted = np.append(self.n > 0, False)
+
+    def longest(self, values: np.ndarray, most: int, counted: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Node and length of the longest known suffix; ``counted``: that has occurred."""
+        node, length = np.full(len(values), self.root, np.int64), np.zeros(len(values), np.int8)
+        on = np.arange(len(values))
+        for k in range(most, 0, -1):
+            got = self.index.find((values[on] & mask(k)) | np.uint64(k << 56))
+            hit = (got >= 0) & self.counted[got] if counted else got >= 0
+            node[on[hit]], length[on[hit]] = got[hit], k
+            on = on[~hit]
+            if not len(on):
+                break
+        return node, length
+
+    def score(self, texts: list[bytes]) -> dict[str, np.ndarray]:
+        values, first = grams(texts, self.depth + 1)
+        if self.shards == 1:
+            return {"score": np.add.reduceat(self.code(values), first)}
+        mine = np.flatnonzero(shard_of(values, self.shards) == self.shard)
+        out = np.zeros(len(values))
+        out[mine] = self.code(values[mine])
+        return {"score": np.add.reduceat(out, first)}
+
+
+class Trie(Nodes):
+    """Code lengths of prediction by partial matching."""
+
+    def __init__(self, *nodes):
+        super().__init__(*nodes)
+        c, root, context, suffix = self.n, self.root, self.context, self.suffix[:-1]
         seen = c > 0
         total = np.bincount(context[seen], c[seen], root + 1)
         kinds = np.bincount(context[seen], minlength=root + 1).astype(float)
         # What the symbols of a context make up in the context one shorter: excluded there.
-        longer = seen & (lengths > 1)
+        longer = seen & (self.lengths > 1)
         gone = np.bincount(context[longer], c[suffix[longer]], root + 1)
-        self.suffix = np.append(suffix, root).astype(np.int32)
         rest, rest_kinds = total[self.suffix] - gone, kinds[self.suffix] - kinds
         with np.errstate(divide="ignore", invalid="ignore"):
             log = lambda x: np.log10(x).astype(np.float32)
@@ -78,26 +110,12 @@ class Trie:
             self.escape = np.where(kinds > 0, log(kinds / (2 * total)), 0).astype(np.float32)
             self.left_room = log(2 * rest)
             self.left_escape = np.where(rest_kinds > 0, log(rest_kinds / (2 * rest)), 0).astype(np.float32)
-        self.counted = np.append(seen, False)
         self.floor = math.log10(max(1, 256 - int(kinds[root])))
 
-    def _longest(self, values: np.ndarray, most: int, counted: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Node and length of the longest known suffix; ``counted``: that has occurred."""
-        node, length = np.full(len(values), self.root, np.int64), np.zeros(len(values), np.int8)
-        on = np.arange(len(values))
-        for k in range(most, 0, -1):
-            got = self.index.find((values[on] & mask(k)) | np.uint64(k << 56))
-            hit = (got >= 0) & self.counted[got] if counted else got >= 0
-            node[on[hit]], length[on[hit]] = got[hit], k
-            on = on[~hit]
-            if not len(on):
-                break
-        return node, length
-
     def code(self, values: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each packed n-gram after the others."""
-        node, order = self._longest(values >> np.uint64(8), self.depth, False)
-        event, length = self._longest(values, self.depth + 1, True)
+        node, order = self.longest(values >> np.uint64(8), self.depth, False)
+        event, length = self.longest(values, self.depth + 1, True)
         out = np.empty(len(values))
         plain = length == order + 1
         out[plain] = self.count[event[plain]] - self.room[node[plain]]
@@ -115,15 +133,6 @@ class Trie:
             at = self.suffix[at].astype(np.int64)
         return out
 
-    def score(self, texts: list[bytes]) -> dict[str, np.ndarray]:
-        values, first = grams(texts, self.depth + 1)
-        if self.shards == 1:
-            return {"score": np.add.reduceat(self.code(values), first)}
-        mine = np.flatnonzero(shard_of(values, self.shards) == self.shard)
-        out = np.zeros(len(values))
-        out[mine] = self.code(values[mine])
-        return {"score": np.add.reduceat(out, first)}
-
 
 def shard_of(values: np.ndarray, shards: int) -> np.ndarray:
     return ((values >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(shards)
@@ -171,29 +180,29 @@ def count_words(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _columns(df: DataFrame) -> list[np.ndarray]:
+def columns_of(df: DataFrame) -> list[np.ndarray]:
     """Columns of a table of bounded size; integers of any width as 64 bits."""
     table = df.toArrow()
     return [c.to_numpy().astype(np.int64) for c in table.columns]
 
 
-def trie_shards(nodes: DataFrame, depth: int = DEPTH, shard_bytes: int = SHARD_BYTES) -> list[Trie]:
-    """One trie per shard, made one after the other; n-grams of up to two bytes are in each."""
+def trie_shards(nodes: DataFrame, depth: int = DEPTH, shard_bytes: int = SHARD_BYTES, kind=Trie) -> Iterator[Nodes]:
+    """One model per shard, made one after the other; n-grams of up to two bytes are in each."""
     shards = int(nodes.count() * NODE_BYTES // shard_bytes) + 1
     key = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
     for i in range(shards):
         own = nodes.where((F.col("length") <= 2) | (F.pmod(key, F.lit(shards)) == i))
-        yield Trie(*_columns(own.select("length", "gram", "n")), depth, i, shards)
+        yield kind(*columns_of(own.select("length", "gram", "n")), depth, i, shards)
 
 
-def _apply(rows: DataFrame, scorer, columns: dict[str, str], add: bool) -> DataFrame:
+def apply_scorer(rows: DataFrame, scorer, columns: dict[str, str], add: bool, lower: bool = True) -> DataFrame:
     """One pass: appends a scorer's columns, or adds to those that are there."""
     sent = rows.sparkSession.sparkContext.broadcast(scorer)
     kept = [f.name for f in rows.schema.fields]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + ([] if add else [f"{c} {t}" for c, t in columns.items()]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in chunks(batches, "text", lower=True):
+        for part, texts in chunks(batches, "text", lower=lower):
             got = {k: pa.array(v) for k, v in sent.value.score(texts).items()}
             if add:
                 got = {k: pa.array(v.to_numpy() + part.column(k).to_numpy()) for k, v in got.items()}
@@ -205,7 +214,7 @@ def _apply(rows: DataFrame, scorer, columns: dict[str, str], add: bool) -> DataF
 def score_documents(rows: DataFrame, nodes: DataFrame, depth: int = DEPTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``rows`` (any columns, with ``text``) and ``score``, the log10 probability of each text."""
     for i, trie in enumerate(trie_shards(nodes, depth, shard_bytes)):
-        rows = _apply(rows if i == 0 else cut_lineage(rows), trie, {"score": "double"}, add=i > 0)
+        rows = apply_scorer(rows if i == 0 else cut_lineage(rows), trie, {"score": "double"}, add=i > 0)
     return rows
 
 
@@ -214,8 +223,8 @@ def word_scores(rows: DataFrame, counts: DataFrame, words_bytes: int = WORDS_BYT
     size = counts.agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total")).first()
     columns = {"n_tokens": "bigint", "n_known": "bigint", "base_score": "double"}
     if size["kinds"] * WORD_BYTES <= words_bytes:
-        words, n = _columns(counts.select("word", "n"))
-        return _apply(rows, WordTable(words.view(np.uint64), n), columns, add=False)
+        words, n = columns_of(counts.select("word", "n"))
+        return apply_scorer(rows, WordTable(words.view(np.uint64), n), columns, add=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches, "text", lower=True):

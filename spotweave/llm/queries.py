@@ -187,3 +187,11 @@ def op4_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     train_tokens = words.agg(F.sum("n")).first()[0] or 0
     scored = ppm.score_documents(ppm.word_scores(docs, words), nodes)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
+@query("op8_quality_rules")
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spotweave.llm import quality
+
+    judged = quality.quality(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")

@@ -57,7 +57,7 @@ class Words:
     at: np.ndarray
 
 
-def _hash_slices(padded: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+def hash_slices(padded: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of ``padded[begin:end]`` for arrays of both, eight bytes a step. ``padded`` has
     eight bytes behind the last slice."""
     load = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
@@ -86,7 +86,7 @@ def hash_words(texts: list[bytes], word: np.ndarray = NOT_SPACE) -> Words:
     flag = word[np.frombuffer(buffer, np.uint8)].view(np.int8)
     edges = np.flatnonzero(np.diff(flag, prepend=np.int8(0)))
     begin, end = edges[0::2], edges[1::2]
-    hashes = _hash_slices(buffer + bytes(8), begin, end) if len(begin) else np.empty(0, np.uint64)
+    hashes = hash_slices(buffer + bytes(8), begin, end) if len(begin) else np.empty(0, np.uint64)
     return Words(buffer, begin, end, hashes, np.searchsorted(begin, at), at)
 
 
