@@ -195,3 +195,19 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     judged = quality.quality(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
+
+
+def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that may be learnt from."""
+    return table(spark, sf_dir, "labels").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1)
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spotweave.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    classifier = toxicity.fit(docs, training_labels(spark, sf_dir))
+    scored = toxicity.score(docs.select("doc_id", "text"), classifier)
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
