@@ -219,3 +219,11 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = html_text.extract(table(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+@query("op10_sharding")
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spotweave.llm import sharding
+
+    placed = sharding.shard(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
