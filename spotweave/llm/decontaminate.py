@@ -30,7 +30,7 @@ WINDOW = 10
 SHARD_BYTES = 6 << 20
 SAMPLE = 8
 SLICE_BYTES = 32 << 20
-HITS = "doc_id bigint, row string, n_words bigint, spans array<struct<start: int, end: int>>, items array<string>, text string"
+FOUND = "n_words bigint, spans array<struct<start: int, end: int>>, items array<string>"
 
 
 class WaveletTree:
@@ -213,9 +213,9 @@ def hit_windows(words: Words, needles: Needles) -> tuple[np.ndarray, np.ndarray]
     return places[order], which[order]
 
 
-def _search(needles: Needles, batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
+def _search(needles: Needles, batches: Iterator[pa.RecordBatch], carried: list[str], last: bool) -> Iterator[pa.RecordBatch]:
     """One pass: adds the slice's spans and items to those of earlier passes; the last pass
-    replaces the text by what is left of it."""
+    adds what is left of a text of which something is cut."""
     lengths = np.array([len(p) for p in needles.patterns], np.int64)
     for part, texts in chunks(batches, "text", SHARD_BYTES):
         words = hash_words([t.lower() for t in texts], ALNUM)
@@ -238,15 +238,16 @@ def _search(needles: Needles, batches: Iterator[pa.RecordBatch], last: bool) ->
                 bytes_of = [(words.begin[base + a] - words.at[d], words.end[base + b - 1] - words.at[d]) for a, b in spans[-1]]
                 kept.append(_cut(texts[d], bytes_of) if bytes_of else None)
         pairs = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        columns = [
-            part.column("doc_id"),
-            part.column("row"),
-            pa.array(np.diff(words.first), pa.int64()),
-            pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pairs),
-            pa.array(items, pa.list_(pa.string())),
-            pa.array(kept, pa.string()) if last else part.column("text"),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "n_words", "spans", "items", "text"])
+        columns = {name: part.column(name) for name in carried} | {
+            "n_words": pa.array(np.diff(words.first), pa.int64()),
+            "spans": pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pairs),
+            "items": pa.array(items, pa.list_(pa.string())),
+        }
+        if last:
+            columns["left"] = pa.array(kept, pa.string())
+        else:
+            columns["text"] = part.column("text")
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -268,23 +269,38 @@ def _cut(text: bytes, byte_spans: list[tuple[int, int]]) -> str:
     return b"\n".join([*out, text[at:]]).decode("utf-8", "replace")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, carry: str | None = None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """Per row of ``docs``: its words, merged word spans of benchmark windows, the sorted ids
-    of the items found, and the text without the spans (NULL where nothing is cut). ``carry``
-    names a column to hand through as ``row``."""
+def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", carry: tuple[str, ...] = ("doc_id",), window: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """Per row of ``docs`` the columns ``carry``, the number of words, merged word spans of
+    benchmark windows, the sorted ids of the items found, and ``left``, the text without the
+    spans (NULL where nothing is cut)."""
     spark = docs.sparkSession
     found = benchmark_windows(items, item_id, item_text, window)
     distinct = cut_lineage(found.groupBy("words").agg(F.collect_set("item").alias("items")))
     names = F.aggregate("items", F.lit(0), lambda total, x: total + F.length(x) + 8)
     size = distinct.agg(F.sum(8 * F.size("words") + names).alias("bytes")).first()["bytes"] or 0
     n = int(size // slice_bytes) + 1
-    row = F.col(carry).cast("string") if carry else F.lit(None).cast("string")
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), row.alias("row"), F.col(text).cast("string").alias("text"))
+    # Carried columns get names of their own, whatever they are called.
+    carried = [f"c{i}" for i in range(len(carry))]
+    rows = docs.select(*(F.col(c).alias(a) for c, a in zip(carry, carried)), F.col(text).cast("string").alias("text"))
+    kinds = ", ".join(f"{a} {rows.schema[a].dataType.simpleString()}" for a in carried)
     for i in range(n):
         mine = distinct.where(F.pmod(F.xxhash64("words"), F.lit(n)) == i).collect()  # about slice_bytes
         sent = spark.sparkContext.broadcast(Needles([r["words"] for r in mine], [r["items"] for r in mine]))
         last = i == n - 1
-        rows = rows.mapInArrow(lambda batches, sent=sent, last=last: _search(sent.value, batches, last), HITS)
+        schema = ", ".join(filter(None, [kinds, FOUND, "left string" if last else "text string"]))
+        rows = rows.mapInArrow(lambda batches, sent=sent, last=last: _search(sent.value, batches, carried, last), schema)
         if not last:  # one slice in memory at a time
             rows = cut_lineage(rows)
-    return rows
+    return rows.select(*(F.col(a).alias(c) for c, a in zip(carry, carried)), "n_words", "spans", "items", "left")
+
+
+def cut_out(docs: DataFrame, items: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """``docs`` without the benchmark passages: ``text`` loses them, ``n_chars`` follows where
+    a text is cut, and a row of which no word is left goes. Other rows are unchanged."""
+    found = decontaminate(docs, items, text, carry=tuple(docs.columns))
+    gone = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, s: total + s["end"] - s["start"])
+    kept = found.where((F.size("spans") == 0) | (gone < F.col("n_words")))
+    out = kept.withColumn(text, F.coalesce("left", text))
+    if n_chars in docs.columns:
+        out = out.withColumn(n_chars, F.when(F.col("left").isNotNull(), F.length("left").cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
+    return out.select(docs.columns)

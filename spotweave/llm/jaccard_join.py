@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from spotweave.llm.components import components
-from spotweave.llm.text import NOT_SPACE, chunks, hash_words, mix, text_bytes, windows
+from spotweave.llm.text import NOT_SPACE, chunks, free_name, hash_words, mix, text_bytes, windows
 from spotweave.session import broadcast_if_small, cut_lineage
 
 WIDTH = 5
@@ -264,7 +264,9 @@ def needed_column(n, percent: int):
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row per class: that of the smallest id. Rows without words or id stay."""
+    """``docs`` with one document per class: that of the smallest id. Rows that share an id are one
+    document; rows without words or id stay."""
     found = jaccard_classes(docs, doc_id, text).where("n_shingles > 0 AND component_id <> doc_id")
-    gone = cut_lineage(found.select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(broadcast_if_small(gone), F.col(doc_id).cast("bigint") == F.col("_gone"), "left_anti")
+    name = free_name(docs, "gone")
+    gone = cut_lineage(found.select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(broadcast_if_small(gone), F.col(doc_id).cast("bigint") == F.col(name), "left_anti")

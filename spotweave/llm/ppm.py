@@ -197,6 +197,7 @@ def trie_shards(nodes: DataFrame, depth: int = DEPTH, shard_bytes: int = SHARD_B
 
 def apply_scorer(rows: DataFrame, scorer, columns: dict[str, str], add: bool, lower: bool = True) -> DataFrame:
     """One pass: appends a scorer's columns, or adds to those that are there."""
+    rows = rows if add else rows.drop(*columns)
     sent = rows.sparkSession.sparkContext.broadcast(scorer)
     kept = [f.name for f in rows.schema.fields]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + ([] if add else [f"{c} {t}" for c, t in columns.items()]))

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from spotweave.llm.text import free_name
 from spotweave.session import cut_lineage
 
 
@@ -133,19 +134,20 @@ def scan(versions: DataFrame, path: str = "doc_id", text: str = "text", ledger:
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span of ``text`` replaced by ``mark``; overlapping spans are
     one. Rows without a finding are unchanged, a NULL text stays NULL."""
+    blob, found = free_name(docs, "blob"), free_name(docs, "found")
     new = update_ledger(docs, None, text)
     ledger = new.where(F.exists("scanned", lambda x: F.size(x["spans"]) > 0))
     spans = F.array_sort(F.flatten(F.transform("scanned", lambda s: s["spans"])))
-    per_blob = ledger.select(F.col("blob_id").alias("_blob"), spans.alias("_spans"))
-    keyed = docs.withColumn("_blob", blob_id(F.col(text))).join(per_blob, "_blob", "left")
+    per_blob = ledger.select(F.col("blob_id").alias(blob), spans.alias(found))
+    keyed = docs.withColumn(blob, blob_id(F.col(text))).join(per_blob, blob, "left")
     body = F.col(text)
     cut = F.aggregate(
-        "_spans",
+        found,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
             F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(body, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out"))
         ),
         lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))),
     )
-    redacted = F.when(F.col("_spans").isNotNull() & body.isNotNull(), cut).otherwise(body)
+    redacted = F.when(F.col(found).isNotNull() & body.isNotNull(), cut).otherwise(body)
     return keyed.withColumn(text, redacted).select(*docs.columns)

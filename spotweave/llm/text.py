@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 # Text handled at a time inside a task: bounds the numpy arrays, whatever the batch is.
 CHUNK_BYTES = 2 << 20
@@ -138,3 +139,11 @@ def chunks(batches, column: str, size: int = CHUNK_BYTES, lower: bool = False) -
             total += len(t)
         if low < len(texts):
             yield batch.slice(low), texts[low:]
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while base in taken:
+        base += "_"
+    return base

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from spotweave.llm.ngrams import HashArray, count_grams
-from spotweave.llm.text import ALNUM, chunks, hash_slices, hash_words, mix
+from spotweave.llm.text import ALNUM, chunks, free_name, hash_slices, hash_words, mix
 from spotweave.session import cut_lineage
 
 SAMPLE_ROWS = 200_000
@@ -258,16 +258,25 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return Classifier(evidence, fit_logistic(np.stack([table.column(f"x{i}").to_numpy() for i in range(5)], 1), y), toxic / n)
 
 
-def score(docs: DataFrame, classifier: Classifier, text: str = "text") -> DataFrame:
-    """``docs`` with ``toxicity``, from 0 to 1."""
+def score(docs: DataFrame, classifier: Classifier, text: str = "text", out: str = "toxicity") -> DataFrame:
+    """``docs`` with ``out``, from 0 to 1; it replaces a column of that name."""
     sent = docs.sparkSession.sparkContext.broadcast(classifier)
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", toxicity double"
+    kept = [c for c in docs.columns if c != out]
+    names = [f"c{i}" for i in range(len(kept))]
+    rows = docs.select(*(F.col(c).alias(a) for c, a in zip(kept, names)))
+    content = names[kept.index(text)]
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields] + ["score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         own = Restorer(model.evidence.model) if model.evidence else None
-        for part, texts in chunks(batches, text, lower=True):
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(texts, own))], names=[*names, "toxicity"])
+        for part, texts in chunks(batches, content, lower=True):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(texts, own))], names=[*names, "score"])
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*(F.col(a).alias(c) for c, a in zip(kept, names)), F.col("score").alias(out))
+
+
+def drop_toxic(docs: DataFrame, classifier: Classifier, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, unchanged."""
+    out = free_name(docs, "toxicity")
+    return score(docs, classifier, text, out).where(F.col(out) < threshold).select(docs.columns)
