@@ -297,10 +297,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
 def cut_out(docs: DataFrame, items: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """``docs`` without the benchmark passages: ``text`` loses them, ``n_chars`` follows where
     a text is cut, and a row of which no word is left goes. Other rows are unchanged."""
-    found = decontaminate(docs, items, text, carry=tuple(docs.columns))
+    own = {c: f"own{i}" for i, c in enumerate(docs.columns)}  # apart from the columns of the findings
+    found = decontaminate(docs.select(*(F.col(c).alias(a) for c, a in own.items())), items, own[text], carry=tuple(own.values()))
     gone = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, s: total + s["end"] - s["start"])
     kept = found.where((F.size("spans") == 0) | (gone < F.col("n_words")))
-    out = kept.withColumn(text, F.coalesce("left", text))
-    if n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.when(F.col("left").isNotNull(), F.length("left").cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
-    return out.select(docs.columns)
+    new = {c: F.col(a) for c, a in own.items()}
+    new[text] = F.coalesce("left", own[text])
+    if n_chars in new:
+        new[n_chars] = F.when(F.col("left").isNotNull(), F.length("left").cast(docs.schema[n_chars].dataType)).otherwise(new[n_chars])
+    return kept.select(*(value.alias(c) for c, value in new.items()))
