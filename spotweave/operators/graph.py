@@ -16,6 +16,8 @@ from spotweave.session import cut_lineage
 MAX_COMPONENTS = 30
 GRAPH_NEIGHBOURS = 15  # counts the row itself, as the usual neighbour search does
 RESOLUTION = 3.0
+# Modularity gain (in edge weight) below which a move is not made.
+TOLERANCE = 1e-9
 
 
 def principal_components(vectors: DataFrame, limit: int = MAX_COMPONENTS) -> DataFrame:
@@ -113,16 +115,17 @@ def modularity_of_labels(graph: DataFrame, assigned: DataFrame) -> DataFrame:
     return _modularity(pairs)
 
 
-def _local_moves(edges: DataFrame, nodes: DataFrame, resolution: float, rounds: int, total: float) -> DataFrame:
-    """``(v, label)`` after rounds of moving nodes to the neighbouring community with
-    the best modularity gain.
+def _local_moves(edges: DataFrame, nodes: DataFrame, resolution: float, total: float, tolerance: float = TOLERANCE) -> DataFrame:
+    """``(v, label)`` after moving nodes to the neighbouring community with the best
+    modularity gain, until no node would gain more than ``tolerance`` by a move.
 
     ``edges(u, v, w)`` holds both directions without loops, ``nodes(v, deg)`` the
-    weighted degrees. A round moves the half of the nodes picked by hash, so that two
-    neighbours rarely swap; a label that would not gain stays.
+    weighted degrees. A round moves a share of the nodes picked by hash, at first a half and
+    later fewer, so that neighbours which keep swapping come apart.
     """
-    labels = nodes.select("v", F.col("v").alias("label"), "deg").persist()
-    for step in range(rounds):
+    labels = nodes.select("v", F.col("v").alias("label"), "deg")
+    step = 0
+    while True:
         volume = labels.groupBy("label").agg(F.sum("deg").alias("vol"))
         toward = (
             edges.join(labels.select(F.col("v").alias("u"), F.col("label").alias("near")), "u")
@@ -161,27 +164,20 @@ def _local_moves(edges: DataFrame, nodes: DataFrame, resolution: float, rounds:
                     -F.lit(resolution) * F.col("deg") * (F.col("own_vol") - F.col("deg")) / F.lit(2.0 * total),
                 ),
             )
-            .withColumn("turn", F.pmod(F.xxhash64("v", F.lit(step)), F.lit(2)) == 0)
-            .select(
-                "v",
-                "deg",
-                F.when(F.col("turn") & (F.col("gain") > F.col("stay_gain") + 1e-9), F.col("to"))
-                .otherwise(F.col("label"))
-                .alias("new"),
-                "label",
-            )
+            .withColumn("turn", F.pmod(F.xxhash64("v", F.lit(step)), F.lit(2 + step // 12)) == 0)
+            .withColumn("better", F.coalesce(F.col("gain") > F.col("stay_gain") + tolerance, F.lit(False)))
+            .select("v", "deg", F.when(F.col("turn") & F.col("better"), F.col("to")).otherwise(F.col("label")).alias("new"), "better")
         )
         # A round reads the last labels several times; without a cut the plan would
         # grow by that factor each round.
         saved = cut_lineage(moved)
-        changed = saved.where(F.col("new") != F.col("label")).limit(1).count()
         labels = saved.select("v", F.col("new").alias("label"), "deg")
-        if not changed and step % 2:
-            break
-    return labels.select("v", "label")
+        if saved.where("better").isEmpty():
+            return labels.select("v", "label")
+        step += 1
 
 
-def _connected(edges: DataFrame, labels: DataFrame, rounds: int = 50) -> DataFrame:
+def _connected(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Splits communities that fell apart: the smallest id reachable inside each."""
     inside = (
         edges.join(labels.select(F.col("v").alias("u"), F.col("label").alias("lu")), "u")
@@ -210,15 +206,14 @@ def _connected(edges: DataFrame, labels: DataFrame, rounds: int = 50) -> DataFra
 def communities(
     edges: DataFrame,
     resolution: float = RESOLUTION,
-    levels: int = 2,
-    rounds: int = 8,
     vertices: DataFrame | None = None,
+    tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """``(obs_id, c, name)``: communities of a graph by modularity, numbered by size.
 
     Local moving and aggregation in the manner of the Leiden method: each level
     moves nodes, splits communities that are not connected, and merges the rest into
-    the nodes of the next level. Deterministic; labels are not those of another
+    the nodes of the next level, until nothing moves and nothing merges. Deterministic; labels are not those of another
     implementation. ``vertices(obs_id)`` adds rows without an edge.
     """
     graph = simple_graph(edges)
@@ -233,14 +228,15 @@ def communities(
     total = (current.agg(F.sum("w")).first()[0] or 0.0) / 2.0
     member = nodes.select(F.col("v").alias("obs_id"), F.col("v").alias("c"))
     if total > 0:
-        for _ in range(levels):
-            moved = _local_moves(current, nodes, resolution, rounds, total)
+        while True:
+            moved = _local_moves(current, nodes, resolution, total, tolerance)
             joined = cut_lineage(_connected(current, moved))
             member = cut_lineage(
                 member.join(joined.select(F.col("v").alias("c"), "label"), "c").select(
                     "obs_id", F.col("label").alias("c")
                 )
             )
+            before = nodes.count()
             nodes = cut_lineage(
                 nodes.join(joined, "v").groupBy("label").agg(F.sum("deg").alias("deg")).withColumnRenamed("label", "v")
             )
@@ -251,7 +247,7 @@ def communities(
                 .groupBy(F.col("lu").alias("u"), F.col("lv").alias("v"))
                 .agg(F.sum("w").alias("w"))
             )
-            if current.isEmpty():
+            if nodes.count() == before or current.isEmpty():
                 break
     sizes = member.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
     # One row per community reaches this window.

@@ -172,39 +172,40 @@ def index_count_mismatches(
     )
 
 
-def check_label_keys(obs: DataFrame, index_row: dict[str, str], subject: str) -> DataFrame:
-    """Label columns an index row names: they must exist, and their number of distinct
-    labels must match. Reading stops at the first blank key."""
-    spark = obs.sparkSession
-    found, parts = [], []
-    for i in range(3):
-        key = (index_row.get(f"CellTypeKey{i}") or "").strip()
-        if not key:
-            break
-        if key not in obs.columns:
-            found.append((subject, f"label_key_{i}", "error", 1, f"{key} not found"))
-            continue
-        stated = (index_row.get(f"NumberCellTypes{i}") or "").strip()
-        if not stated:
-            found.append((subject, f"label_count_{i}", "warn", 1, f"count of {key} not set"))
-            continue
-        try:
-            expected = int(stated)
-        except ValueError:
-            continue
-        actual = obs.agg(F.countDistinct(key).alias("n"))
-        parts.append(
-            _finding(
-                actual,
-                F.col("n") != expected,
-                subject,
-                f"label_count_{i}",
-                "warn",
-                F.col("n"),
-                F.format_string(f"{stated} != %d labels in {key}", F.col("n")),
-            )
-        )
-    return union_findings([spark.createDataFrame(found, SCHEMA), *parts])
+def label_counts(obs: DataFrame) -> DataFrame:
+    """``(key, n)``: distinct labels of every column of ``obs``."""
+    n = [F.countDistinct(c).alias(c) for c in obs.columns]
+    return obs.agg(*n).unpivot([], obs.columns, "key", "n")
+
+
+def stated_keys(index: DataFrame, slots: int = 3) -> DataFrame:
+    """``(Name, slot, key, stated)``: the label columns that index rows name, up to the
+    first blank slot."""
+    text = lambda c: F.trim(F.col(c).cast("string")) if c in index.columns else F.lit("")
+    pairs = [F.struct(F.lit(i).alias("slot"), text(f"CellTypeKey{i}").alias("key"), text(f"NumberCellTypes{i}").alias("stated")) for i in range(slots)]
+    rows = index.select("Name", F.inline(F.array(*pairs)))
+    blank = F.min(F.when(F.coalesce("key", F.lit("")) == "", F.col("slot"))).over(W.partitionBy("Name"))
+    return rows.withColumn("blank", blank).where(F.col("blank").isNull() | (F.col("slot") < F.col("blank"))).drop("blank")
+
+
+def check_label_keys(obs: DataFrame, index: DataFrame, subject: str) -> DataFrame:
+    """Label columns that the rows of ``index`` name: each must be a column of ``obs``, and
+    a stated number of labels must be that of the column. Other text as number is ignored."""
+    joined = stated_keys(index).join(label_counts(obs), "key", "left")
+    stated = F.coalesce("stated", F.lit(""))
+    number = safe_int("stated")
+    one = F.lit(1).cast("bigint")
+
+    def verdict(what: str, severity: str, n: Column, *words: Column) -> Column:
+        return F.struct(F.lit(what).alias("what"), F.lit(severity).alias("severity"), n.alias("n"), F.concat_ws(" ", *words).alias("detail"))
+
+    verdict_of = (
+        F.when(F.col("n").isNull(), verdict("label_key_", "error", one, F.col("key"), F.lit("is no column")))
+        .when(stated == "", verdict("label_count_", "warn", one, F.lit("no number stated for"), F.col("key")))
+        .when(number != F.col("n"), verdict("label_count_", "warn", F.col("n"), F.col("key"), F.lit("has"), F.col("n"), F.lit("labels, stated"), stated))
+    )
+    found = joined.select("slot", verdict_of.alias("v")).where("v IS NOT NULL")
+    return found.select(F.lit(subject).alias("subject"), F.concat("v.what", "slot").alias("check"), "v.severity", "v.n", "v.detail")
 
 
 def check_pair(

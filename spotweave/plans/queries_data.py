@@ -257,8 +257,11 @@ def validate_coordinates(spark: SparkSession, sf: str) -> DataFrame:
     UNION ALL SELECT 'sc', 'label_key_2', 'error', 1""",
 )
 def validate_labels(spark: SparkSession, sf: str) -> DataFrame:
-    row = {"CellTypeKey0": "label", "NumberCellTypes0": "3", "CellTypeKey1": "segment", "CellTypeKey2": "absent"}
-    out = validate.check_label_keys(tables.customer_rows(spark, sf), row, "sc")
+    # One index row, posed on the first nation: a wrong number, no number, no such column.
+    names = {"CellTypeKey0": "label", "NumberCellTypes0": "3", "CellTypeKey1": "segment", "CellTypeKey2": "absent"}
+    nation = tables.table(spark, sf, "nation").where("n_nationkey = 0")
+    index = nation.select(F.col("n_name").alias("Name"), *(F.lit(v).alias(k) for k, v in names.items()))
+    out = validate.check_label_keys(tables.customer_rows(spark, sf), index, "sc")
     return out.select("subject", "check", "severity", "n")
 
 
@@ -475,14 +478,15 @@ def renumber_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "append_dedup",
-    """SELECT c_nationkey AS key, CAST('customer' AS VARCHAR) AS src FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_acctbal > 9000)
-    UNION ALL SELECT s_nationkey, 'supplier' FROM (SELECT DISTINCT s_nationkey FROM supplier) WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)""",
+    """SELECT o_custkey AS key, CAST('orders' AS VARCHAR) AS src FROM (SELECT DISTINCT o_custkey FROM orders)
+    UNION ALL SELECT c_custkey, 'customer' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""",
 )
 def append_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    have = tables.table(spark, sf, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("key")).distinct()
-    more = tables.table(spark, sf, "supplier").select(F.col("s_nationkey").alias("key"))
+    """Customers appended to the keys of the orders: those without an order are new."""
+    have = tables.table(spark, sf, "orders").select(F.col("o_custkey").alias("key")).distinct()
+    more = tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("key"))
     return prep.append_rows(
-        have.withColumn("src", F.lit("customer")), more.withColumn("src", F.lit("supplier")).withColumn("extra", F.lit(1)), "key"
+        have.withColumn("src", F.lit("orders")), more.withColumn("src", F.lit("customer")).withColumn("extra", F.lit(1)), "key"
     )
 
 
@@ -506,16 +510,16 @@ def unpivot_wide(spark: SparkSession, sf: str) -> DataFrame:
     "aligned_sum",
     """SELECT obs_id, feature, SUM(x) AS x FROM (
         SELECT user_id AS obs_id, event_type AS feature, CAST(count(*) AS DOUBLE) AS x FROM events GROUP BY 1, 2
-        UNION ALL SELECT user_id, event_type, CAST(count(*) AS DOUBLE) FROM events WHERE value > 50 GROUP BY 1, 2) GROUP BY 1, 2""",
+        UNION ALL SELECT CAST(day(ts) AS BIGINT), event_type, CAST(count(*) AS DOUBLE) FROM events GROUP BY 1, 2) GROUP BY 1, 2""",
 )
 def aligned_sum(spark: SparkSession, sf: str) -> DataFrame:
-    high = (
+    """Events per user and events per day of the month, added where the row numbers meet."""
+    daily = (
         tables.table(spark, sf, "events")
-        .where("value > 50")
-        .groupBy(F.col("user_id").alias("obs_id"), F.col("event_type").alias("feature"))
+        .groupBy(F.dayofmonth("ts").cast("bigint").alias("obs_id"), F.col("event_type").alias("feature"))
         .agg(F.count(F.lit(1)).cast("double").alias("x"))
     )
-    return features.sum_aligned([tables.event_counts(spark, sf), high])
+    return features.sum_aligned([tables.event_counts(spark, sf), daily])
 
 
 @query(
@@ -536,12 +540,12 @@ def key_translation(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "attach_labels",
-    "SELECT s_suppkey AS obs_id, c_mktsegment AS segment FROM supplier LEFT JOIN customer ON s_suppkey = c_custkey AND c_acctbal > 0",
+    "SELECT c_custkey AS obs_id, s_name FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey",
 )
 def attach_labels(spark: SparkSession, sf: str) -> DataFrame:
-    ann = tables.table(spark, sf, "customer").where("c_acctbal > 0").select("c_custkey", F.col("c_mktsegment").alias("segment"))
-    out = prep.attach_labels(tables.supplier_rows(spark, sf), ann, "c_custkey", "segment")
-    return out.select("obs_id", "segment")
+    """Supplier names attached to the customers of the same number; most have none."""
+    names = tables.table(spark, sf, "supplier").select("s_suppkey", "s_name")
+    return prep.attach_labels(tables.customer_rows(spark, sf), names, "s_suppkey", "s_name").select("obs_id", "s_name")
 
 
 @query(

@@ -212,7 +212,7 @@ def run_pair(spark: SparkSession, sc_path: str, st_path: str, out: str, config:
     sc, st = readers.read_matrix(spark, sc_path), readers.read_matrix(spark, st_path)
     sc_obs, sc_counts = sc.obs, sc.counts
     if config.start_from_annotation:
-        # Before normalising, so that every table covers the same rows.
+        # All tables below start from the labelled rows.
         sc_obs = clusters.drop_unlabelled(sc_obs, config.start_from_annotation)
         sc_counts = sc_counts.join(sc_obs.select("obs_id"), "obs_id", "left_semi")
     shared = sc.var.distinct().join(st.var.distinct(), "feature", "left_semi").persist()
@@ -264,25 +264,38 @@ def run_pair(spark: SparkSession, sc_path: str, st_path: str, out: str, config:
     return compare(spark, run, sorted(ks), confidence is not None)
 
 
+JOBS = "pair bigint, reference string, spatial string, folder string, status string, detail string"
+
+
+def batch_jobs(spark: SparkSession, pairs_csv: str, sc_dir: str, st_dir: str) -> DataFrame:
+    """One job per row of a pairs table, with the folders it reads and the one it writes."""
+    number = F.col("PairID").cast("bigint")
+    name = F.concat(F.lpad(number.cast("string"), 3, "0"), F.lit("_"), F.col("scName"), F.lit("__"), F.col("stName"))
+    return readers.read_pairs(spark, pairs_csv).select(
+        number.alias("pair"), F.concat(F.lit(f"{sc_dir}/"), "scName").alias("reference"), F.concat(F.lit(f"{st_dir}/"), "stName").alias("spatial"), name.alias("folder")
+    )
+
+
 def run_batch(
     spark: SparkSession, pairs_csv: str, sc_dir: str, st_dir: str, out: str, config: SweepConfig | None = None
-) -> list[str]:
-    """Sweeps every row of a pairs table; a failed pair is reported, the rest go on."""
-    errors = []
-    # The pairs table is a short list of jobs, not data.
-    for row in readers.read_pairs(spark, pairs_csv).collect():
-        pair_id = int(row["PairID"])
-        sc_path, st_path = f"{sc_dir}/{row['scName']}", f"{st_dir}/{row['stName']}"
-        missing = [p for p in (sc_path, st_path) if not files.exists(spark, p)]
-        if missing:
-            errors.append(f"[pair {pair_id}] missing: {missing}")
-            continue
+) -> DataFrame:
+    """Sweeps the pairs of a table and writes the table ``jobs``: what became of each, ``done``,
+    ``missing`` (an input folder is absent) or ``failed``."""
+
+    def status_of(job) -> tuple[str, str]:
+        absent = [path for path in (job.reference, job.spatial) if not files.exists(spark, path)]
+        if absent:
+            return "missing", ", ".join(absent)
         try:
-            run_pair(spark, sc_path, st_path, f"{out}/{pair_id:03d}_{row['scName']}__{row['stName']}", config)
-        except Exception as e:  # one bad pair must not stop a batch
-            errors.append(f"[pair {pair_id}] failed: {e}")
-        finally:
-            spark.catalog.clearCache()
-    for message in errors:
-        logger.error(message)
-    return errors
+            run_pair(spark, job.reference, job.spatial, f"{out}/{job.folder}", config)
+        except Exception as problem:  # the other jobs do not depend on this one
+            logger.exception("sweep of %s", job.folder)
+            return "failed", str(problem)
+        return "done", ""
+
+    finished = []
+    for job in batch_jobs(spark, pairs_csv, sc_dir, st_dir).orderBy("pair").collect():  # jobs, not data
+        finished.append((*job, *status_of(job)))
+        spark.catalog.clearCache()
+    spark.createDataFrame(finished, JOBS).write.mode("overwrite").parquet(f"{out}/jobs")
+    return spark.read.parquet(f"{out}/jobs")

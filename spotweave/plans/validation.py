@@ -35,14 +35,14 @@ def validate_matrix(
         parts.append(validate.check_coordinates(m.obs, side))
     extra: list[Finding] = []
     if index is not None:
-        rows = index.where(F.col("Name") == name).limit(1).collect()
-        if rows:
+        own = index.where(F.col("Name") == name)
+        if not own.isEmpty():
             n_obs = m.obs.agg(F.count(F.lit(1)).alias("n"))
             n_var = m.var.agg(F.count(F.lit(1)).alias("n"))
             count_column = "CellCount" if side == "sc" else "SpotCount"
             parts.append(validate.check_index_counts(index, name, side, {count_column: n_obs, "GeneCount": n_var}))
             if side == "sc":
-                parts.append(validate.check_label_keys(m.obs, rows[0].asDict(), side))
+                parts.append(validate.check_label_keys(m.obs, own, side))
         else:
             extra.append(("warn", "index_row", f"'{name}' has no row in the index"))
     return _collect(validate.union_findings(parts)) + extra, m

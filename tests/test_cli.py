@@ -15,6 +15,8 @@ from spotweave import cli
         ["validate", "--pairs_csv", "p", "--scdata", "a"],
         ["validate", "--scdata", "a", "--stdata", "b", "--sc_dir", "c"],
         ["unknown"],
+        ["run", "--scdata", "a", "--stdata", "b", "--output_dir", "c", "--mapping", "no_such"],
+        ["run", "--scdata", "a", "--stdata", "b", "--output_dir", "c", "--aligner", "x=no_such_module:f"],
     ],
 )
 def test_misuse_exits_with_2(argv):

@@ -92,7 +92,7 @@ def test_communities_find_two_cliques_and_keep_lone_rows(spark):
     clique = lambda ids: [(a, b) for a in ids for b in ids if a < b]
     edges = spark.createDataFrame(clique(range(6)) + clique(range(10, 16)) + [(0, 10)], "src bigint, dst bigint")
     everyone = spark.createDataFrame([(i,) for i in [*range(6), *range(10, 16), 99]], "obs_id bigint")
-    got = {r["obs_id"]: r["c"] for r in graph.communities(edges, 1.0, rounds=6, vertices=everyone).collect()}
+    got = {r["obs_id"]: r["c"] for r in graph.communities(edges, 1.0, vertices=everyone).collect()}
     assert len({got[i] for i in range(6)}) == 1 and len({got[i] for i in range(10, 16)}) == 1
     assert len(set(got.values())) == 3
 

@@ -27,8 +27,9 @@ def root(spark, tmp_path_factory):
 
 def test_batch_reports_missing_and_sweeps_the_rest(spark, root):
     config = sweep.SweepConfig(start_from_annotation="segment")
-    errors = sweep.run_batch(spark, f"{root}/pairs.csv", f"{root}/scRNA", f"{root}/ST", f"{root}/out", config)
-    assert len(errors) == 1 and "absent" in errors[0]
+    jobs = sweep.run_batch(spark, f"{root}/pairs.csv", f"{root}/scRNA", f"{root}/ST", f"{root}/out", config)
+    assert {(r["pair"], r["status"]) for r in jobs.collect()} == {(0, "done"), (1, "missing")}
+    assert "absent" in jobs.where("pair = 1").first()["detail"]
     out = f"{root}/out/000_cust__supp"
     run = f"{out}/nearest_centroid"
     for name in TABLES:
