@@ -97,10 +97,3 @@ def first_json_object(text: str | Column) -> Column:
     """The first brace-delimited object in noisy text (one nesting level inside)."""
     found = F.regexp_extract(col(text), r"(\{(?:[^{}]|\{[^{}]*\})*\})", 1)
     return F.nullif(found, F.lit(""))
-
-
-def padded_range(low: Column, high: Column, pad: float = 0.05) -> list[Column]:
-    """Axis limits widened by a share of the span (or by ``pad`` when the span is 0)."""
-    span = high - low
-    room = F.when(span > 0, span * pad).otherwise(F.lit(pad))
-    return [low - room, high + room]

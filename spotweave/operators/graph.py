@@ -283,8 +283,3 @@ def place_centroids(
         .select(F.from_json("obs_id", "k int, state int").alias("s"), "u", "v")
         .select("s.k", "s.state", "u", "v")
     )
-
-
-def plane_layout(components: DataFrame) -> DataFrame:
-    """``(obs_id, u, v)``: the first two components, for display."""
-    return components.select("obs_id", F.get("vec", 0).alias("u"), F.get("vec", 1).alias("v"))

@@ -43,9 +43,6 @@ METRIC_COLUMNS = (
     "mean_confidence",
 )
 # Criterion pairs drawn against each other.
-SCATTER_PAIRS = (("recon", "spatial"), ("recon", "coherence"), ("spatial", "coherence"))
-
-
 def _column(table: DataFrame, name: str) -> Column:
     """The column as a double with NaN for missing values; all NaN when absent."""
     return finite_or_nan(f"`{name}`") if name in table.columns else F.lit(NAN)

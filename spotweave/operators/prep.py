@@ -260,13 +260,6 @@ def register_patches(
     )
 
 
-def scale_by_spot_share(pairs: DataFrame, column: str, shares: DataFrame) -> DataFrame:
-    """Scales a per-pair estimate by the share of spots a split part holds."""
-    return pairs.join(shares, "stName", "left").withColumn(
-        column, F.expr(f"try_cast({column} AS DOUBLE)") * F.coalesce("share", F.lit(1.0))
-    ).drop("share")
-
-
 def attach_labels(obs: DataFrame, annotation: DataFrame, key: str, label: str) -> DataFrame:
     """Left join of labels on a row key; rows without a label keep NULL."""
     ann = annotation.select(F.col(key).cast("string").alias("_k"), F.col(label).alias(label)).dropDuplicates(["_k"])

@@ -104,11 +104,6 @@ def read_genes_by_cells(spark: SparkSession, path: str, sep: str = ",") -> DataF
     return unpivot_wide(wide, wide.columns[0], "feature", "obs_id").select("obs_id", "feature", "x")
 
 
-def read_cells_by_genes(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    wide = read_csv_rows(spark, path, sep)
-    return unpivot_wide(wide, wide.columns[0], "obs_id", "feature")
-
-
 def read_aligned_sum(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Cell-wise sum of aligned features x rows tables, scanned in parallel splits."""
     out = None

@@ -20,11 +20,6 @@ def write_matrix(counts: DataFrame, obs: DataFrame, path: str, mode: str = "over
     counts.select("feature").distinct().write.mode(mode).parquet(f"{path}/var")
 
 
-def save_bucketed(counts: DataFrame, table: str, buckets: int, mode: str = "overwrite") -> None:
-    """Saves counts bucketed by ``obs_id``: row windows and joins on it need no shuffle."""
-    counts.write.mode(mode).bucketBy(buckets, "obs_id").sortBy("obs_id").saveAsTable(table)
-
-
 def write_start_clustering(start: DataFrame, n_clusters: int, path: str) -> None:
     """``(obs_id, c, name)``; every cluster must have exactly one name."""
     names = start.select("c", "name").distinct()
@@ -67,11 +62,6 @@ def write_config(spark: SparkSession, run: str, config: dict) -> None:
     files.write_json(spark, f"{run}/config", config)
 
 
-def write_index_csv(table: DataFrame, path: str) -> None:
-    """Writes an index table (a few rows per data set) as one CSV with a header."""
-    table.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
-
-
 def tsv_to_csv(spark: SparkSession, source: str, target: str) -> None:
     spark.read.option("header", True).option("sep", "\t").csv(source).write.mode("overwrite").option(
         "header", True
