@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from spotweave.llm.text import chunks, mix
 
 # Distinct n-grams a task collects before it sends them on.
-FLUSH = 2_000_000
+FLUSH = 800_000
 
 
 def mask(length: int) -> np.uint64:
@@ -24,7 +24,7 @@ class HashArray:
     def __init__(self, keys: np.ndarray):
         hashes = mix(keys.astype(np.uint64, copy=False))
         self.order = np.argsort(hashes).astype(np.int32)
-        self.bits = max(1, int(2 * len(keys)).bit_length())
+        self.bits = max(1, len(keys).bit_length())
         sorted_ = hashes[self.order]
         lead = (sorted_ >> np.uint64(64 - self.bits)).astype(np.int64)
         self.start = np.searchsorted(lead, np.arange(1 << self.bits)).astype(np.int32)
@@ -44,6 +44,40 @@ class HashArray:
         return np.where(got == wanted, self.order[at], -1)
 
 
+class Tally:
+    """Counts of sorted 64-bit keys, merged when what came in since exceeds what is there."""
+
+    def __init__(self) -> None:
+        self.keys, self.n = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    @property
+    def size(self) -> int:
+        return len(self.keys) + self.waiting
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.new.append((keys, n))
+        self.waiting += len(keys)
+        if self.waiting > max(len(self.keys), 200_000):
+            self.merge()
+
+    def merge(self) -> None:
+        keys = np.concatenate([self.keys, *(k for k, _ in self.new)])
+        n = np.concatenate([self.n, *(c for _, c in self.new)])
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+        self.keys, self.n = keys[head], np.add.reduceat(n, head) if len(head) else n
+        self.new, self.waiting = [], 0
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        self.merge()
+        out = self.keys, self.n.astype(np.int64)
+        self.keys, self.n = np.empty(0, np.uint64), np.empty(0, np.int64)
+        return out
+
+
 def grams(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``length`` bytes up to and with each symbol of each text, packed into a number, and
     the first symbol of each text. A text's symbols are its bytes and an end, 0; zeros precede
@@ -66,14 +100,14 @@ def count_grams(rows: DataFrame, length: int, lower: bool = True, keyed: bool =
     own n-grams first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-        size = 0
+        held: dict[str, Tally] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for key, parts in held.items():
-                every, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-                n = np.bincount(which, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(every), pa.string()), pa.array(every.view(np.int64)), pa.array(n)], names=["key", "gram", "n"])
+            for key, tally in held.items():
+                every, n = tally.take()
+                for low in range(0, len(every), 1 << 18):
+                    part, k = every[low : low + (1 << 18)], n[low : low + (1 << 18)]
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(part), pa.string()), pa.array(part.view(np.int64)), pa.array(k)], names=["key", "gram", "n"])
 
         for part, texts in chunks(batches, "text", lower=lower):
             keys = part.column("key").to_pylist() if keyed else [""] * len(texts)
@@ -81,12 +115,9 @@ def count_grams(rows: DataFrame, length: int, lower: bool = True, keyed: bool =
             for key, text in zip(keys, texts):
                 by_key.setdefault(key or "", []).append(text)
             for key, own in by_key.items():
-                found = np.unique(grams(own, length)[0], return_counts=True)
-                held.setdefault(key, []).append(found)
-                size += len(found[0])
-            if size > FLUSH:
+                held.setdefault(key, Tally()).add(*np.unique(grams(own, length)[0], return_counts=True))
+            if sum(t.size for t in held.values()) > FLUSH:
                 yield from flush()
-                held, size = {}, 0
         yield from flush()
 
     from pyspark.sql import functions as F

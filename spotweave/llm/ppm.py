@@ -26,13 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from spotweave.llm.ngrams import HashArray, count_grams, grams, mask, roll_up
+from spotweave.llm.ngrams import FLUSH, HashArray, Tally, count_grams, grams, mask, roll_up
 from spotweave.llm.text import NOT_SPACE, chunks, hash_words
 from spotweave.session import cut_lineage
 
 DEPTH = 5
 NODE_BYTES = 48
 SHARD_BYTES = 192 << 20
+# Text scored at a time in a task.
+SCORED_BYTES = 1 << 20
 WORD_BYTES = 24
 WORDS_BYTES = 128 << 20
 END = np.uint64(0x456E64)  # the end token's place among the word hashes
@@ -46,7 +48,7 @@ class Nodes:
         self.depth, self.shard, self.shards = depth, shard, shards
         lengths, packed = lengths.astype(np.uint64), packed.astype(np.uint64)
         # Contexts are nodes too: zeros that precede a text, and in a shard those counted elsewhere.
-        start, inner = np.arange(1, depth + 1, dtype=np.uint64), lengths > 1
+        start, inner = np.arange(1, depth + 1, dtype=np.uint64), (lengths > 1) & (shards > 1)
         counts = np.concatenate([counts, np.zeros(depth + int(inner.sum()))])
         lengths, packed = (
             np.concatenate([lengths, start, lengths[inner] - np.uint64(1)]),
@@ -111,6 +113,7 @@ class Trie(Nodes):
             self.left_room = log(2 * rest)
             self.left_escape = np.where(rest_kinds > 0, log(rest_kinds / (2 * rest)), 0).astype(np.float32)
         self.floor = math.log10(max(1, 256 - int(kinds[root])))
+        del self.n, self.lengths, self.context
 
     def code(self, values: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each packed n-gram after the others."""
@@ -141,11 +144,10 @@ def shard_of(values: np.ndarray, shards: int) -> np.ndarray:
 class WordTable:
     """Counts of hashed words; ``base`` sums add-one log10 probabilities of the tokens."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray):
-        self.index = HashArray(words)
-        self.total, self.kinds = int(counts.sum()), len(words)
-        self.log = np.log10(np.append(counts, 0) + 1.0)
-        self.share = math.log10(self.total + self.kinds + 1)
+    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int):
+        self.index = HashArray(words.view(np.uint64))
+        self.counts = np.append(counts, 0)
+        self.share = math.log10(total + len(words) + 1)
 
     def score(self, texts: list[bytes]) -> dict[str, np.ndarray]:
         tokens, first = text_tokens(texts)
@@ -153,7 +155,7 @@ class WordTable:
         return {
             "n_tokens": np.diff(np.append(first, len(tokens))),
             "n_known": np.add.reduceat((at >= 0).astype(np.int64), first),
-            "base_score": np.add.reduceat(self.log[at] - self.share, first),
+            "base_score": np.add.reduceat(np.log10(self.counts[at] + 1.0) - self.share, first),
         }
 
 
@@ -173,59 +175,94 @@ def count_words(rows: DataFrame) -> DataFrame:
     """``(word, n)``: tokens of all rows by hash, added up in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in chunks(batches, "text", 16 << 20, lower=True):
-            words, n = np.unique(text_tokens(texts)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+        held = Tally()
+        for _, texts in chunks(batches, "text", lower=True):
+            held.add(*np.unique(text_tokens(texts)[0], return_counts=True))
+            if held.size > FLUSH:
+                words, n = held.take()
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
+        words, n = held.take()
+        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
 
     return rows.mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class Deferred:
+    """A scorer that each worker makes from compact arrays when it first needs it."""
+
+    def __init__(self, make, *args):
+        self.make, self.args, self.made = make, args, None
+
+    def get(self):
+        if self.made is None:
+            self.made, self.args = self.make(*self.args), ()
+        return self.made
+
+
 def columns_of(df: DataFrame) -> list[np.ndarray]:
-    """Columns of a table of bounded size; integers of any width as 64 bits."""
-    table = df.toArrow()
-    return [c.to_numpy().astype(np.int64) for c in table.columns]
+    """Columns of a table of bounded size."""
+    return [c.to_numpy() for c in df.toArrow().columns]
 
 
-def trie_shards(nodes: DataFrame, depth: int = DEPTH, shard_bytes: int = SHARD_BYTES, kind=Trie) -> Iterator[Nodes]:
-    """One model per shard, made one after the other; n-grams of up to two bytes are in each."""
+def trie_shards(nodes: DataFrame, depth: int = DEPTH, shard_bytes: int = SHARD_BYTES, kind=Trie, *more) -> Iterator[tuple[Deferred, bool]]:
+    """One model per shard, made one after the other, and whether it is the last; n-grams of
+    up to two bytes are in each."""
     shards = int(nodes.count() * NODE_BYTES // shard_bytes) + 1
     key = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
     for i in range(shards):
         own = nodes.where((F.col("length") <= 2) | (F.pmod(key, F.lit(shards)) == i))
-        yield kind(*columns_of(own.select("length", "gram", "n")), depth, i, shards)
+        arrays = columns_of(own.select(F.col("length").cast("tinyint"), "gram", F.col("n").cast("double").cast("float")))
+        yield Deferred(kind, *arrays, depth, i, shards, *more), i == shards - 1
 
 
-def apply_scorer(rows: DataFrame, scorer, columns: dict[str, str], add: bool, lower: bool = True) -> DataFrame:
-    """One pass: appends a scorer's columns, or adds to those that are there."""
+def apply_scorers(rows: DataFrame, scorers: list, columns: dict[str, str], add: bool = False, lower: bool = True, keep_text: bool = True) -> DataFrame:
+    """One pass: appends the scorers' columns, or adds to those that are there. Without
+    ``keep_text`` the texts do not travel back."""
     rows = rows if add else rows.drop(*columns)
-    sent = rows.sparkSession.sparkContext.broadcast(scorer)
-    kept = [f.name for f in rows.schema.fields]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + ([] if add else [f"{c} {t}" for c, t in columns.items()]))
+    sent = [rows.sparkSession.sparkContext.broadcast(s) for s in scorers]
+    names = [f.name for f in rows.schema.fields] + ([] if add else list(columns))
+    names = [n for n in names if keep_text or n != "text"]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields} | columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in chunks(batches, "text", lower=lower):
-            got = {k: pa.array(v) for k, v in sent.value.score(texts).items()}
+        for part, texts in chunks(batches, "text", SCORED_BYTES, lower=lower):
+            got: dict[str, np.ndarray] = {}
+            for scorer in sent:
+                got |= scorer.value.get().score(texts)
             if add:
-                got = {k: pa.array(v.to_numpy() + part.column(k).to_numpy()) for k, v in got.items()}
-            yield pa.RecordBatch.from_arrays([got.get(k, part.column(k) if k in part.schema.names else None) for k in [*kept, *(() if add else columns)]], names=[*kept, *(() if add else columns)])
+                got = {k: v + part.column(k).to_numpy() for k, v in got.items()}
+            yield pa.RecordBatch.from_arrays([pa.array(got[k]) if k in got else part.column(k) for k in names], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in names))
 
 
-def score_documents(rows: DataFrame, nodes: DataFrame, depth: int = DEPTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``rows`` (any columns, with ``text``) and ``score``, the log10 probability of each text."""
-    for i, trie in enumerate(trie_shards(nodes, depth, shard_bytes)):
-        rows = apply_scorer(rows if i == 0 else cut_lineage(rows), trie, {"score": "double"}, add=i > 0)
+def score_documents(rows: DataFrame, nodes: DataFrame, depth: int = DEPTH, shard_bytes: int = SHARD_BYTES, more: list | None = None, columns: dict[str, str] | None = None, keep_text: bool = True) -> DataFrame:
+    """``rows`` (any columns, with ``text``) and ``score``, the log10 probability of each text.
+    ``more`` scorers with their ``columns`` join the first pass."""
+    for i, (trie, last) in enumerate(trie_shards(nodes, depth, shard_bytes)):
+        keep = keep_text or not last
+        if i == 0:
+            rows = apply_scorers(rows, [trie, *(more or [])], {"score": "double"} | (columns or {}), keep_text=keep)
+        else:
+            rows = apply_scorers(cut_lineage(rows), [trie], {"score": "double"}, add=True, keep_text=keep)
     return rows
 
 
-def word_scores(rows: DataFrame, counts: DataFrame, words_bytes: int = WORDS_BYTES) -> DataFrame:
-    """``rows`` with ``n_tokens``, ``n_known`` and ``base_score``."""
+BASE = {"n_tokens": "bigint", "n_known": "bigint", "base_score": "double"}
+
+
+def score_with_base(rows: DataFrame, nodes: DataFrame, counts: DataFrame, words_bytes: int = WORDS_BYTES, **options) -> DataFrame:
+    """``rows`` with ``score`` and the word base ``n_tokens``, ``n_known`` and ``base_score``."""
     size = counts.agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total")).first()
-    columns = {"n_tokens": "bigint", "n_known": "bigint", "base_score": "double"}
     if size["kinds"] * WORD_BYTES <= words_bytes:
-        words, n = columns_of(counts.select("word", "n"))
-        return apply_scorer(rows, WordTable(words.view(np.uint64), n), columns, add=False)
+        words = Deferred(WordTable, *columns_of(counts.select("word", "n")), size["total"] or 0)
+        return score_documents(rows, nodes, more=[words], columns=BASE, **options)
+    options.pop("keep_text", None)
+    return joined_base(score_documents(rows, nodes, **options), counts, (size["total"] or 0) + size["kinds"] + 1)
+
+
+def joined_base(rows: DataFrame, counts: DataFrame, room: int) -> DataFrame:
+    """The word base by a join, for any number of words: ``room`` is N + V + 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches, "text", lower=True):
@@ -234,20 +271,20 @@ def word_scores(rows: DataFrame, counts: DataFrame, words_bytes: int = WORDS_BYT
                 words, k = np.unique(tokens[a:b], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([part.column("_digest")[i].as_py()] * len(words), pa.string()), pa.array(words.view(np.int64)), pa.array(k)], names=["_digest", "word", "k"])
 
-    keyed = rows.withColumn("_digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    keyed = rows.drop(*BASE).withColumn("_digest", F.sha2(F.coalesce("text", F.lit("")), 256))
     tokens = keyed.groupBy("_digest").agg(F.first("text").alias("text")).mapInArrow(run, "_digest string, word bigint, k bigint")
-    share = math.log10((size["total"] or 0) + size["kinds"] + 1)
     found = tokens.join(counts, "word", "left").groupBy("_digest").agg(
         F.sum("k").alias("n_tokens"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("k") * (F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0)) - share)).alias("base_score"),
+        F.sum(F.col("k") * (F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0)) - math.log10(room))).alias("base_score"),
     )
     return keyed.join(found, "_digest").drop("_digest")
 
 
 def train(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
     """The trie's n-grams ``(length, gram, n)`` of all ``rows(text)``, written once."""
-    return cut_lineage(roll_up(count_grams(rows, depth + 1), depth + 1, distinct=True).drop("key"))
+    counts = cut_lineage(count_grams(rows, depth + 1))
+    return cut_lineage(roll_up(counts, depth + 1, distinct=True).drop("key"))
 
 
 def adaptive_code_length(text: bytes, depth: int = DEPTH) -> float:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from spotweave.llm.ngrams import count_grams, roll_up
-from spotweave.llm.ppm import SHARD_BYTES, Nodes, apply_scorer, trie_shards
+from spotweave.llm.ppm import SHARD_BYTES, Nodes, apply_scorers, trie_shards
 from spotweave.llm.text import NOT_SPACE, byte_class, chunks, hash_slices, hash_words, mix, windows
 from spotweave.session import cut_lineage
 
@@ -127,14 +127,14 @@ def discounts(nodes: DataFrame, order: int = ORDER) -> dict[str, np.ndarray]:
 def perplexities(rows: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``rows(key, text, ...)`` with ``score``, the log10 probability of each text under the
     model of its key (its language). Languages are scored one after the other, each over its own rows."""
-    nodes = cut_lineage(roll_up(count_grams(rows, order, lower=False, keyed=True), order, distinct=True))
+    counts = cut_lineage(count_grams(rows, order, lower=False, keyed=True))
+    nodes = cut_lineage(roll_up(counts, order, distinct=True))
     cuts = discounts(nodes, order)
     out = None
     for key in sorted(cuts):
         own = rows.where(F.col("key") == key)
-        make = lambda *args, key=key: KneserNey(*args, cuts[key])
-        for i, model in enumerate(trie_shards(nodes.where(F.col("key") == key), order - 1, shard_bytes, make)):
-            own = apply_scorer(own if i == 0 else cut_lineage(own), model, {"score": "double"}, add=i > 0, lower=False)
+        for i, (model, _) in enumerate(trie_shards(nodes.where(F.col("key") == key), order - 1, shard_bytes, KneserNey, cuts[key])):
+            own = apply_scorers(own if i == 0 else cut_lineage(own), [model], {"score": "double"}, add=i > 0, lower=False)
         out = own if out is None else out.unionByName(own)
     return out if out is not None else rows.withColumn("score", F.lit(0.0)).limit(0)
 

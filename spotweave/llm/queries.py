@@ -185,7 +185,7 @@ def op4_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = ppm.train(training)
     words = cut_lineage(ppm.count_words(training))
     train_tokens = words.agg(F.sum("n")).first()[0] or 0
-    scored = ppm.score_documents(ppm.word_scores(docs, words), nodes)
+    scored = ppm.score_with_base(docs, nodes, words, keep_text=False)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
