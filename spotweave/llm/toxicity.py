@@ -112,7 +112,7 @@ class Restorer:
             token = found.group()
             if " " in token:
                 token = token.replace(" ", "")
-            core = token.strip("".join(c for c in LEET if not c.isdigit() and c not in "@$") + "._-~") or token
+            core = token.rstrip("!|+(*._-~").lstrip("|+(*._-~") or token  # punctuation around it
             for low in range(0, len(core), 64):  # a longer run is no word; it is read in parts
                 out.append(self.decode(core[low : low + 64]))
         return [w for w in out if len(w) >= 3]

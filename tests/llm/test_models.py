@@ -110,7 +110,8 @@ def test_kneser_ney_sums_to_one(make):
     nodes = roll_up(count_grams(rows.select("key", "text"), 4, lower=False, keyed=True), 4, distinct=True)
     cuts = quality.discounts(nodes, 4)
     for shard in range(3):
-        model = list(ppm.trie_shards(nodes, 3, 2000, quality.KneserNey, cuts["en"]))[shard].get()
+        models = list(ppm.trie_shards(nodes, 3, 2000, quality.KneserNey, cuts["en"]))
+        model = models[min(shard, len(models) - 1)][0].get()
         for context in (b"abc", b"zzz", b"\0\0\0", b"\0ab"):
             values = np.array([(int.from_bytes(context, "big") << 8) | s for s in range(256)], np.uint64)
             if ppm.shard_of(values, model.shards)[0] == shard:
@@ -155,7 +156,7 @@ def test_decoding(letters, text):
 
 
 def test_plain_text_is_not_decoded(letters):
-    assert toxicity.Restorer(letters).words("a plain book, 26.235.44.18 of%%% 4785380592391139 well-read") in ([], ["wellread"])
+    assert toxicity.Restorer(letters).words("a plain book, 26.235.44.18 of%%% 4785380592391139 in%%% a$$$") == []
 
 
 def test_toxicity(make, odd, spark):
