@@ -6,12 +6,13 @@ rarest first; two sets that reach the threshold share a shingle among the first
 
 1. Documents with equal sets are one class; classes with the same size and the same prefix
    are one group, and only groups enter the index ``(shingle, group, size)``.
-2. Stars: each group is paired with the smallest-numbered group it shares most shingles
-   with. Verified pairs join components, until a round finds none. A large set of near
-   copies so becomes one component with about one pair per member.
-3. Every remaining pair of groups that shares a prefix shingle, lies in two components and
-   passes the size and the overlap bound is expanded to members and verified. Pairs inside a
-   component cannot change the result, so nothing is lost.
+2. Each group is paired with the centre it shares most shingles with (a star), and the pairs
+   are verified. A large set of near copies so becomes one component with one pair per member.
+3. Documents with one centre are a family. Pairs of a family that are still in two components
+   are compared in blocks by bitmaps of the sets, and what those cannot rule out is verified.
+4. Every remaining pair that shares a prefix shingle, lies in two components and two families
+   and passes the size filter and the overlap bound is expanded to members and verified. Pairs inside
+   a component cannot change the result, so nothing is lost.
 
 The order uses how often a shingle's rarest word occurs, read from a fixed-size count sketch
 of all words; it decides only how many candidates there are, any order gives the same result.
@@ -39,6 +40,10 @@ WIDTH = 5
 PERCENT = 75
 SKETCH_BITS = 20
 SKETCH_PARTS = 64
+# Members of a family that are compared with as many others in a task.
+BLOCK = 512
+# Groups with a shingle above which it is not counted for every pair.
+FREQUENT = 64
 
 
 def needed(n: np.ndarray | int, percent: int = PERCENT):
@@ -104,13 +109,36 @@ def prefix(shingles: np.ndarray, first: np.ndarray, words: np.ndarray, sketch: n
     return np.sort(np.partition(keys, p - 1)[:p] if p < n else keys)
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """Parity of the number of shingles in each of 2 n or more hash classes (a power of two).
+    The bits in which two bitmaps differ are at most the shingles in which the sets do."""
+    size = 1 << max(6, int(2 * len(shingles) - 1).bit_length())
+    odd = np.bincount((mix(shingles) >> np.uint64(20)).astype(np.int64) & (size - 1), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def fold(bits: bytes, size: int) -> np.ndarray:
+    """A bitmap as words, reduced to ``size`` bytes: classes i and i + half become one."""
+    out = np.frombuffer(bits, np.uint64)
+    while len(out) * 8 > size:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
+
+
+def may_be_similar(a: bytes, na: int, b: bytes, nb: int, percent: int) -> bool:
+    """False only if the bitmaps prove that the sets differ in too many shingles."""
+    size = min(len(a), len(b))
+    apart = int(np.bitwise_count(fold(a, size) ^ fold(b, size)).sum())
+    return apart * (100 + percent) <= (na + nb) * (100 - percent)
+
+
 def _token(keys: np.ndarray) -> np.ndarray:
     """48 bits of a shingle are enough for an index entry: a clash costs a verification."""
     return (mix(keys) >> np.uint64(16)).view(np.int64)
 
 
 def signatures(rows: DataFrame, sketch, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``(doc_id, n, set_id, prefix_id)``: size of the set, digests of set and prefix."""
+    """``(doc_id, n, set_id, prefix_id, bits)``: size, digests of set and prefix, bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches, "text", lower=True):
@@ -119,13 +147,11 @@ def signatures(rows: DataFrame, sketch, width: int = WIDTH, percent: int = PERCE
                 keys = prefix(shingles, first, words, sketch.value, width, percent)
                 sums = [int(x.sum()) for x in (mix(shingles), mix(shingles ^ np.uint64(0x5DEECE66D)))]
                 place = np.arange(len(keys), dtype=np.uint64)
-                out.append((len(shingles), b"".join(s.to_bytes(8, "little") for s in sums), int(mix(keys + mix(place)).sum().view(np.int64))))
-            n, sets, prefixes = zip(*out)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n, pa.int32()), pa.array(sets, pa.binary()), pa.array(prefixes, pa.int64())], names=["doc_id", "n", "set_id", "prefix_id"]
-            )
+                out.append((len(shingles), b"".join(s.to_bytes(8, "little") for s in sums), int(mix(keys + mix(place)).sum().view(np.int64)), bitmap(shingles)))
+            kinds = (pa.int32(), pa.binary(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names=["doc_id", "n", "set_id", "prefix_id", "bits"])
 
-    return rows.mapInArrow(run, "doc_id bigint, n int, set_id binary, prefix_id bigint")
+    return rows.mapInArrow(run, "doc_id bigint, n int, set_id binary, prefix_id bigint, bits binary")
 
 
 def prefixes(rows: DataFrame, sketch, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -139,7 +165,8 @@ def prefixes(rows: DataFrame, sketch, width: int = WIDTH, percent: int = PERCENT
 
 
 def index_entries(packed: DataFrame) -> DataFrame:
-    """``(token, doc, n)`` from packed prefixes."""
+    """``(token, doc, n, room)`` from packed prefixes; ``room`` is the number of shingles of
+    the set from this one on, in the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,18 +174,66 @@ def index_entries(packed: DataFrame) -> DataFrame:
                 part = batch.slice(low, 1024)
                 lists = [np.frombuffer(t, np.int64) for t in part.column("tokens").to_pylist()]
                 sizes = [len(t) for t in lists]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(lists)), pa.array(np.repeat(part.column("doc_id").to_numpy(), sizes)), pa.array(np.repeat(part.column("n").to_numpy(), sizes))],
-                    names=["token", "doc", "n"],
-                )
+                doc, n = (np.repeat(part.column(c).to_numpy(), sizes) for c in ("doc_id", "n"))
+                room = n - np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), pa.array(doc), pa.array(n), pa.array(room.astype(np.int32))], names=["token", "doc", "n", "room"])
+
+    return packed.mapInArrow(run, "token bigint, doc bigint, n int, room int")
+
+
+def family_pairs(members: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs ``(a, b)`` of ``members(family, doc, n, bits, component)`` that are in one
+    family and in two components and that the bitmaps do not rule out. A family is split into
+    blocks of about ``BLOCK`` members; each pair of blocks is compared in a task, and only
+    what passes leaves it."""
+    size = members.groupBy("family").agg(F.count(F.lit(1)).alias("k"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    blocks = F.ceil(F.col("k") / F.lit(BLOCK)).cast("int")
+    spread = members.join(size.select("family", blocks.alias("m")), "family").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("m")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other")
+    dealt = spread.select("family", "doc", "n", "bits", "component", "block", other)
+    dealt = dealt.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("other")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        _, x, y = (k.as_py() for k in key)
+        doc, n, component, block = (table.column(c).to_numpy() for c in ("doc", "n", "component", "block"))
+        bits = table.column("bits").to_pylist()
+        size = np.array([len(b) for b in bits])
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for width in np.unique(size).tolist():  # a set meets those whose bitmap is as large, or larger and folded
+            rows = np.flatnonzero(size >= width)
+            folded = np.stack([fold(bits[r], width) for r in rows])
+            for i in np.flatnonzero(size[rows] == width):
+                r = rows[i]
+                near = (component[rows] != component[r]) & ((x == y) | (block[rows] != block[r])) & ((size[rows] > width) | (doc[rows] > doc[r]))
+                near &= (n[rows] * 100 >= n[r] * percent) & (n[r] * 100 >= n[rows] * percent)
+                at = np.flatnonzero(near)
+                apart = np.bitwise_count(folded[at] ^ folded[i]).sum(1, dtype=np.int64)
+                at = at[apart * (100 + percent) <= (n[rows[at]].astype(np.int64) + n[r]) * (100 - percent)]
+                out.append((np.full(len(at), doc[r]), doc[rows[at]]))
+        a, b = (np.concatenate(v) for v in zip(*out)) if out else (np.empty(0, np.int64),) * 2
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("family", "x", "y").applyInArrow(run, "a bigint, b bigint")
+
+
+def plausible(sets: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs ``(a, b)`` that the bitmaps of ``sets(doc_id, n, bits)`` do not rule out."""
+    left, right = (sets.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")) for k in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("bitsa", "na", "bitsb", "nb")]
+            keep = pa.array([may_be_similar(*x, percent) for x in zip(*columns)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(keep)
 
-    return packed.mapInArrow(run, "token bigint, doc bigint, n int")
+    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    return both.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a bigint, b bigint")
 
 
 def verify(rows: DataFrame, pairs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The pairs ``(a, b)`` whose texts reach the threshold, from the whole texts. Only texts
     of documents in a pair are moved."""
-    pairs = cut_lineage(pairs.select("a", "b"))
+    pairs = cut_lineage(pairs.select("a", "b").distinct())
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = rows.join(broadcast_if_small(cut_lineage(ids)), "doc_id", "left_semi")
     left, right = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
@@ -185,11 +260,6 @@ def verify(rows: DataFrame, pairs: DataFrame, width: int = WIDTH, percent: int =
     return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    known = labels.select(F.col("node").alias("doc"), "component")
-    return entries.join(known, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-
-
 def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per row ``(doc_id, n_shingles, component_id)``: the set's size and the smallest id that
     links of similarity ``percent`` / 100 or more reach."""
@@ -200,6 +270,7 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     # Classes of equal sets, and groups of classes with one size and prefix.
     sized = named.where("n > 0 AND doc_id IS NOT NULL")
+    sets = sized.select("doc_id", "n", "bits")
     classes = cut_lineage(sized.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix_id").alias("prefix_id")))
     groups = classes.groupBy("n", "prefix_id").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("members"))
     members = cut_lineage(classes.join(groups.where("members > 1"), ["n", "prefix_id"]).select("leader", F.col("rep").alias("doc"), "n"))
@@ -213,43 +284,64 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     centres = entries.groupBy("token").agg(F.min("doc").alias("centre"), F.max("doc").alias("other")).where("centre < other")
     shared = cut_lineage(entries.join(centres.select("token", "centre"), "token"))
 
-    def stars(paired: DataFrame) -> DataFrame:
-        """The centre each document shares most shingles with, if it is of a similar size."""
-        counted = paired.groupBy("doc", "centre").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
-        best = counted.groupBy("doc").agg(F.max_by("centre", F.struct("c", -F.col("centre"))).alias("b"), F.max("c").alias("c"), F.first("n").alias("n"))
-        # A hint, not a condition: pairs that share less are left to the exact step.
-        return best.where(F.col("c") * 500 >= F.col("n") * (100 - percent)).select(F.col("doc").alias("a"), "b")
-
+    # Stars: the centre each document shares most shingles with. A hint, not a condition:
+    # whoever shares less than this is left to the exact step.
+    counted = shared.where("doc <> centre").groupBy("doc", "centre").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+    best = counted.groupBy("doc").agg(F.max_by("centre", F.struct("c", -F.col("centre"))).alias("b"), F.max("c").alias("c"), F.first("n").alias("n"))
+    best = cut_lineage(best.where(F.col("c") * 500 >= F.col("n") * (100 - percent)).select(F.col("doc").alias("a"), "b"))
     inside = members.where("leader <> doc").select(F.col("doc").alias("a"), F.col("leader").alias("b"))
-    links = cut_lineage(verify(rows, stars(shared.where("doc <> centre")).union(inside), width, percent))
-    labels = components(links)
-    # Entries of all members; the shared prefix of a group counts as one heavy shingle.
-    own = members.select((-1 - F.col("leader")).alias("token"), "doc", "n", (F.col("n") - needed_column(F.col("n"), percent) + 1).alias("weight"))
-    normal = shared.select("token", "doc", "n", F.lit(1).alias("weight"))
-    others = normal.withColumnRenamed("doc", "leader").join(members.where("leader <> doc").select("leader", "doc"), "leader").select("token", "doc", "n", "weight")
-    all_entries = normal.unionByName(others).unionByName(own)
-    while True:
-        tagged = _labelled(all_entries, labels)
-        ends = tagged.groupBy("token").agg(F.min(F.struct("component", "doc")).alias("low"), F.max("component").alias("high")).where("low.component < high")
-        open_ = cut_lineage(tagged.join(ends.select("token", F.col("low.component").alias("first"), F.col("low.doc").alias("centre")), "token"))
-        fresh = cut_lineage(verify(rows, stars(open_.where("component <> first")), width, percent))
-        if fresh.isEmpty():
-            break
+    links = cut_lineage(verify(rows, plausible(sets, best.union(inside), percent), width, percent))
+    labels = cut_lineage(components(links))
+
+    # Families: documents whose stars share a centre, and the members of their groups. All their pairs
+    # are decided here, in blocks; later steps skip pairs within a family.
+    tree = best.union(best.select(F.col("b").alias("a"), "b")).groupBy("a").agg(F.max_by("b", F.col("b") != F.col("a")).alias("family"))
+    # A centre that itself has one hands its documents on.
+    tree = cut_lineage(tree)
+    for _ in range(2):
+        tree = tree.join(tree.toDF("family", "next"), "family").select("a", F.col("next").alias("family"))
+    tree = cut_lineage(tree)
+    led = inside.join(tree.withColumnRenamed("a", "b"), "b", "left").select("a", F.coalesce("family", "b").alias("family"))
+    heads = inside.select(F.col("b").alias("a"), F.col("b").alias("family")).distinct().join(tree.select("a"), "a", "left_anti")
+    families = cut_lineage(tree.unionByName(led).unionByName(heads).withColumnRenamed("a", "doc"))
+    known = lambda frame: frame.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    fresh = cut_lineage(verify(rows, family_pairs(known(families).join(sets.withColumnRenamed("doc_id", "doc"), "doc"), percent), width, percent))
+    if not fresh.isEmpty():
         links = links.unionByName(fresh)
-        labels = components(links)
-
-    # All pairs of different components that may still be similar.
-    mine = open_.select("token", "doc", "n", "weight", "component")
-    per = mine.groupBy("token", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    x, y = per.toDF("token", "ca", "la", "ha"), per.toDF("token", "cb", "lb", "hb")
+        labels = cut_lineage(components(links))
+
+    # Every other pair with a common prefix shingle, in two components and two families. Rare
+    # shingles are counted for each pair. A frequent shingle matters only where it is the first common
+    # one: then the sets must have room for the needed overlap from there on.
+    entries = shared.select("token", "doc", "n", "room")
+    others = entries.withColumnRenamed("doc", "leader").join(members.where("leader <> doc").select("leader", "doc"), "leader").select("token", "doc", "n", "room")
+    tagged = known(entries.unionByName(others)).join(families, "doc", "left").withColumn("family", F.coalesce("family", "doc"))
+    bounds = [f(c).alias(f"{f.__name__}_{c}") for c in ("component", "family") for f in (F.min, F.max)]
+    ends = tagged.groupBy("token").agg(*bounds, (F.count(F.lit(1)) > FREQUENT).alias("frequent")).where("min_component < max_component AND min_family < max_family")
+    mine = cut_lineage(tagged.join(ends.select("token", "frequent"), "token"))
     near = lambda low, high: F.col(high) * 100 >= F.col(low) * percent
-    pairs = x.join(y, "token").where("ca < cb").where(near("la", "hb") & near("lb", "ha")).select("token", "ca", "cb")
-    pairs = pairs.join(mine.toDF("token", "a", "na", "weight", "ca"), ["token", "ca"]).join(mine.drop("weight").toDF("token", "b", "nb", "cb"), ["token", "cb"])
-    pairs = pairs.where(near("na", "nb") & near("nb", "na"))
-    counted = pairs.groupBy("a", "b").agg(F.sum("weight").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    enough = lambda room, na, nb: F.col(room) * (100 + percent) >= (F.col(na) + F.col(nb)) * percent
+
+    def meetings(part: DataFrame, frequent: bool) -> DataFrame:
+        per = part.groupBy("token", "component", "family").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("room"))
+        x, y = per.toDF("token", "ca", "fa", "la", "ha", "ra"), per.toDF("token", "cb", "fb", "lb", "hb", "rb")
+        meet = (x.token == y.token) & (F.col("ca") < F.col("cb")) & (F.col("fa") != F.col("fb")) & near("la", "hb") & near("lb", "ha")
+        if frequent:
+            meet = meet & enough("ra", "la", "lb") & enough("rb", "la", "lb")
+        pairs = x.join(y, meet).select(x.token, "ca", "fa", "cb", "fb")
+        side = lambda k: part.select("token", F.col("doc").alias(k), F.col("n").alias(f"n{k}"), F.col("room").alias(f"room{k}"), F.col("component").alias(f"c{k}"), F.col("family").alias(f"f{k}"))
+        pairs = pairs.join(side("a"), ["token", "ca", "fa"]).join(side("b"), ["token", "cb", "fb"]).where(near("na", "nb") & near("nb", "na"))
+        return pairs.where(enough("rooma", "na", "nb") & enough("roomb", "na", "nb")) if frequent else pairs
+
+    counted = meetings(mine.where("NOT frequent"), False).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    hidden = mine.where("frequent").groupBy("doc").agg(F.count(F.lit(1)).alias("h"))
+    for k in "ab":  # frequent shingles that the two may share besides
+        counted = counted.join(hidden.toDF(k, f"h{k}"), k, "left").fillna(0, f"h{k}")
     rest = F.greatest(needed_column(F.col("na"), percent) - 1, needed_column(F.col("nb"), percent) - 1)
-    possible = counted.where((F.col("c") + rest) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
-    fresh = cut_lineage(verify(rows, possible, width, percent))
+    most = F.col("c") + F.least("ha", "hb") + rest
+    possible = counted.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
+    possible = possible.union(meetings(mine.where("frequent"), True).select("a", "b")).distinct()
+    fresh = cut_lineage(verify(rows, plausible(sets, possible, percent), width, percent))
     if not fresh.isEmpty():
         labels = components(links.unionByName(fresh))
 

@@ -31,7 +31,9 @@ def classes_by_force(rows):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-def test_jaccard_classes(make):
+@pytest.mark.parametrize("frequent", [0, 2, 64])
+def test_jaccard_classes(make, monkeypatch, frequent):
+    monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
     rng = random.Random(6)
     word = lambda: "".join(rng.choices("abcdef", k=rng.randint(1, 3)))
     rows = []
