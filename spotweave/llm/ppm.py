@@ -146,7 +146,7 @@ class WordTable:
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, total: int):
         self.index = HashArray(words.view(np.uint64))
-        self.counts = np.append(counts, 0)
+        self.counts = np.append(counts, 0).astype(np.int32 if total < 1 << 31 else np.int64)
         self.share = math.log10(total + len(words) + 1)
 
     def score(self, texts: list[bytes]) -> dict[str, np.ndarray]:
