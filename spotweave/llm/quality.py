@@ -1,10 +1,11 @@
 """Quality rules: counts of a text's form, and perplexity bands per language.
 
 The language model is a modified Kneser-Ney model of ``ORDER``-byte n-grams for each language,
-counted in Spark over all documents. Its interpolated log probabilities and back-off weights
+counted in Spark over all distinct texts. Its interpolated log probabilities and back-off weights
 are stored in sorted hash arrays, sent to the tasks in shards of bounded size. Per language,
-quartiles of the log perplexity over all documents that pass the base rules give the band
-``[q1 - SPREAD * (q3 - q1), q3 + SPREAD * (q3 - q1)]``; documents outside are rejected.
+quartiles of the log perplexity over the distinct texts that pass the base rules give the band
+``[q1 - SPREAD * (q3 - q1), q3 + SPREAD * (q3 - q1)]``; documents outside are rejected. Copies
+of a text thus weigh as one, and each of them is judged.
 
 Defined results: a NULL or empty text has no words and fails the base rules; a NULL language
 is a language of its own; repeated rows each get a row; NULL ids are kept; other columns are
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from spotweave.llm.ngrams import count_grams, roll_up
 from spotweave.llm.ppm import SHARD_BYTES, Nodes, apply_scorers, trie_shards
 from spotweave.llm.text import NOT_SPACE, byte_class, chunks, hash_slices, hash_words, mix, windows
-from spotweave.session import cut_lineage
+from spotweave.session import BROADCAST_ROWS, cut_lineage
 
 ORDER = 5
 SPREAD = 4.0
@@ -124,10 +125,21 @@ def discounts(nodes: DataFrame, order: int = ORDER) -> dict[str, np.ndarray]:
     return out
 
 
+def distinct_texts(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``(key, text)``, once for each ``(key, digest)`` of ``rows(key, digest, text)``. Only texts
+    whose 64-bit hash occurs again are moved, unless there are more than ``limit`` such hashes."""
+    marked = rows.select("key", "digest", "text", F.xxhash64("key", "digest").alias("mark"))
+    again = cut_lineage(marked.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark"))
+    few = again.count() <= limit
+    copies = marked.join(F.broadcast(again), "mark", "left_semi") if few else marked
+    once = copies.groupBy("key", "digest").agg(F.first("text").alias("text")).select("key", "text")
+    return marked.join(F.broadcast(again), "mark", "left_anti").select("key", "text").unionByName(once) if few else once
+
+
 def perplexities(rows: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``rows(key, text, ...)`` with ``score``, the log10 probability of each text under the
-    model of its key (its language). Languages are scored one after the other, each over its own rows."""
-    counts = cut_lineage(count_grams(rows, order, lower=False, keyed=True))
+    """``rows(key, digest, text, ...)`` with ``score``, the log10 probability of each text under the
+    model of its key (its language), which has learnt each digest once. Languages are scored one after the other, each over its own rows."""
+    counts = cut_lineage(count_grams(distinct_texts(rows), order, lower=False, keyed=True))
     nodes = cut_lineage(roll_up(counts, order, distinct=True))
     cuts = discounts(nodes, order)
     out = None
@@ -143,20 +155,24 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     """Per row the counts of its form, ``base_failed``, ``log_perplexity`` (log10, per word with
     a letter or digit, and one end) and ``kept``."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("key"), F.col(text).cast("string").alias("text"))
+    rows = rows.withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+
+    held = ("doc_id", "key", "digest", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches, "text"):
             got = form(texts)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "key", "score")), *map(pa.array, got.values())], names=["doc_id", "key", "score", *got])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in held), *map(pa.array, got.values())], names=[*held, *got])
 
-    scored = perplexities(rows).mapInArrow(run, f"doc_id bigint, key string, score double, {FORM}")
+    scored = perplexities(rows).mapInArrow(run, f"doc_id bigint, key string, digest binary, score double, {FORM}")
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT)
     scored = scored.withColumn("base_failed", failed).withColumn("log_perplexity", -F.col("score") / (F.col("n_lexical") + 1))
     scored = cut_lineage(scored.drop("score", "n_lexical"))
     quarter = F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000))
-    bands = scored.where("NOT base_failed").groupBy("key").agg(quarter.alias("q"))
+    texts = scored.where("NOT base_failed").groupBy("key", "digest").agg(F.first("log_perplexity").alias("log_perplexity"))
+    bands = texts.groupBy("key").agg(quarter.alias("q"))
     low, high = F.col("q")[0], F.col("q")[1]
     bands = bands.select("key", (low - spread * (high - low)).alias("low"), (high + spread * (high - low)).alias("high"))
     inside = F.col("log_perplexity").between(F.col("low"), F.col("high"))
-    judged = scored.join(F.broadcast(bands), "key", "left")  # one row per language
+    judged = scored.drop("digest").join(F.broadcast(bands), "key", "left")  # one row per language
     return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))

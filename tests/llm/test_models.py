@@ -145,6 +145,22 @@ def test_quality_bands(make, odd):
     assert quality.quality(odd).count() == odd.count() and quality.quality(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [25, 240])
+@pytest.mark.parametrize("limit", [0, 100])
+def test_copies_do_not_set_the_band(make, monkeypatch, copies, limit):
+    """The band of 60 texts is the same with one of them 30 % or 80 % of the language."""
+    monkeypatch.setattr(quality.distinct_texts, "__defaults__", (limit,))
+    draw = random.Random(7)
+    text = lambda: " ".join(draw.choice(["the", "of", "hen", "thing", "reed", "at"]) + draw.choice("aeiou") for _ in range(80))
+    plain = [(i, text()) for i in range(60)]
+    junk = [(900, " ".join("".join(draw.choices("#$%&qxz0123", k=7)) for _ in range(80)))]
+    once = {r["doc_id"]: r for r in quality.quality(make([*plain, *junk])).collect()}
+    more = [(1000 + i, plain[0][1]) for i in range(copies)] + [(None, plain[0][1])] * 2
+    got = {r["doc_id"]: r for r in quality.quality(make([*plain, *junk, *more])).collect()}
+    assert all(got[i]["kept"] for i in [*range(60), *range(1000, 1000 + copies), None]) and not got[900]["kept"]
+    assert all((got[0]["low"], got[0]["high"], got[i]["log_perplexity"]) == pytest.approx((once[0]["low"], once[0]["high"], once[i]["log_perplexity"])) for i in once)
+
+
 @pytest.fixture(scope="module")
 def letters(make):
     return toxicity._letter_model(make([(i, "the stupid moron said idiot things in the nation of idle men") for i in range(3)]).select("text"))
