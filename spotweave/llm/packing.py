@@ -8,6 +8,8 @@ on its own: longest first, each piece into the open sequence that the residual v
 about one sequence partly filled, so the loss against one global packing shrinks with
 ``CELL_ROWS`` and does not grow with the data.
 
+The name of an added token in a text is that token, as the ``tokenizers`` library reads it.
+
 Defined results: a NULL text is empty and gives one piece with the end id; repeated rows give
 repeated pieces; NULL ids are kept; other columns are ignored; an empty table gives no rows.
 """
@@ -15,6 +17,7 @@ repeated pieces; NULL ids are kept; other columns are ignored; an empty table gi
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -56,7 +59,13 @@ class UnitMemo(dict):
         super().__init__()
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
-        named = {t["content"] for t in model["added_tokens"]}  # their names in a text are text
+        # Ids of the added tokens by their names; at one place the longest name counts.
+        self.named = {t["content"]: t["id"] for t in model["added_tokens"]}
+        options = ["single_word", "lstrip", "rstrip", *(["normalized"] if model.get("normalizer") else [])]
+        if any(t.get(o) for t in model["added_tokens"] for o in options):
+            raise ValueError(f"added tokens with one of {options} are not supported")
+        named = self.named
+        self.names = re.compile("|".join(map(re.escape, sorted(named, key=len, reverse=True)))) if named else None
         visible = _visible_bytes()
         ranks = {bytes(visible[c] for c in token): rank for token, rank in model["model"]["vocab"].items() if token not in named}
         self.encoding = tiktoken.Encoding("units", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
@@ -94,7 +103,7 @@ def _memo(path: str) -> UnitMemo:
 
 
 def encode(text: str, memo: UnitMemo) -> bytes:
-    """Ids of ``text`` as little-endian 32-bit numbers."""
+    """Ids of ``text`` without added tokens as little-endian 32-bit numbers."""
     parts = text.split(" ")
     raw = text.encode()
     if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or len(raw.translate(None, ODD_BYTES)) < len(raw) or any(x in raw for x in ODD_RUNS):
@@ -108,6 +117,17 @@ def encode(text: str, memo: UnitMemo) -> bytes:
     return memo.encode(parts[0]) + b"".join(map(memo.__getitem__, parts[1:]))
 
 
+def encode_document(text: str, memo: UnitMemo) -> bytes:
+    """Ids of ``text``; names of added tokens split it first."""
+    if memo.names is None:
+        return encode(text, memo)
+    out, done = [], 0
+    for found in memo.names.finditer(text):
+        out += [encode(text[done : found.start()], memo), memo.named[found.group()].to_bytes(4, "little")]
+        done = found.end()
+    return b"".join([*out, encode(text[done:], memo)])
+
+
 def tokenize(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """Pieces of at most ``length`` ids; ``ids`` holds little-endian 32-bit numbers."""
 
@@ -118,7 +138,7 @@ def tokenize(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
                 part = batch.slice(low, 512)
                 out = []
                 for name, content in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = encode(content or "", memo) + END_ID.to_bytes(4, "little")
+                    ids = encode_document(content or "", memo) + END_ID.to_bytes(4, "little")
                     n = len(ids) // 4
                     cuts = [0, *range((n - 1) % length + 1, n + 1, length)]
                     out += [(name, i, a, b - a, ids[4 * a : 4 * b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]

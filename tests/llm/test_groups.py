@@ -113,6 +113,15 @@ def test_ids_are_those_of_the_tokenizer(spark):
         assert packing.encode(t, memo) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_names_of_added_tokens_are_their_ids(make):
+    tokenizer, rng = Tokenizer.from_file(PATH), random.Random(12)
+    parts = [" ", "\n", "a", "é", "'s", "!", "日", "<|endoftext|>", "<|endoftext|>", "<|endoftext", "|>", "word "]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> y", *("".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(500))]
+    got = {r["doc_id"]: r["ids"] for r in packing.tokenize(make(list(enumerate(texts))), PATH).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == np.array([*tokenizer.encode(t, add_special_tokens=False).ids, packing.END_ID], "<u4").tobytes()
+
+
 def check_packing(rows, length):
     places = defaultdict(list)
     for r in rows:
