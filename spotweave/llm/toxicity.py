@@ -4,6 +4,9 @@ Noisy channel: a disguised word is a lattice of characters. A sign that stands f
 (leetspeak) may be read as each of them, a repeated letter as one or two, a sign or space
 between single letters as nothing. Viterbi decoding under a letter trigram model, counted in
 Spark over all texts, picks the reading; words that need no decoding keep their spelling.
+White space between single characters may also be a word break: a second Viterbi pass picks
+the words, scored by their share of all words (at most ``LEXICON``, the most frequent, are
+known) or, for any other word, by the letter model.
 
 The classifier is fitted on a sample of at most ``SAMPLE_ROWS`` labelled documents. Evidence
 is the log odds of a word, or of its first letters (inflections share a stem), to be in a
@@ -42,18 +45,25 @@ THRESHOLD = 0.7
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "*": "abcdefghijklmnopqrstuvwxyz"}
 SIGNS = "".join(map(re.escape, LEET)) + r"._\-~"
 # A letter or sign run with a sign inside, a letter three times in a row, or single characters
-# with gaps between them.
+# with white space between them, up to any closing punctuation.
 DISGUISED = re.compile(
     rf"(?<![a-z])[a-z{SIGNS}]*(?:[a-z][{SIGNS}]+[a-z]|[@$!1350*4][a-z]|[a-z][0134579@$]|([a-z])\1\1)[a-z{SIGNS}]*"
-    rf"|(?<!\S)(?:[a-z{SIGNS}][ ]){{3,}}[a-z{SIGNS}](?!\S)"
+    rf"|(?<![^\W_])[a-z{SIGNS}](?:\s+[a-z{SIGNS}]){{2,}}(?=(?:[^\w\s]|_)*(?:\s|\Z))"
 )
+EDGES = "!|+(*._-~"
+# Known words, their longest length, and the share of words that are not known.
+LEXICON = 100_000
+LONGEST = 24
+UNKNOWN = 0.1
 COST_LEET, COST_TWICE, COST_ONCE, COST_DROP, COST_KEEP = 1.0, 3.0, 0.5, 1.0, 12.0
 
 
 class LetterModel:
-    """log probabilities of a-z after two letters (0 is a word's edge or any other byte)."""
+    """log probabilities of a-z after two letters (0 is a word's edge or any other byte), and of
+    the known words."""
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, words: dict[str, int], total: int):
+        self.words = {w: math.log((1 - UNKNOWN) * n / total) for w, n in words.items()}
         table = np.zeros((27, 27, 27))
         letter = np.zeros(256, np.int64)
         letter[97:123] = np.arange(1, 27)
@@ -65,39 +75,88 @@ class LetterModel:
         self.log = np.log((table + 5.0 * low) / (table.sum(2, keepdims=True) + 5.0)).tolist()
 
 
+States = dict[tuple[int, int], tuple[float, str]]
+START: States = {(0, 0): (0.0, "")}
+
+
+def _step(states: States, char: str, run: int, log: list) -> States:
+    """The readings after ``run`` times ``char``: per last two letters the best one."""
+    options: list[tuple[str, float]]
+    if "a" <= char <= "z":
+        if run == 1:
+            options = [(char, 0.0)]
+        else:
+            options = [(char, COST_ONCE if run > 2 else COST_TWICE), (char * 2, 0.0 if run == 2 else COST_TWICE)]
+    elif char in LEET:
+        options = [(c * k, COST_LEET + (COST_TWICE if k > 1 else 0.0)) for c in LEET[char] for k in ((1, 2) if run > 1 else (1,))] + [("", COST_KEEP)]
+    else:
+        options = [("", COST_DROP)]
+    after: States = {}
+    for (a, b), (score, text) in states.items():
+        for letters, cost in options:
+            x, y, s = a, b, score - cost
+            for c in letters:
+                z = ord(c) - 96
+                s += log[x][y][z]
+                x, y = y, z
+            if (x, y) not in after or after[x, y][0] < s:
+                after[x, y] = (s, text + letters)
+    return after
+
+
+def _best(states: States, log: list) -> tuple[float, str]:
+    return max((s + log[a][b][0], t) for (a, b), (s, t) in states.items())
+
+
 def decode(token: str, model: LetterModel) -> str:
     """Most probable letters behind a disguised token (lower case)."""
-    log = model.log
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    i, n = 0, len(token)
+    states, i, n = START, 0, len(token)
     while i < n:
-        char, j = token[i], i + 1
-        while j < n and token[j] == char:
+        j = i + 1
+        while j < n and token[j] == token[i]:
             j += 1
-        run = j - i
+        states = _step(states, token[i], j - i, model.log)
         i = j
-        options: list[tuple[str, float]]
-        if "a" <= char <= "z":
-            if run == 1:
-                options = [(char, 0.0)]
+    return _best(states, model.log)[1]
+
+
+def decode_spaced(chars: str, model: LetterModel) -> list[str]:
+    """Most probable words behind single characters, between any of which a word may end."""
+    n, log = len(chars), model.log
+    best, back = [0.0] + [-math.inf] * n, [(0, "")] * (n + 1)
+    for i in range(n):
+        before, run, now = START, 0, START
+        for j in range(i, min(n, i + LONGEST)):
+            if run and chars[j] == chars[j - 1]:
+                run += 1
             else:
-                options = [(char, COST_ONCE if run > 2 else COST_TWICE), (char * 2, 0.0 if run == 2 else COST_TWICE)]
-        elif char in LEET:
-            options = [(c * k, COST_LEET + (COST_TWICE if k > 1 else 0.0)) for c in LEET[char] for k in ((1, 2) if run > 1 else (1,))] + [("", COST_KEEP)]
-        else:
-            options = [("", COST_DROP)]
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in states.items():
-            for letters, cost in options:
-                x, y, s = a, b, score - cost
-                for c in letters:
-                    z = ord(c) - 96
-                    s += log[x][y][z]
-                    x, y = y, z
-                if (x, y) not in after or after[x, y][0] < s:
-                    after[x, y] = (s, text + letters)
-        states = after
-    return max((s + log[a][b][0], t) for (a, b), (s, t) in states.items())[1]
+                before, run = now, 1
+            now = _step(before, chars[j], run, log)
+            letters, word = _best(now, log)
+            score = letters + math.log(UNKNOWN)
+            if len(model.words):
+                # A known word keeps what its signs cost; only its spelling is scored anew.
+                for s, t in now.values():
+                    if t in model.words and (known := model.words[t] + s - _spelling(t, log)) > score:
+                        score, word = known, t
+            if best[i] + score > best[j + 1]:
+                best[j + 1], back[j + 1] = best[i] + score, (i, word)
+    out = []
+    while n:
+        n, word = back[n]
+        out.append(word)
+    return out[::-1]
+
+
+def _spelling(word: str, log: list) -> float:
+    """log probability of the letters without the edge behind them."""
+    x = y = 0
+    out = 0.0
+    for c in word:
+        z = ord(c) - 96
+        out += log[x][y][z]
+        x, y = y, z
+    return out
 
 
 class Restorer:
@@ -105,14 +164,18 @@ class Restorer:
 
     def __init__(self, model: LetterModel):
         self.decode = lru_cache(maxsize=100_000)(lambda token: decode(token, model))
+        self.spaced = lru_cache(maxsize=10_000)(lambda chars: decode_spaced(chars, model))
+        self.model = model
 
     def words(self, text: str) -> list[str]:
         out = []
         for found in DISGUISED.finditer(text):
             token = found.group()
-            if " " in token:
-                token = token.replace(" ", "")
-            core = token.rstrip("!|+(*._-~").lstrip("|+(*._-~") or token  # punctuation around it
+            if len(single := token.split()) > 1:
+                chars = "".join(single).rstrip(EDGES).lstrip(EDGES[1:])
+                out += self.spaced(chars) if len(chars) <= 256 else decode_spaced(chars, self.model)
+                continue
+            core = token.rstrip(EDGES).lstrip(EDGES[1:]) or token  # punctuation around it
             for low in range(0, len(core), 64):  # a longer run is no word; it is read in parts
                 out.append(self.decode(core[low : low + 64]))
         return [w for w in out if len(w) >= 3]
@@ -125,7 +188,31 @@ def _letter_model(rows: DataFrame) -> LetterModel:
     letter = lambda s: F.when(F.shiftright("gram", s).bitwiseAND(F.lit(255)).between(97, 122), F.shiftright("gram", s).bitwiseAND(F.lit(255))).otherwise(F.lit(0))
     classes = counted.groupBy(letter(16).alias("a"), letter(8).alias("b"), letter(0).alias("c")).agg(F.sum("n").alias("n")).collect()  # 27**3 rows at most
     grams = np.array([(r["a"] << 16) | (r["b"] << 8) | r["c"] for r in classes], np.int64)
-    return LetterModel(grams, np.array([r["n"] for r in classes], float))
+    words = _word_counts(rows)
+    # Words per count, few rows even of many words; then the counts that at most LEXICON words reach.
+    sizes = sorted(((r["n"], r["k"]) for r in words.groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
+    least, held = sizes[0][0] + 1 if sizes else 1, 0
+    for n, k in sizes:
+        held += k
+        if held > LEXICON:
+            break
+        least = n
+    known = {r["word"]: r["n"] for r in words.where(F.col("n") >= least).collect()}
+    return LetterModel(grams, np.array([r["n"] for r in classes], float), known, sum(n * k for n, k in sizes) or 1)
+
+
+def _word_counts(rows: DataFrame) -> DataFrame:
+    """``(word, n)`` of the words of a-z up to ``LONGEST`` letters over all texts, lower-cased."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in chunks(batches, "text", 8 << 20, lower=True):
+            words = hash_words(texts, ALNUM)
+            _, first, n = np.unique(words.hashes, return_index=True, return_counts=True)
+            own = [words.buffer[a:b] for a, b in zip(words.begin[first].tolist(), words.end[first].tolist())]
+            keep = [i for i, w in enumerate(own) if len(w) <= LONGEST and w.isalpha()]  # of bytes: ASCII only
+            yield pa.RecordBatch.from_arrays([pa.array([own[i].decode() for i in keep], pa.string()), pa.array(n[keep].astype(np.int64) if keep else [], pa.int64())], names=["word", "n"])
+
+    return cut_lineage(rows.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
 
 
 def features(texts: list[bytes], restorer: Restorer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -171,6 +171,16 @@ def test_decoding(letters, text):
     assert toxicity.Restorer(letters).words(f"you {text} there") == ["idiot"]
 
 
+@pytest.mark.parametrize("text", ["s t u p i d, ok", "s t u p i d! ok", "s  t  u  p  i  d", "s\tt\tu\tp\ti\td", "s\nt\nu\np\ni\nd", "y o u s t u p i d", '"s t u p i d"', "$ t u p 1 d .", "such a s t u p i d thing", "m e n s a i d s t u p i d " + "m e n s a i d " * 12])
+def test_letter_spaced_words(letters, text):
+    assert "stupid" in toxicity.Restorer(letters).words(text)
+
+
+def test_letter_spaced_short_and_lone_words(letters):
+    read = toxicity.Restorer(letters).words
+    assert "moron" in read("such a m o r o n here") and "idiot" in read("i d i o t!") and read("all m e n here") == ["men"]
+
+
 def test_plain_text_is_not_decoded(letters):
     assert toxicity.Restorer(letters).words("a plain book, 26.235.44.18 of%%% 4785380592391139 in%%% a$$$") == []
 
