@@ -227,3 +227,93 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     placed = sharding.shard(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+OP13_SQL = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+),
+g AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 6) t(k) WHERE len(w) >= k)
+),
+f AS (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY ALL HAVING n >= 100 OR k = 1),
+total AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, n AS a FROM f WHERE k > 1),
+kept AS (
+  SELECT * FROM c WHERE NOT EXISTS (
+    SELECT 1 FROM c longer WHERE longer.lang = c.lang AND longer.k > c.k AND 100 * longer.a >= 100 * c.a AND contains(' ' || longer.phrase || ' ', ' ' || c.phrase || ' '))
+),
+cut AS (
+  SELECT lang, phrase, a, j, array_to_string(string_split(phrase, ' ')[1:j], ' ') AS head, array_to_string(string_split(phrase, ' ')[j + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM kept)
+),
+scored AS (
+  SELECT cut.lang, cut.phrase, a, j, x.n AS l, y.n AS r, total.n, ((1000::HUGEINT * a * total.n) // (x.n::HUGEINT * y.n))::BIGINT AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = head JOIN f y ON y.lang = cut.lang AND y.phrase = tail JOIN total ON total.lang = cut.lang
+),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score
+FROM best QUALIFY rank <= 2000
+"""
+
+
+@query("op13_phrase_mining", OP13_SQL)
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spotweave.llm import phrases
+
+    return phrases.phrases(table(spark, sf_dir, "documents"))
+
+
+def _op11_sql(levels: int = 6, top_levels: int = 3) -> str:
+    """One block of steps per level: 16^6 rows of a source and 16^3 sources are far more than a test has."""
+    parts = [
+        r"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (
+  SELECT doc_id, coalesce('s' || source, '') AS g,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+    xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(crc.t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 5 = 0 AS hit
+  FROM documents, crc
+),
+n0 AS (
+  SELECT doc_id, g, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS hash, sha256(head || coalesce(strlen(low) || ':' || low, '-')) AS low, hit,
+    row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY g) AS m FROM d
+),
+d0 AS (SELECT doc_id, g, hash AS leaf, pos, CASE WHEN hit THEN low ELSE hash END AS f, '' AS proof FROM n0)"""
+    ]
+
+    def climb(tree: str, way: str, count: int) -> None:
+        for i in range(count):
+            parts.append(f"{tree}r{i} AS (SELECT g, pos // 16 AS run, list(hash ORDER BY pos) AS hs, any_value(m) AS m FROM {tree}{i} GROUP BY 1, 2)")
+            parts.append(f"{tree}{i + 1} AS (SELECT g, run AS pos, CASE WHEN m > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS hash, (m + 15) // 16 AS m FROM {tree}r{i})")
+            parts.append(
+                f"{way}{i + 1} AS (SELECT x.* EXCLUDE (pos, f, proof), pos // 16 AS pos, "
+                f"CASE WHEN m > 1 THEN sha256(array_to_string(hs[1:pos % 16], '') || f || array_to_string(hs[pos % 16 + 2:], '')) ELSE f END AS f, "
+                f"proof || CASE WHEN m > 1 THEN array_to_string(hs[1:pos % 16], '') || array_to_string(hs[pos % 16 + 2:], '') ELSE '' END AS proof "
+                f"FROM {way}{i} x JOIN {tree}r{i} y ON x.{'g' if tree == 'n' else 'top'} = y.g AND x.pos // 16 = y.run)"
+            )
+
+    climb("n", "d", levels)
+    parts.append(f"u0 AS (SELECT 0 AS g, g AS name, hash, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS m FROM n{levels})")
+    parts.append(f"e0 AS (SELECT doc_id, leaf, u0.hash AS subroot, 0 AS top, u0.pos AS pos, f, proof FROM d{levels} z JOIN u0 ON z.g = u0.name)")
+    climb("u", "e", top_levels)
+    last = f"SELECT doc_id, leaf, subroot, r.hash AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = r.hash AS verified FROM e{top_levels}, u{top_levels} r"
+    return ",\n".join(parts) + "\n" + last
+
+
+@query("op11_merkle_manifest", _op11_sql())
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spotweave.llm import merkle
+
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered)
+
+
+@query("op12_simhash")
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spotweave.llm import simhash
+
+    return simhash.near_copies(table(spark, sf_dir, "documents"))
