@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
+
+from spotweave.session import cut_lineage
 
 # Number of hash buckets of dense_index: a fixed size, so the offsets table is too.
 INDEX_BUCKETS = 1024
@@ -38,46 +40,22 @@ def dense_index(df: DataFrame, key: str, out: str = "i", buckets: int = INDEX_BU
     )
 
 
-def ordered_index(
-    df: DataFrame, order: Sequence[str], out: str = "i", parts: int = 64
-) -> DataFrame:
+def ordered_index(df: DataFrame, order: Sequence[str], out: str = "i", parts: int | None = None) -> DataFrame:
     """Adds 0..n-1 in the order of the ``order`` columns (ties share no promise).
 
-    Range boundaries come from a bounded sample. They decide only how work is
-    split: any boundary set gives the same numbers.
+    Rows move once, into ranges of that order (``parts`` of them, by default as many as
+    the session deals), and are numbered where they lie; one count per range does the rest.
     """
-    order = list(order)
-    total = df.count()
-    wanted = parts * 32
-    sample = df.select(*order)
-    if total > wanted:
-        sample = sample.sample(fraction=min(1.0, 1.5 * wanted / total), seed=7)
-    rows = sorted({tuple(r) for r in sample.orderBy(F.rand(7)).limit(wanted).collect()})
-    step = max(1, len(rows) // parts)
-    bounds = rows[step::step]
-    here = F.struct(*[F.col(c) for c in order])
-    types = {f.name: f.dataType for f in df.schema.fields}
-    bucket: Column = F.lit(0)
-    for bound in bounds:
-        edge = F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(order, bound)])
-        bucket = bucket + (here >= edge).cast("int")
-    spread = df.withColumn("_b", bucket)
-    # At most ``parts`` rows (plus rounding) reach this running sum.
-    offsets = (
-        spread.groupBy("_b")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn(
-            "_off",
-            F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)),
-        )
-        .select("_b", F.coalesce("_off", F.lit(0)).alias("_off"))
-    )
-    numbered = spread.withColumn("_r", F.row_number().over(W.partitionBy("_b").orderBy(*order)))
-    return (
-        numbered.join(offsets, "_b")
-        .withColumn(out, (F.col("_off") + F.col("_r") - 1).cast("bigint"))
-        .drop("_b", "_r", "_off")
-    )
+    ranges = df.repartitionByRange(*([parts] if parts else []), *order).sortWithinPartitions(*order)
+    # Written, so that a repeated task cannot number its rows in another way.
+    numbered = cut_lineage(ranges.withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = numbered.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    # A row per range reaches this running sum.
+    before = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    shift = F.broadcast(counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before")))
+    joined = numbered.withColumn("_part", part).join(shift, "_part")
+    return joined.withColumn(out, (F.col("_before") + place).cast("bigint")).drop("_part", "_before", "_at")
 
 
 def exact_quantiles(

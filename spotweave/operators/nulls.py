@@ -12,32 +12,33 @@ from dataclasses import dataclass
 
 import numpy as np
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+# Odd multipliers of the mix.
+MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 ROUNDS = 6
+_LOW = np.uint64(0xFFFFFFFF)
 
 
-def _scramble(v: np.ndarray, key: int) -> np.ndarray:
-    """A 64-bit mix of ``v`` under a key (wrapping arithmetic)."""
-    with np.errstate(over="ignore"):
-        z = v * _MIX + np.uint64(key & 0xFFFFFFFFFFFFFFFF)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return z ^ (z >> np.uint64(31))
+def mix(v: np.ndarray, key: np.ndarray | int) -> np.ndarray:
+    """A 32-bit mix of ``v`` under a key. Products stay below 2**64, so that any engine with
+    unsigned 64-bit numbers can state it."""
+    a, b, c = (np.uint64(m) for m in MULTIPLIERS)
+    z = (np.asarray(v, np.uint64) * a + np.asarray(key, np.uint64)) & _LOW
+    z = ((z ^ (z >> np.uint64(15))) * b) & _LOW
+    z = ((z ^ (z >> np.uint64(13))) * c) & _LOW
+    return z ^ (z >> np.uint64(16))
 
 
 def permute(index: np.ndarray, n: int, seed: int, draw: int) -> np.ndarray:
-    """Image of each index under shuffle number ``draw`` of 0..n-1."""
+    """Image of each index under shuffle number ``draw`` of 0..n-1 (n up to 2**64)."""
     half = max(1, (max(1, n - 1).bit_length() + 1) // 2)
     mask = np.uint64((1 << half) - 1)
     shift = np.uint64(half)
-    keys = _scramble(
-        np.arange(ROUNDS, dtype=np.uint64) + np.uint64(draw) * np.uint64(ROUNDS), seed * 2_654_435_761 + 1
-    )
+    keys = mix(np.arange(ROUNDS) + draw * ROUNDS, int(mix(seed, 1)))
 
     def once(v: np.ndarray) -> np.ndarray:
         left, right = v >> shift, v & mask
         for key in keys:
-            left, right = right, left ^ (_scramble(right, int(key)) & mask)
+            left, right = right, left ^ (mix(right, key) & mask)
         return (left << shift) | right
 
     out = once(index.astype(np.uint64))
@@ -62,6 +63,12 @@ class LabelShuffle:
         edges = np.cumsum(counts)
         return cls(int(edges[-1]), tuple(int(e) for e in edges), seed)
 
+    def places(self, index: np.ndarray, draw: int) -> np.ndarray:
+        """Places in the label list; the same for all label counts of ``n`` rows."""
+        return permute(np.asarray(index), self.n, self.seed, draw)
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(np.asarray(self.bounds), places, side="right")
+
     def labels(self, index: np.ndarray, draw: int) -> np.ndarray:
-        place = permute(np.asarray(index), self.n, self.seed, draw)
-        return np.searchsorted(np.asarray(self.bounds), place, side="right")
+        return self.at(self.places(index, draw))

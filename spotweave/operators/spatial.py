@@ -11,13 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from spotweave.functions.indexing import dense_index
+from spotweave.functions.indexing import ordered_index
 from spotweave.functions.scalars import guarded_cosine
 from spotweave.operators.knn import knn_join
 from spotweave.operators.nulls import LabelShuffle, permute
-from spotweave.session import spread
+from spotweave.session import cut_lineage, spread
 
 NEIGHBOURS = 6  # of the spatial graph
 SHUFFLES = 100
@@ -32,49 +34,86 @@ def spatial_graph(spots: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     )
 
 
-def labelled_edges(edges: DataFrame, assigned: DataFrame) -> DataFrame:
-    """``(k, ls, ld)``: both end labels of every directed edge for every cut.
+TOTAL, OBSERVED = -1, -1
 
-    A spot carries all its labels as one array, so each edge is joined twice in
-    total, not twice per cut.
+
+def labelled_edges(edges: DataFrame, assigned: DataFrame, ks: list[int], index: DataFrame | None = None) -> DataFrame:
+    """``(a, b, i?, j?)``: per directed edge the labels of both ends at the cuts ``ks`` (-1 where a
+    spot has none), and the ends' numbers of ``index(obs_id, i)``. An edge is one row."""
+    states = F.map_from_entries(F.collect_list(F.struct("k", "state")))
+    packed = assigned.groupBy("obs_id").agg(states.alias("m"))
+    wanted = F.array(*(F.lit(k) for k in ks))
+    packed = packed.select("obs_id", F.transform(wanted, lambda k: F.coalesce(F.col("m")[k], F.lit(TOTAL))).alias("s"))
+    numbers = []
+    if index is not None:
+        packed, numbers = packed.join(index, "obs_id"), ["i"]
+    ends = lambda key, names: packed.select(F.col("obs_id").alias(key), *(F.col(c).alias(n) for c, n in zip(["s", *numbers], names)))
+    return edges.join(ends("src", ["a", "i"]), "src").join(ends("dst", ["b", "j"]), "dst").drop("src", "dst")
+
+
+def edge_counts(
+    edges: DataFrame, assigned: DataFrame, counts: dict[int, list[int]], index: DataFrame | None = None, n_perm: int = 0, seed: int = 0
+) -> DataFrame:
+    """``(k, draw, state, n)``: edges inside each state, as mapped (draw -1) and under ``n_perm``
+    label shuffles over the numbers ``index(obs_id, i)``. State -1 of draw -1 counts all edges of the cut.
+
+    Every edge is read once for all cuts and shuffles, and tasks send counts only.
     """
-    packed = assigned.groupBy("obs_id").agg(
-        F.array_sort(F.collect_list(F.struct("k", "state"))).alias("ls")
-    )
-    both = (
-        edges.join(packed.withColumnRenamed("obs_id", "src").withColumnRenamed("ls", "a"), "src")
-        .join(packed.withColumnRenamed("obs_id", "dst").withColumnRenamed("ls", "b"), "dst")
-        .select(F.explode(F.arrays_zip("a", "b")).alias("e"))
-    )
-    return both.select(
-        F.col("e.a.k").alias("k"), F.col("e.a.state").alias("ls"), F.col("e.b.state").alias("ld")
-    )
+    ks = sorted(counts)
+    sent = edges.sparkSession.sparkContext.broadcast({k: np.cumsum(counts[k]) for k in ks})
+    n = int(sum(counts[ks[0]])) if ks else 0
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = {k: np.zeros((n_perm + 1, len(counts[k]) + 1), np.int64) for k in ks}
+        for batch in batches:
+            a, b = (pc.list_flatten(batch.column(c)).to_numpy().reshape(-1, len(ks)) for c in "ab")
+            known = (a != TOTAL) & (b != TOTAL)
+            for at, k in enumerate(ks):
+                inside = a[known[:, at] & (a[:, at] == b[:, at]), at]
+                totals[k][0, :-1] += np.bincount(inside, minlength=len(counts[k]))
+                totals[k][0, -1] += known[:, at].sum()
+            for draw in range(n_perm):
+                x, y = (permute(batch.column(c).to_numpy(), n, seed, draw) for c in "ij")
+                for k in ks:
+                    la, lb = (np.searchsorted(sent.value[k], v, side="right") for v in (x, y))
+                    totals[k][draw + 1, :-1] += np.bincount(la[la == lb], minlength=len(counts[k]))
+        for k in ks:
+            draw, state = np.indices(totals[k].shape)
+            state[:, -1] = TOTAL
+            own = (np.full(draw.size, k), draw.ravel() - 1, state.ravel())
+            yield pa.RecordBatch.from_arrays([*(pa.array(v.astype(np.int32)) for v in own), pa.array(totals[k].ravel())], names=["k", "draw", "state", "n"])
+
+    labelled = labelled_edges(edges, assigned, ks, index if n_perm else None)
+    if n_perm:  # far more work than its bytes tell
+        labelled = spread(labelled, "i", "j")
+    added = labelled.mapInArrow(count, "k int, draw int, state int, n bigint").groupBy("k", "draw", "state").agg(F.sum("n").alias("n"))
+    return added.where((F.col("state") != TOTAL) | (F.col("draw") == OBSERVED))
+
+
+def purity_of(counted: DataFrame) -> DataFrame:
+    """``(k, n_edges, purity)`` from ``edge_counts``: share of directed edges between equal labels."""
+    inside = F.sum(F.when(F.col("state") != TOTAL, F.col("n")))
+    own = counted.where(F.col("draw") == OBSERVED).groupBy("k").agg(F.sum(F.when(F.col("state") == TOTAL, F.col("n"))).alias("n_edges"), inside.alias("_in"))
+    return own.where("n_edges > 0").select("k", "n_edges", (F.col("_in").cast("double") / F.col("n_edges")).alias("purity"))
 
 
 def local_purity(edges: DataFrame, assigned: DataFrame) -> DataFrame:
     """``(k, n_edges, purity)``: share of directed edges between equal labels."""
-    return (
-        labelled_edges(edges, assigned)
-        .groupBy("k")
-        .agg(
-            F.count(F.lit(1)).alias("n_edges"),
-            F.avg((F.col("ls") == F.col("ld")).cast("double")).alias("purity"),
-        )
-    )
+    return purity_of(edge_counts(edges, assigned, label_counts(assigned)))
 
 
 def within_state_edges(edges: DataFrame, assigned: DataFrame) -> DataFrame:
     """``(k, state, n)``: edges inside each state that has spots, zero included."""
-    inside = (
-        labelled_edges(edges, assigned)
-        .where(F.col("ls") == F.col("ld"))
-        .groupBy("k", F.col("ls").alias("state"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    present = assigned.select("k", "state").distinct()
-    return present.join(inside, ["k", "state"], "left").select(
-        "k", "state", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
-    )
+    counts = label_counts(assigned)
+    return _inside(edge_counts(edges, assigned, counts), counts)
+
+
+def _inside(counted: DataFrame, counts: dict[int, list[int]]) -> DataFrame:
+    present = [(k, s) for k, own in counts.items() for s, n in enumerate(own) if n]
+    # States of the cuts, as many rows as ``counts`` has numbers.
+    known = F.broadcast(counted.sparkSession.createDataFrame(present, "k int, state int"))
+    own = counted.where((F.col("draw") == OBSERVED) & (F.col("state") != TOTAL))
+    return known.join(own.select("k", "state", "n"), ["k", "state"], "left").select("k", "state", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def expected_purity(assigned: DataFrame) -> DataFrame:
@@ -87,16 +126,6 @@ def expected_purity(assigned: DataFrame) -> DataFrame:
     )
 
 
-def indexed_edges(edges: DataFrame, spots: DataFrame) -> DataFrame:
-    """``(i, j)``: the edges over dense spot numbers."""
-    index = dense_index(spots.select("obs_id"), "obs_id")
-    return (
-        edges.join(index.select(F.col("obs_id").alias("src"), "i"), "src")
-        .join(index.select(F.col("obs_id").alias("dst"), F.col("i").alias("j")), "dst")
-        .select("i", "j")
-    )
-
-
 def label_counts(assigned: DataFrame) -> dict[int, list[int]]:
     """Spots per state and cut: at most k numbers per cut reach the driver."""
     out: dict[int, dict[int, int]] = {}
@@ -105,46 +134,6 @@ def label_counts(assigned: DataFrame) -> dict[int, list[int]]:
     return {k: [v.get(s, 0) for s in range(max(v) + 1)] for k, v in out.items()}
 
 
-def shuffled_edge_counts(
-    index_edges: DataFrame, counts: dict[int, list[int]], n_perm: int = SHUFFLES, seed: int = 0
-) -> DataFrame:
-    """``(k, draw, state, n)``: edges inside each state under each label shuffle."""
-    spark = index_edges.sparkSession
-    ks = sorted(counts)
-    bounds = spark.sparkContext.broadcast({k: np.cumsum(counts[k]) for k in ks})
-    n = int(sum(counts[ks[0]])) if ks else 0
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals = {k: np.zeros((n_perm, len(counts[k])), dtype=np.int64) for k in ks}
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            i, j = pdf["i"].to_numpy(), pdf["j"].to_numpy()
-            for draw in range(n_perm):
-                a, b = permute(i, n, seed, draw), permute(j, n, seed, draw)
-                for k in ks:
-                    la = np.searchsorted(bounds.value[k], a, side="right")
-                    lb = np.searchsorted(bounds.value[k], b, side="right")
-                    totals[k][draw] += np.bincount(la[la == lb], minlength=len(counts[k]))
-        for k in ks:
-            draw, state = np.indices(totals[k].shape)
-            yield pd.DataFrame(
-                {
-                    "k": np.full(draw.size, k, dtype=np.int32),
-                    "draw": draw.ravel().astype(np.int32),
-                    "state": state.ravel().astype(np.int32),
-                    "n": totals[k].ravel(),
-                }
-            )
-
-    return (
-        spread(index_edges, "i", "j")
-        .mapInPandas(count, "k int, draw int, state int, n bigint")
-        .groupBy("k", "draw", "state")
-        .agg(F.sum("n").alias("n"))
-    )
-
-
 def permutation_test(observed: DataFrame, null: DataFrame) -> DataFrame:
     """``(k, observed, p_value, z_score, null_mean, null_std)`` from ``observed(k, value)``
     and ``null(k, draw, value)``; NULL where the observed value or the null is missing."""
@@ -208,14 +197,15 @@ def spatial_organisation(
         raise ValueError(f"spatial organisation needs more than {k} spots, got {n_spots}")
     if spots.where(F.col("px").isNull() | F.col("py").isNull()).limit(1).count():
         raise ValueError("every spot needs coordinates")
-    edges = edges if edges is not None else spatial_graph(spots, k).persist()
+    edges = edges if edges is not None else spatial_graph(spots, k)
     counts = label_counts(assigned)
-    shuffled = shuffled_edge_counts(indexed_edges(edges, spots), counts, n_perm, seed).persist()
-    purity = local_purity(edges, assigned)
-    test = permutation_test(
-        purity.select("k", F.col("purity").alias("value")), purity_null(shuffled, purity)
-    )
-    enriched = enrichment(within_state_edges(edges, assigned), shuffled)
+    index = ordered_index(spots.select("obs_id"), ["obs_id"])
+    # A few numbers per cut and draw, read by the test and by the enrichment.
+    counted = cut_lineage(edge_counts(edges, assigned, counts, index, n_perm, seed))
+    purity = purity_of(counted)
+    null = counted.where(F.col("draw") != OBSERVED)
+    test = permutation_test(purity.select("k", F.col("purity").alias("value")), purity_null(null, purity))
+    enriched = enrichment(_inside(counted, counts), null)
     return (
         test.join(enriched, "k")
         .withColumn("n_spots", F.lit(n_spots).cast("bigint"))
@@ -233,7 +223,8 @@ def shuffled_reconstruction(
     n_perm: int = 20,
     seed: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
-    """Per-spot and per-feature cosines with shuffled labels, for every cut and draw.
+    """Per-spot and per-feature cosines with shuffled labels, for every cut and draw, by joins:
+    the way beyond the size that ``allcuts.shuffled`` takes.
 
     Returns ``(k, draw, obs_id, value)`` and ``(k, draw, feature, value)``.
     """

@@ -7,8 +7,8 @@ from functools import cached_property
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from spotweave.operators import clusters, features, knn, nearest, normalize, tree
-from spotweave.session import broadcast_if_small
+from spotweave.operators import allcuts, clusters, features, knn, nearest, normalize, tree
+from spotweave.session import broadcast_if_small, cut_lineage
 from spotweave.sources import tables
 
 
@@ -101,11 +101,34 @@ class TablePair:
         weights = nearest.cut_weights(self.spark, labels, self.size_vector, *grams)
         return nearest.state_scores(self.dots, weights)
 
+    def kernel(self, labels: dict[int, np.ndarray]) -> allcuts.Kernel | None:
+        return allcuts.build_kernel(self.sums, self.shared, labels, self.size_vector)
+
+    @cached_property
+    def rule_kernel(self) -> allcuts.Kernel | None:
+        return self.kernel(self.rule_labels)
+
+    @cached_property
+    def spot_rows(self) -> DataFrame:
+        return allcuts.spot_rows(self.st_shared, self.st_obs)
+
+    def assigned(self, labels: dict[int, np.ndarray], kernel: allcuts.Kernel | None) -> DataFrame:
+        """Nearest centroid at every cut: in one pass if the kernel fits into a task."""
+        if kernel is None:
+            return nearest.nearest_assignment(self.scores(labels))
+        return allcuts.assign(self.spot_rows, kernel)
+
     @cached_property
     def rule_assignment(self) -> DataFrame:
-        """Nearest centroid at every rule cut: one narrow row per spot and cut, kept because
+        """Nearest centroid at every rule cut: one narrow row per spot and cut, written because
         the metrics read it several times."""
-        return nearest.nearest_assignment(self.scores(self.rule_labels)).persist()
+        return cut_lineage(self.assigned(self.rule_labels, self.rule_kernel))
+
+    @cached_property
+    def tree_labels(self) -> tree.TreeCuts:
+        """Cuts of the tree over the nation profiles (average linkage)."""
+        merges = tree.link(tree.profile_distances(self.centroids, self.n_clusters))
+        return tree.cuts(merges, tree.k_range(self.n_clusters), self.n_clusters)
 
     def profiles(self, cut: DataFrame) -> DataFrame:
         return clusters.state_profiles(self.sums, self.sizes, cut)

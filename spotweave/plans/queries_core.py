@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from spotweave.operators import clusters, coherence, features, nearest, normalize, prep, quality, reconstruct, tree
+from spotweave.operators import allcuts, clusters, coherence, features, nearest, normalize, prep, quality, reconstruct, tree
 from spotweave.plans.base import TablePair, r6
 from spotweave.plans.registry import query
 from spotweave.plans.sql import r6 as s6, with_ctes
+from spotweave.session import cut_lineage
 from spotweave.sources import tables
 
 
@@ -180,19 +181,18 @@ def profile_zscore(spark: SparkSession, sf: str) -> DataFrame:
 )
 def profile_distances(spark: SparkSession, sf: str) -> DataFrame:
     p = TablePair(spark, sf)
-    d = tree.profile_distances(p.centroids, p.n_clusters)
-    rows = [(i, j, float(d[i, j])) for i in range(len(d)) for j in range(i + 1, len(d))]
-    return spark.createDataFrame(rows, "a int, b int, d double").select("a", "b", r6("d").alias("d"))
+    return tree.distance_pairs(p.centroids, p.n_clusters).select("a", "b", r6("d").alias("d"))
 
 
-@query("agglomeration_cuts")
+@query("agglomeration_cuts", with_ctes("SELECT method, k, c, state FROM tree_cut", "tree_cut"))
 def agglomeration_cuts(spark: SparkSession, sf: str) -> DataFrame:
     """Cut of the tree over the nation profiles at every K, both linkage methods."""
     p = TablePair(spark, sf)
-    d = tree.profile_distances(p.centroids, p.n_clusters)
+    pairs = cut_lineage(tree.distance_pairs(p.centroids, p.n_clusters))
     out = None
     for method in tree.METHODS:
-        labels = tree.cuts(tree.link(d, method), tree.k_range(p.n_clusters), p.n_clusters)
+        merges = tree.link_table(pairs, p.n_clusters, method)
+        labels = tree.cuts(merges, tree.k_range(p.n_clusters), p.n_clusters)
         part = tree.cut_frame(spark, labels).withColumn("method", F.lit(method))
         out = part if out is None else out.unionByName(part)
     return out
@@ -315,6 +315,8 @@ _GENE = """SELECT combo, k, feature, CASE WHEN SUM(x * x) * SUM(m * m) = 0 THEN
 
 
 def _gene_cosines(p: TablePair) -> DataFrame:
+    if p.rule_kernel is not None:
+        return reconstruct.summed_cosines(allcuts.feature_sums(p.spot_rows, p.rule_kernel), p.st_shared, "hard")
     mapping = nearest.one_hot(p.rule_assignment)
     return reconstruct.feature_cosines(p.st_shared, mapping, p.profiles(p.rule_cut), p.shared, "hard")
 
@@ -398,9 +400,7 @@ def coherence_null(spark: SparkSession, sf: str) -> DataFrame:
     """Merge coherence of the tree's cuts against random draws."""
     p = TablePair(spark, sf)
     gram = tree.cluster_grams(p.centroids, p.n_clusters, ["ml"])[0]
-    d = tree.profile_distances(p.centroids, p.n_clusters)
-    labels = tree.cuts(tree.link(d), tree.k_range(p.n_clusters), p.n_clusters)
-    return coherence.merge_coherence(spark, coherence.centroid_cosines(gram), gram.diagonal() > 0, labels)
+    return coherence.merge_coherence(spark, coherence.centroid_cosines(gram), gram.diagonal() > 0, p.tree_labels)
 
 
 @query(

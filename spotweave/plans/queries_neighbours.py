@@ -5,13 +5,14 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spotweave.functions.indexing import dense_index
+from spotweave.functions.indexing import ordered_index
 from spotweave.functions.scalars import guarded_cosine
-from spotweave.operators import clusters, graph, knn, nearest, prep, quality, reconstruct, spatial, tree, wann
+from spotweave.operators import allcuts, clusters, graph, knn, nearest, prep, quality, reconstruct, spatial, tree, wann
 from spotweave.operators.reindex import reindex_fill
 from spotweave.plans.base import TablePair, r6
 from spotweave.plans.registry import query
 from spotweave.plans.sql import define, r6 as s6, with_ctes
+from spotweave.session import cut_lineage
 from spotweave.sources import tables
 
 _SIM = "list_dot_product(a.v, b.v) / (a.n * b.n)"
@@ -264,23 +265,78 @@ def purity_expected(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("k", r6("expected").alias("expected"))
 
 
-@query("spatial_organisation")
+define(
+    "shuffled_edges",
+    ["spatial_edges", "shuffled_labels"],
+    """SELECT a.k, a.draw, a.state AS ls, count(*) AS edges, count(*) FILTER (WHERE a.state = b.state) AS n
+        FROM spatial_edges e JOIN shuffled_labels a ON a.obs_id = e.src
+        JOIN shuffled_labels b ON b.obs_id = e.dst AND b.k = a.k AND b.draw = a.draw
+        GROUP BY a.k, a.draw, a.state""",
+)
+
+
+@query(
+    "spatial_organisation",
+    with_ctes(
+        f"""SELECT o.k, {s6('o.value')} AS observed, p_value, {s6('(o.value - null_mean) / (null_std + 1e-12)')} AS z_score,
+            {s6('null_mean')} AS null_mean, {s6('null_std')} AS null_std, n_states, {s6('mean_self_zscore')} AS mean_self_zscore,
+            (SELECT count(*) FROM st_obs) AS n_spots, 6 AS n_neighbours, 100 AS n_perm
+        FROM (SELECT k, SUM(CAST(ls = ld AS BIGINT))::DOUBLE / count(*) AS value FROM edge_labels GROUP BY k) o
+        JOIN (SELECT q.k, avg(CAST(q.value >= o.value AS DOUBLE)) AS p_value, avg(q.value) AS null_mean, stddev_pop(q.value) AS null_std
+              FROM (SELECT k, draw, SUM(n)::DOUBLE / SUM(edges) AS value FROM shuffled_edges GROUP BY k, draw) q
+              JOIN (SELECT k, SUM(CAST(ls = ld AS BIGINT))::DOUBLE / count(*) AS value FROM edge_labels GROUP BY k) o USING (k)
+              GROUP BY q.k) t USING (k)
+        JOIN (SELECT k, count(*) AS n_states, CASE WHEN count(*) >= 2 THEN avg(CASE WHEN std > 0 THEN (n - mean) / std END) END AS mean_self_zscore
+              FROM (SELECT a.k, a.state, COALESCE(e.n, 0) AS n FROM (SELECT DISTINCT k, state FROM nearest) a
+                    LEFT JOIN (SELECT k, ls AS state, count(*) AS n FROM edge_labels WHERE ls = ld GROUP BY k, ls) e USING (k, state))
+              JOIN (SELECT k, ls AS state, SUM(n) / 100.0 AS mean, sqrt(greatest(0, SUM(n * n) / 100.0 - (SUM(n) / 100.0) * (SUM(n) / 100.0))) AS std
+                    FROM shuffled_edges GROUP BY k, ls) USING (k, state)
+              GROUP BY k) USING (k)""",
+        "edge_labels",
+        "shuffled_edges",
+    ),
+)
 def spatial_organisation(spark: SparkSession, sf: str) -> DataFrame:
     """Purity and enrichment against 100 label shuffles, for every cut."""
     p = TablePair(spark, sf)
-    return spatial.spatial_organisation(p.st_obs, p.rule_assignment.select("k", "obs_id", "state"))
+    out = spatial.spatial_organisation(p.st_obs, p.rule_assignment.select("k", "obs_id", "state"))
+    rounded = ("observed", "z_score", "null_mean", "null_std", "mean_self_zscore")
+    return out.select(*[r6(c).alias(c) if c in rounded else c for c in out.columns])
 
 
-@query("reconstruction_null")
+@query(
+    "reconstruction_null",
+    with_ctes(
+        f"""SELECT k, {s6('median_spot_null')} AS median_spot_null, {s6('median_gene_null')} AS median_gene_null FROM
+        (SELECT k, avg(m) AS median_spot_null FROM (
+            SELECT k, draw, median(CASE WHEN nn * m2 = 0 THEN 0 ELSE greatest(-1.0, least(1.0, dot / (sqrt(nn) * sqrt(m2)))) END) AS m
+            FROM shuffled_labels JOIN scores USING (k, obs_id, state) WHERE draw < 20 GROUP BY k, draw) GROUP BY k) JOIN
+        (SELECT k, avg(m) AS median_gene_null FROM (
+            SELECT k, draw, median(value) AS m FROM (
+                SELECT a.k, a.draw, f.feature, CASE WHEN SUM(COALESCE(x * x, 0)) * SUM(COALESCE(m * m, 0)) = 0 THEN 0
+                    ELSE greatest(-1.0, least(1.0, SUM(x * m) / (sqrt(SUM(x * x)) * sqrt(SUM(m * m))))) END AS value
+                FROM shuffled_labels a CROSS JOIN shared f
+                LEFT JOIN sts t ON t.obs_id = a.obs_id AND t.feature = f.feature
+                LEFT JOIN profiles p ON p.k = a.k AND p.state = a.state AND p.feature = f.feature
+                WHERE draw < 20 GROUP BY a.k, a.draw, f.feature) GROUP BY k, draw) GROUP BY k) USING (k)""",
+        "shuffled_labels",
+        "scores",
+        "shared",
+    ),
+)
 def reconstruction_null(spark: SparkSession, sf: str) -> DataFrame:
     """Median cosines of the reconstruction with shuffled labels, mean over 20 shuffles."""
     p = TablePair(spark, sf)
-    scores = p.scores(p.rule_labels)
-    assigned = nearest.nearest_assignment(scores)
-    counts = spatial.label_counts(assigned)
-    index = dense_index(p.st_obs.select("obs_id"), "obs_id")
-    spot, gene = spatial.shuffled_reconstruction(p.st_shared, scores, p.profiles(p.rule_cut), counts, index)
-    return reconstruct.null_medians(spot, gene)
+    counts = spatial.label_counts(p.rule_assignment)
+    index = ordered_index(p.st_obs.select("obs_id"), ["obs_id"])
+    if p.rule_kernel is not None:
+        rows = cut_lineage(allcuts.spot_rows(p.st_shared, index, "i"))
+        spot, sums = allcuts.shuffled(rows, p.rule_kernel, counts, reconstruct.DRAWS)
+        gene = reconstruct.summed_cosines(sums, p.st_shared, "hard").where(F.col("combo") == "hard-raw")
+    else:
+        spot, gene = spatial.shuffled_reconstruction(p.st_shared, p.scores(p.rule_labels), p.profiles(p.rule_cut), counts, index)
+    out = reconstruct.null_medians(spot, gene)
+    return out.select("k", r6("median_spot_null").alias("median_spot_null"), r6("median_gene_null").alias("median_gene_null"))
 
 
 # --- expression graph -----------------------------------------------------------------
@@ -511,11 +567,16 @@ def cossim_soft_per_gene(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("combo", "k", "feature", r6("value").alias("value"))
 
 
-@query("tree_reconstruction")
+@query(
+    "tree_reconstruction",
+    with_ctes(
+        f"""SELECT k, obs_id, state, {s6('CASE WHEN nn * m2 = 0 THEN 0 ELSE greatest(-1.0, least(1.0, dot / (sqrt(nn) * sqrt(m2)))) END')} AS value
+        FROM tree_scores QUALIFY row_number() OVER (PARTITION BY k, obs_id ORDER BY round(sim, 9) DESC, state) = 1""",
+        "tree_scores",
+    ),
+)
 def tree_reconstruction(spark: SparkSession, sf: str) -> DataFrame:
     """Hard cosines of the cuts of the real tree, per spot."""
     p = TablePair(spark, sf)
-    d = tree.profile_distances(p.centroids, p.n_clusters)
-    labels = tree.cuts(tree.link(d), tree.k_range(p.n_clusters), p.n_clusters)
-    assigned = nearest.nearest_assignment(p.scores(labels))
-    return assigned.select("k", "obs_id", "state", guarded_cosine("dot", "nn", "mm").alias("value"))
+    assigned = p.assigned(p.tree_labels, p.kernel(p.tree_labels))
+    return assigned.select("k", "obs_id", "state", r6(guarded_cosine("dot", "nn", "mm")).alias("value"))

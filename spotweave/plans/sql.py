@@ -111,6 +111,118 @@ def define(name: str, needs: list[str], sql: str) -> None:
     _NEEDS[name] = needs
 
 
+# The tree by its definition: at every step, the two groups whose leaves are nearest on average, or
+# (ward.D) whose union adds most to the distances within.
+define("profile_freq", ["centroids"], "SELECT c, feature, m / (SUM(m) OVER (PARTITION BY c) + 1e-8) AS f FROM centroids")
+define(
+    "leaf_distances",
+    ["profile_freq", "sizes", "shared"],
+    """SELECT a.c AS a, b.c AS b,
+            sqrt(SUM((COALESCE(fa.f, 0) - COALESCE(fb.f, 0)) * (COALESCE(fa.f, 0) - COALESCE(fb.f, 0)))) AS d
+        FROM sizes a CROSS JOIN sizes b CROSS JOIN shared s
+        LEFT JOIN profile_freq fa ON fa.c = a.c AND fa.feature = s.feature
+        LEFT JOIN profile_freq fb ON fb.c = b.c AND fb.feature = s.feature
+        GROUP BY a.c, b.c""",
+)
+_WITHIN = """(SELECT method, tops[a + 1] AS x, avg(d) AS mean, sqrt(count(*)) AS n
+                      FROM tree_walk, leaf_distances WHERE tops[a + 1] = tops[b + 1] GROUP BY ALL)"""
+define(
+    "tree_walk",
+    ["leaf_distances"],
+    f"""SELECT method, 0 AS step, (SELECT list(c ORDER BY c) FROM sizes) AS tops FROM (VALUES ('average'), ('ward')) v(method)
+        UNION ALL
+        SELECT method, step + 1, list_transform(tops, lambda x: CASE WHEN x = hi THEN lo ELSE x END)
+        FROM (
+            SELECT *, row_number() OVER (PARTITION BY method ORDER BY CASE method WHEN 'average' THEN apart
+                ELSE 2 * n_lo * n_hi / (n_lo + n_hi) * (apart - in_lo / 2 - in_hi / 2) END, lo, hi) AS rn
+            FROM (
+                SELECT p.method, p.step, p.tops, p.x AS lo, p.y AS hi, p.mean AS apart,
+                    q.mean AS in_lo, r.mean AS in_hi, q.n AS n_lo, r.n AS n_hi
+                FROM (SELECT method, step, tops, tops[a + 1] AS x, tops[b + 1] AS y, avg(d) AS mean
+                      FROM tree_walk, leaf_distances WHERE step < len(tops) - 1 GROUP BY ALL) p
+                JOIN {_WITHIN} q ON q.method = p.method AND q.x = p.x
+                JOIN {_WITHIN} r ON r.method = p.method AND r.x = p.y
+                WHERE p.x < p.y))
+        WHERE rn = 1""",
+)
+define(
+    "tree_cut",
+    ["tree_walk"],
+    """SELECT method, CAST(len(tops) - step AS INTEGER) AS k, CAST(c AS INTEGER) AS c,
+            CAST(dense_rank() OVER (PARTITION BY method, step ORDER BY tops[c + 1]) - 1 AS INTEGER) AS state
+        FROM (SELECT method, step, tops, unnest(range(len(tops))) AS c FROM tree_walk)""",
+)
+define(
+    "tree_profiles",
+    ["sums", "tree_cut", "sizes"],
+    """SELECT k, state, feature, SUM(sx) / (any_value(z.n) + 1e-8) AS m
+        FROM sums JOIN (SELECT k, c, state FROM tree_cut WHERE method = 'average') USING (c)
+        JOIN (SELECT k, state, SUM(n) AS n FROM tree_cut JOIN sizes USING (c) WHERE method = 'average' GROUP BY k, state) z
+            USING (k, state)
+        GROUP BY k, state, feature""",
+)
+define(
+    "tree_scores",
+    ["tree_profiles", "spot_norms"],
+    """SELECT z.k, z.state, s.obs_id, COALESCE(dot, 0) AS dot, nn, norm * norm AS m2,
+            COALESCE(dot, 0) / ((sqrt(nn) + 1e-8) * (norm + 1e-8)) AS sim
+        FROM (SELECT k, state, sqrt(SUM(m * m)) AS norm FROM tree_profiles GROUP BY k, state) z
+        CROSS JOIN spot_norms s
+        LEFT JOIN (SELECT k, obs_id, state, SUM(x * m) AS dot FROM sts JOIN tree_profiles USING (feature) GROUP BY ALL) d
+            ON d.k = z.k AND d.state = z.state AND d.obs_id = s.obs_id""",
+)
+
+# Label shuffles: the row numbers of the spots run through six Feistel rounds, again while they lie
+# outside 0..n-1. A row of the walk is one round.
+_M32 = 4294967295
+
+
+def mix_sql(value: str, key: str) -> str:
+    """The 32-bit mix of nulls.py; one pass of a list reduction per step."""
+    first = f"(({value})::UBIGINT * 2654435761::UBIGINT + ({key})::UBIGINT) & {_M32}::UBIGINT"
+    step = "(xor(z, z >> (s >> 32)) * (s & 4294967295::UBIGINT)) & 4294967295::UBIGINT"
+    steps = f"[{(15 << 32) + 2246822519}::UBIGINT, {(13 << 32) + 3266489917}::UBIGINT, {(16 << 32) + 1}::UBIGINT]"
+    return f"list_reduce(list_concat([{first}], {steps}), lambda z, s: {step})"
+
+
+define("shuffle_n", ["st_obs"], "SELECT count(*) AS n, greatest(1, (length(bin(greatest(1, count(*) - 1))) + 1) // 2) AS half FROM st_obs")
+define("spot_index", ["st_obs"], "SELECT obs_id, row_number() OVER (ORDER BY obs_id) - 1 AS i FROM st_obs")
+define(
+    "shuffle_keys",
+    [],
+    f"""SELECT draw, r, {mix_sql('draw * 6 + r', mix_sql('0', '1'))} AS key
+        FROM range(100) a(draw), range(6) b(r)""",
+)
+define(
+    "shuffle_walk",
+    ["shuffle_n", "spot_index", "shuffle_keys"],
+    f"""SELECT i, draw, 0 AS round, i::UBIGINT >> half AS l, i::UBIGINT & ((1 << half) - 1)::UBIGINT AS r
+        FROM spot_index, shuffle_n, range(100) a(draw)
+        UNION ALL
+        SELECT i, w.draw, round + 1, w.r, xor(l, {mix_sql('w.r', 'key')} & ((1 << half) - 1)::UBIGINT)
+        FROM shuffle_walk w JOIN shuffle_keys k ON k.draw = w.draw AND k.r = w.round % 6, shuffle_n
+        WHERE round % 6 <> 0 OR round = 0 OR (l << half) + w.r >= n""",
+)
+define(
+    "shuffle_places",
+    ["shuffle_walk", "shuffle_n", "spot_index"],
+    """SELECT obs_id, w.draw, ((l << half) + r)::BIGINT AS place
+        FROM shuffle_walk w JOIN spot_index USING (i), shuffle_n
+        WHERE round > 0 AND round % 6 = 0 AND (l << half) + r < n""",
+)
+define(
+    "shuffle_bounds",
+    ["nearest"],
+    """SELECT k, state, SUM(n) OVER (PARTITION BY k ORDER BY state) - n AS low, SUM(n) OVER (PARTITION BY k ORDER BY state) AS high
+        FROM (SELECT k, state, count(*) AS n FROM nearest GROUP BY k, state)""",
+)
+define(
+    "shuffled_labels",
+    ["shuffle_places", "shuffle_bounds"],
+    "SELECT k, draw, obs_id, state FROM shuffle_places JOIN shuffle_bounds ON place >= low AND place < high",
+)
+
+
 def with_ctes(body: str, *names: str) -> str:
     order: list[str] = []
 
@@ -123,7 +235,8 @@ def with_ctes(body: str, *names: str) -> str:
     for name in names:
         visit(name)
     parts = ",\n".join(f"{n} AS MATERIALIZED ({_PAIR[n]})" for n in order)
-    return f"WITH {parts}\n{body}"
+    recursive = "RECURSIVE " if {"tree_walk", "shuffle_walk"} & set(order) else ""
+    return f"WITH {recursive}{parts}\n{body}"
 
 
 def r6(expr: str) -> str:

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spotweave.functions.indexing import ordered_index
 from spotweave.operators import coherence, spatial, wann
 from spotweave.operators.nulls import LabelShuffle, permute
 
@@ -39,9 +40,13 @@ def test_spatial_null_equals_a_direct_count_and_its_closed_form(spark):
     edges = spatial.spatial_graph(spots).persist()
     assert edges.count() == n * 6
     counts = spatial.label_counts(assigned)
-    indexed = spatial.indexed_edges(edges, spots).persist()
-    got = spatial.shuffled_edge_counts(indexed, counts, draws).toPandas()
-    pdf = indexed.toPandas()
+    # The numbers of the spots are their ids here.
+    index = ordered_index(spots.select("obs_id"), ["obs_id"])
+    got = spatial.edge_counts(edges, assigned, counts, index, draws).toPandas()
+    pdf = edges.select(F.col("src").alias("i"), F.col("dst").alias("j")).toPandas()
+    assert got[(got.k == 3) & (got.draw == -1) & (got.state == -1)]["n"].item() == n * 6
+    own = state[pdf["i"]][state[pdf["i"]] == state[pdf["j"]]]
+    assert got[(got.k == 3) & (got.draw == -1) & (got.state >= 0)].sort_values("state")["n"].tolist() == np.bincount(own, minlength=3).tolist()
     shuffle = LabelShuffle.from_counts(counts[3])
     for draw in (0, 7):
         a, b = shuffle.labels(pdf["i"].to_numpy(), draw), shuffle.labels(pdf["j"].to_numpy(), draw)
