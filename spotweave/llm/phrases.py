@@ -1,19 +1,19 @@
 """Phrases of two to five words that stand together more often than their parts would.
 
 Stripes: the key is a prefix of one to four words, the value a counter of the words that follow
-it. A task sends one stripe per prefix and text chunk; equal prefixes meet in one partition,
-where their counters are added elementwise. A merged stripe gives the prefix' own total, its
-frequent extensions (the candidates, one word longer) and the largest extension, which tells
-whether a longer phrase subsumes the prefix.
-
-Lengths go up one by one. A phrase can only be frequent if both phrases that it has less a word
-are, so a follower that cannot lead to a frequent extension is counted in the stripe's cell
-without a word (which also counts ends of pieces): totals stay exact and few cells move. Which phrases are
-frequent is known to the tasks by a bit map of at most ``FILTER_BITS`` bits; a false positive
-costs a cell, never a count. A prefix that holds over 1 / ``HOT`` of all words has its stripe
-split by follower.
-
-Words and phrases are told apart by their bytes, not by hashes. A NULL language is ``und``; a
+it. A task sends one stripe per prefix; equal prefixes meet in one partition, where their counters
+are added elementwise. A merged stripe gives the frequent extensions of its prefix (the candidates,
+one word longer) and the largest one, which tells whether a longer phrase subsumes the prefix. The
+prefix' own total is its cell in the stripe of the prefix that is a word shorter.
+
+Stripes hold only cells that can be frequent. Before, lengths are counted one by one by 64-bit
+hashes, a number per different phrase and task, where a phrase counts only if both phrases
+that it has less a word are frequent. What is frequent is known to the tasks by a bit map per length
+of at most ``FILTER_BITS`` bits; a false positive costs a cell, never a count. A prefix that holds
+over 1 / ``HOT`` of all words has its stripe split by follower.
+
+The counts returned are those of the stripes, where words and phrases are told apart by their
+bytes. Two phrases of one hash only add a false positive. A NULL language is ``und``; a
 NULL text is empty; repeated rows count each; other columns are ignored; an empty table gives
 no rows; a text of many megabytes is cut between pieces before it is read.
 """
@@ -27,20 +27,23 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from spotweave.llm.ngrams import FLUSH as FLUSH_HASHES, Tally
 from spotweave.llm.text import byte_class, chunks, hash_slices, mix, rolling
 from spotweave.session import cut_lineage
 
 LEAST = 100
 LONGEST = 5
 TOP = 2000
-FILTER_BITS = 1 << 29
+FILTER_BITS = 1 << 28
+# Cells a task collects before it sends them on.
+FLUSH = 300_000
 HOT = 1000
 PARTS = 64
 CHUNK = 4 << 20
 
 SEPARATES = byte_class(lambda b: b in b".,;:!?" or 0x0A <= b <= 0x0D)
 IN_WORD = byte_class(lambda b: b not in b" \t.,;:!?" and not 0x0A <= b <= 0x0D)
-STRIPE = "lang string, prefix string, part int, cells array<struct<word: string, n: bigint, h: bigint>>"
+STRIPE = "lang string, words int, prefix string, part int, cells array<struct<word: string, n: bigint>>"
 
 
 class Chunk:
@@ -80,6 +83,12 @@ class Chunk:
         salt = hash_slices("".join(self.langs).encode() + bytes(8), *_bounds(self.langs))
         return mix(out ^ salt[self.lang]) if self.size else out
 
+    def grown(self, length: int, known: "Filter") -> np.ndarray:
+        """Places of phrases of ``length`` words whose two parts of a word less ``known`` holds."""
+        held = (np.arange(self.size) + length - 1 <= self.piece_end) & known.holds(self.hashes(length - 1))
+        at = np.flatnonzero(held[:-1] & held[1:]) if self.size else np.empty(0, np.int64)
+        return at[at + length <= self.piece_end[at]]
+
     def text(self, at: np.ndarray, length: int) -> pa.Array:
         words = [self.words.take(pa.array(self.word[at + k])) for k in range(length)]
         return words[0] if length == 1 else pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string()))
@@ -150,69 +159,113 @@ class Filter:
         return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def build_filter(frequent: DataFrame, most: int = FILTER_BITS) -> tuple[Filter, int]:
-    """Bit map of ``frequent(h)`` and the number of its rows. Its size follows from the rows, up to
+def build_filter(frequent: DataFrame, most: int = FILTER_BITS) -> Filter | None:
+    """Bit map of ``frequent(h)``, None if there is no row. Its size follows from the rows, up to
     ``most`` bits: that much reaches the driver and no more."""
     count = frequent.count()
+    if not count:
+        return None
     size = min(most, max(1 << 20, 1 << (16 * count).bit_length()))
     place = F.col("h").bitwiseAND(F.lit(size - 1)) + 1
     parts = frequent.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    bits = np.zeros(size // 8, np.uint8)
-    for part in parts.toLocalIterator():  # a part has 4 KB
-        bits[(part["b"] - 1) * 4096 : part["b"] * 4096] = np.frombuffer(part["bits"], np.uint8)
-    return Filter(bits, size), count
+    found = parts.toArrow()  # 4 KB a row
+    bits = np.zeros((size >> 15, 4096), np.uint8)
+    for b, own in zip(found.column("b").to_pylist(), found.column("bits").to_pylist()):
+        bits[b - 1] = np.frombuffer(own, np.uint8)
+    return Filter(bits.ravel(), size)
+
 
+def count_hashes(rows: DataFrame, length: int, known: Filter) -> DataFrame:
+    """``(h, n)`` of the phrases of ``length`` words whose two parts of a word less ``known`` holds."""
+    sent = rows.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            keys, n = tally.take()
+            for low in range(0, len(keys), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[low : low + (1 << 18)].view(np.int64)), pa.array(n[low : low + (1 << 18)])], names=["h", "n"])
+
+        for chunk in read_chunks(batches):
+            at = chunk.grown(length, sent.value)
+            if len(at):
+                tally.add(*np.unique(chunk.hashes(length)[at], return_counts=True))
+            if tally.size > FLUSH_HASHES:
+                yield from flush()
+        yield from flush()
 
-def local_stripes(rows: DataFrame, length: int, known: Filter, hot: np.ndarray) -> DataFrame:
-    """Stripes of the prefixes of ``length`` words, a row per prefix and text chunk."""
+    return rows.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def local_stripes(rows: DataFrame, known: list[Filter], hot: np.ndarray) -> DataFrame:
+    """Stripes of all prefixes: ``known[k]`` holds the frequent phrases of k + 2 words. A task adds up
+    its cells before it sends them."""
     sent = rows.sparkSession.sparkContext.broadcast((known, hot))
+    keys = ["lang", "words", "prefix", "part", "word"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, hot = sent.value
+        held: list[pa.Table] = []
+        waiting = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            added = pa.concat_tables(held).group_by(keys).aggregate([("n", "sum")]).sort_by([(k, "ascending") for k in keys[:4]]).combine_chunks()
+            columns = {k: added.column(k).combine_chunks() for k in keys}
+            change = np.zeros(len(added), bool)
+            change[:1] = True
+            for k in keys[:4]:
+                own = columns[k].dictionary_encode().indices.to_numpy()
+                change[1:] |= own[1:] != own[:-1]
+            head = np.flatnonzero(change)
+            cells = pa.StructArray.from_arrays([columns["word"], added.column("n_sum").combine_chunks()], names=["word", "n"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(added)).astype(np.int32)), cells)
+            at = pa.array(head)
+            yield pa.RecordBatch.from_arrays([*(columns[k].take(at) for k in keys[:4]), lists], names=[*keys[:4], "cells"])
+
         for chunk in read_chunks(batches):
-            own = chunk.hashes(length)
-            place = np.arange(chunk.size)
-            frequent = (place + length <= chunk.piece_end) & known.holds(own)
-            at = np.flatnonzero(frequent)
-            if not len(at):
-                continue
-            # The last words and the next one must be a frequent phrase as well.
-            further = at + length < chunk.piece_end[at]
-            further[further] = frequent[at[further] + 1]
-            follower = np.full(len(at), -1)
-            follower[further] = chunk.word[at[further] + length]
-            prefix = chunk.lang[at]
-            for k in range(length):
-                prefix = np.unique(prefix * len(chunk.words) + chunk.word[at + k], return_inverse=True)[1]
-            cell, first, n = np.unique(prefix * (len(chunk.words) + 1) + follower + 1, return_index=True, return_counts=True)
-            prefix, place, named = prefix[first], at[first], follower[first] >= 0
-            h = np.zeros(len(cell), np.uint64)
-            h[named] = chunk.hashes(length + 1)[place[named]]
-            part = np.where(np.isin(own[place], hot) & named, h % np.uint64(PARTS), 0).astype(np.int32)
-            order = np.lexsort((part, prefix))
-            prefix, place, named, part, h, n = (x[order] for x in (prefix, place, named, part, h, n))
-            word = np.where(named, chunk.word[np.minimum(place + length, chunk.size - 1)], 0)
-            head = np.flatnonzero(np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])]))
-            words = chunk.words.take(pa.array(word, mask=~named)).cast(pa.string())
-            cells = pa.StructArray.from_arrays([words, pa.array(n), pa.array(h.view(np.int64))], names=["word", "n", "h"])
-            lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(n)).astype(np.int32)), cells)
-            yield pa.RecordBatch.from_arrays([chunk.names(place[head]), chunk.text(place[head], length).cast(pa.string()), pa.array(part[head]), lists], names=["lang", "prefix", "part", "cells"])
+            for k, filter_ in enumerate(known):
+                length = k + 2
+                whole = chunk.hashes(length)
+                at = np.flatnonzero((np.arange(chunk.size) + length <= chunk.piece_end) & filter_.holds(whole))
+                if not len(at):
+                    continue
+                phrase = chunk.lang[at]
+                for step in range(length):
+                    phrase = np.unique(phrase * len(chunk.words) + chunk.word[at + step], return_inverse=True)[1]
+                _, first, n = np.unique(phrase, return_index=True, return_counts=True)
+                at = at[first]
+                part = np.where(np.isin(chunk.hashes(length - 1)[at], hot), whole[at] % np.uint64(PARTS), 0)
+                held.append(
+                    pa.table(
+                        {
+                            "lang": chunk.names(at),
+                            "words": pa.array(np.full(len(at), length - 1, np.int32)),
+                            "prefix": chunk.text(at, length - 1).cast(pa.string()),
+                            "part": pa.array(part.astype(np.int32)),
+                            "word": chunk.text(at + length - 1, 1).cast(pa.string()),
+                            "n": pa.array(n),
+                        }
+                    )
+                )
+                waiting += len(at)
+            if waiting > FLUSH:
+                yield from flush()
+                held, waiting = [], 0
+        yield from flush()
 
     return rows.mapInArrow(run, STRIPE)
 
 
 def merge_stripes(stripes: DataFrame, least: int) -> DataFrame:
-    """``(lang, prefix, part, total, best, cells)``: the sum of all stripes of a prefix, with the
-    cells of at least ``least`` and the largest cell that has a word."""
+    """``(lang, words, prefix, part, best, cells)``: the sum of all stripes of a prefix, its cells of at
+    least ``least`` and the largest of them."""
     # Stripes move once, by prefix; adding up their cells keeps that partitioning.
-    met = stripes.repartition("lang", "prefix", "part").select("lang", "prefix", "part", F.inline("cells"))
-    added = met.groupBy("lang", "prefix", "part", "word").agg(F.sum("n").alias("n"), F.min("h").alias("h"))
-    extends = F.col("word").isNotNull() & (F.col("n") >= least)
-    return added.groupBy("lang", "prefix", "part").agg(
-        F.sum("n").alias("total"),
-        F.coalesce(F.max(F.when(F.col("word").isNotNull(), F.col("n"))), F.lit(0)).alias("best"),
-        F.collect_list(F.when(extends, F.struct("word", "n", "h"))).alias("cells"),
-    )
+    met = stripes.repartition("lang", "prefix", "part").select("lang", "words", "prefix", "part", F.inline("cells"))
+    added = met.groupBy("lang", "words", "prefix", "part", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return added.groupBy("lang", "words", "prefix", "part").agg(F.max("n").alias("best"), F.collect_list(F.struct("word", "n")).alias("cells"))
 
 
 def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, top: int = TOP) -> DataFrame:
@@ -221,31 +274,28 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     words = cut_lineage(count_words(rows).where(F.col("word").isNull() | (F.col("n") >= least)))
     sizes = words.where("word IS NULL").select("lang", "n")
     every = sizes.agg(F.sum("n")).first()[0] or 0
-    frequent = words.where(F.col("word").isNotNull() & (F.col("n") >= least)).select("lang", F.col("word").alias("phrase"), "n", "h")
-
-    stripes, candidates = [], []
-    for length in range(1, longest):
-        known, count = build_filter(frequent)
-        if not count:
-            break
-        # Fewer than HOT such phrases can exist per word of their length.
-        hot = np.array([r["h"] for r in frequent.where(F.col("n") * HOT > every).select("h").collect()], np.int64).view(np.uint64)
-        merged = cut_lineage(merge_stripes(local_stripes(rows, length, known, hot), least))
-        stripes.append(merged)
-        grown = merged.select("lang", "prefix", F.inline("cells"))
-        frequent = grown.select("lang", F.concat_ws(" ", "prefix", "word").alias("phrase"), "n", "h")
-        candidates.append(frequent.select("lang", "phrase", F.col("n").alias("a"), F.lit(length + 1).alias("words")))
-    if not candidates:
+    single = words.where(F.col("word").isNotNull() & (F.col("n") >= least))
+    known, frequent = [build_filter(single)], [single.select("h", "n")]
+    while known[-1] and len(known) < longest:
+        counted = cut_lineage(count_hashes(rows, len(known) + 1, known[-1]).where(F.col("n") >= least))
+        known.append(build_filter(counted))
+        frequent.append(counted)
+    known = [f for f in known[1:] if f]
+    if not known:
         return docs.sparkSession.createDataFrame([], "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint")
-    union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
-    found = union(candidates)
-    parts = cut_lineage(union(stripes).groupBy("lang", F.col("prefix").alias("phrase")).agg(F.sum("total").alias("f"), F.max("best").alias("right")))
+    # Fewer than HOT of each length exist.
+    hot = [r["h"] for f in frequent[:-1] for r in f.where(F.col("n") * HOT > every).select("h").collect()]
+    stripes = cut_lineage(merge_stripes(local_stripes(rows, known, np.array(hot, np.int64).view(np.uint64)), least))
+    found = stripes.select("lang", "words", "prefix", F.inline("cells"))
+    found = cut_lineage(found.select("lang", F.concat_ws(" ", "prefix", "word").alias("phrase"), F.col("n").alias("a"), (F.col("words") + 1).alias("words")))
+    parts = single.select("lang", F.col("word").alias("phrase"), F.col("n").alias("f")).unionByName(found.select("lang", "phrase", F.col("a").alias("f")))
+    best = stripes.groupBy("lang", F.col("prefix").alias("phrase")).agg(F.max("best").alias("right"))
 
     # A phrase inside a longer one of the same count is inside one that is a word longer. On the
     # right that is the largest cell of its stripe, on the left a candidate's last words.
     last = F.expr("substring_index(phrase, ' ', 1 - words)")
     left = found.where(F.col("words") > 2).groupBy("lang", last.alias("phrase")).agg(F.max("a").alias("left"))
-    kept = found.join(parts.select("lang", "phrase", "right"), ["lang", "phrase"], "left").join(left, ["lang", "phrase"], "left")
+    kept = found.join(best, ["lang", "phrase"], "left").join(left, ["lang", "phrase"], "left")
     kept = kept.where(F.coalesce(F.greatest("right", "left"), F.lit(0)) < F.col("a")).select("lang", "phrase", "a", "words")
 
     cuts = kept.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))
