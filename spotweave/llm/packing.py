@@ -30,8 +30,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 LENGTH = 2048
 END_ID = 0
 CELL_ROWS = 8_000
-# Distinct units whose ids a worker keeps; emptied when full.
-MEMO_UNITS = 1_000_000
+# Bytes of units and ids that a worker keeps during a partition; emptied when full.
+MEMO_BYTES = 24 << 20
+ENTRY_BYTES = 200  # of an entry besides its characters and ids
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 
 
@@ -57,6 +58,7 @@ class UnitMemo(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.held = 0
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
         # Ids of the added tokens by their names; at one place the longest name counts.
@@ -75,12 +77,17 @@ class UnitMemo(dict):
 
     def __missing__(self, unit: str) -> bytes:
         ids = self.encode(" " + unit)
-        if len(self) >= MEMO_UNITS:
-            self.clear()
         if len(unit) <= 64:
+            self.held += len(unit) + len(ids) + ENTRY_BYTES
+            if self.held > MEMO_BYTES:
+                self.release()
             self[unit] = ids
         return ids
 
+    def release(self) -> None:
+        self.clear()
+        self.held = 0
+
 
 # The split pattern of the byte-level tokenizer, and white space that the quick
 # split at single spaces does not foresee.
@@ -144,6 +151,8 @@ def tokenize(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
                     out += [(name, i, a, b - a, ids[4 * a : 4 * b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "piece", "start", "length", "ids"])
+        # Workers serve other stages after this one; only the vocabulary stays.
+        memo.release()
 
     return docs.select(F.col(doc_id).cast("bigint"), F.col(text).cast("string")).mapInArrow(run, PIECES)
 

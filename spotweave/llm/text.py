@@ -91,6 +91,16 @@ def hash_words(texts: list[bytes], word: np.ndarray = NOT_SPACE) -> Words:
     return Words(buffer, begin, end, hashes, np.searchsorted(begin, at), at)
 
 
+def take_words(words: Words, at: np.ndarray) -> pa.BinaryArray:
+    """The bytes of the words ``at``."""
+    begin, size = words.begin[at], words.end[at] - words.begin[at]
+    offsets = np.zeros(len(at) + 1, np.int32)
+    np.cumsum(size, out=offsets[1:])
+    place = np.repeat(begin - offsets[:-1], size) + np.arange(offsets[-1])
+    data = np.frombuffer(words.buffer, np.uint8)[place]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
 def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
     """Rabin-Karp hash, modulo 2**64, of every ``width`` consecutive word hashes."""
     n = len(hashes) - width + 1

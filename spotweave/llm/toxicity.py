@@ -28,10 +28,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from spotweave.llm.ngrams import HashArray, count_grams
-from spotweave.llm.text import ALNUM, chunks, free_name, hash_slices, hash_words, mix
+from spotweave.llm.text import ALNUM, chunks, free_name, hash_slices, hash_words, mix, take_words
 from spotweave.session import cut_lineage
 
 SAMPLE_ROWS = 200_000
@@ -44,12 +45,12 @@ THRESHOLD = 0.7
 # Letters a sign can stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "*": "abcdefghijklmnopqrstuvwxyz"}
 SIGNS = "".join(map(re.escape, LEET)) + r"._\-~"
-# A letter or sign run with a sign inside, a letter three times in a row, or single characters
-# with white space between them, up to any closing punctuation.
-DISGUISED = re.compile(
-    rf"(?<![a-z])[a-z{SIGNS}]*(?:[a-z][{SIGNS}]+[a-z]|[@$!1350*4][a-z]|[a-z][0134579@$]|([a-z])\1\1)[a-z{SIGNS}]*"
-    rf"|(?<![^\W_])[a-z{SIGNS}](?:\s+[a-z{SIGNS}]){{2,}}(?=(?:[^\w\s]|_)*(?:\s|\Z))"
-)
+# A run of letters and signs is disguised if there is a sign inside, a sign before a letter, a letter
+# before a digit, or a letter three times in a row.
+RUN = re.compile(rf"[a-z{SIGNS}]++")
+TRIGGER = re.compile(rf"[a-z][{SIGNS}]++[a-z]|[@$!1350*4][a-z]|[a-z][0134579@$]|([a-z])\1\1")
+# Single characters with white space between them, up to any closing punctuation.
+SPACED = re.compile(rf"(?<![^\W_])[a-z{SIGNS}](?:\s+[a-z{SIGNS}]){{2,}}(?=(?:[^\w\s]|_)*(?:\s|\Z))")
 EDGES = "!|+(*._-~"
 # Known words, their longest length, and the share of words that are not known.
 LEXICON = 100_000
@@ -159,6 +160,22 @@ def _spelling(word: str, log: list) -> float:
     return out
 
 
+def disguised(text: str) -> Iterator[str]:
+    """Disguised runs of a lower-case text, and single characters with white space between them. Every
+    run is read a bounded number of times, however long it is."""
+    done = 0
+    for run in RUN.finditer(text):
+        low, high = run.span()
+        if low < done:  # inside the spaced characters before it
+            continue
+        if TRIGGER.search(text, low, high):
+            yield run.group()
+        # Only a run's last character can have white space behind it.
+        elif found := SPACED.match(text, high - 1):
+            done = found.end()
+            yield found.group()
+
+
 class Restorer:
     """Restored words of a text; decodings are remembered up to a bound."""
 
@@ -169,8 +186,7 @@ class Restorer:
 
     def words(self, text: str) -> list[str]:
         out = []
-        for found in DISGUISED.finditer(text):
-            token = found.group()
+        for token in disguised(text):
             if len(single := token.split()) > 1:
                 chars = "".join(single).rstrip(EDGES).lstrip(EDGES[1:])
                 out += self.spaced(chars) if len(chars) <= 256 else decode_spaced(chars, self.model)
@@ -205,12 +221,13 @@ def _word_counts(rows: DataFrame) -> DataFrame:
     """``(word, n)`` of the words of a-z up to ``LONGEST`` letters over all texts, lower-cased."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in chunks(batches, "text", 8 << 20, lower=True):
+        for _, texts in chunks(batches, "text", lower=True):
             words = hash_words(texts, ALNUM)
             _, first, n = np.unique(words.hashes, return_index=True, return_counts=True)
-            own = [words.buffer[a:b] for a, b in zip(words.begin[first].tolist(), words.end[first].tolist())]
-            keep = [i for i, w in enumerate(own) if len(w) <= LONGEST and w.isalpha()]  # of bytes: ASCII only
-            yield pa.RecordBatch.from_arrays([pa.array([own[i].decode() for i in keep], pa.string()), pa.array(n[keep].astype(np.int64) if keep else [], pa.int64())], names=["word", "n"])
+            short = words.end[first] - words.begin[first] <= LONGEST
+            own = take_words(words, first[short])
+            keep = pc.match_substring_regex(own, "^[a-z]+$")
+            yield pa.RecordBatch.from_arrays([own.filter(keep).cast(pa.string()), pa.array(n[short].astype(np.int64)).filter(keep)], names=["word", "n"])
 
     return cut_lineage(rows.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
 
@@ -253,7 +270,7 @@ def _feature_counts(rows: DataFrame, restorer) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Restorer(restorer.value)
-        for _, texts in chunks(batches, "text", 8 << 20, lower=True):
+        for _, texts in chunks(batches, "text", lower=True):
             found, n = np.unique(_present(texts, own)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["feature", "n"])
 
