@@ -229,6 +229,80 @@ def feature_sums(rows: DataFrame, kernel: Kernel) -> DataFrame:
     return _named(rows.mapInArrow(run, FEATURE_SUMS), kernel)
 
 
+def with_votes(rows: DataFrame, mapping: DataFrame) -> DataFrame:
+    """``spot_rows`` with their ``votes`` of ``mapping(k, obs_id, state, p)``, as many as a spot has
+    states of any K."""
+    votes = mapping.where(F.col("p") != 0).groupBy("obs_id").agg(F.collect_list(F.struct("k", "state", "p")).alias("votes"))
+    return rows.join(votes, "obs_id", "left")
+
+
+def vote_matrices(block: Block, kernel: Kernel) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(k, spots that vote, spots x states)`` of a block that has votes."""
+    lists = block.part.column("votes")
+    row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+    flat = pc.list_flatten(lists)
+    if not len(flat):
+        return
+    k, state, p = (flat.field(name).to_numpy(zero_copy_only=False) for name in ("k", "state", "p"))
+    order = np.argsort(k, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(k[order])) + 1):
+        cut = int(k[own[0]])
+        if cut in kernel.columns:
+            votes = np.zeros((len(lists), len(kernel.columns[cut])))
+            np.add.at(votes, (row[own], state[own]), p[own])
+            yield cut, np.unique(row[own]), votes
+
+
+def mapped_spots(rows: DataFrame, kernel: Kernel) -> DataFrame:
+    """``(k, obs_id, num, lnum, nn, ln, pp, lpp)`` of rows ``with_votes``: products of the spot with its
+    prediction, and both squared norms; raw and log-normalised."""
+    sent = rows.sparkSession.sparkContext.broadcast(kernel)
+    kind = rows.schema["obs_id"].dataType.simpleString()
+    names = ["k", "obs_id", "num", "lnum", "nn", "ln", "pp", "lpp"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel = sent.value
+        grams = [(s.T @ s) for s in (kernel.raw, kernel.log)]
+        for block in blocks(batches, kernel):
+            ids = block.part.column("obs_id")
+            for k, there, votes in vote_matrices(block, kernel):
+                at = kernel.columns[k]
+                spread = votes[there] * kernel.weight[at] @ kernel.member[:, at].T  # weights of the clusters
+                num, lnum = ((votes[there] * d[there][:, at]).sum(1) for d in (block.dot, block.ldot))
+                pp, lpp = ((spread @ g * spread).sum(1) for g in grams)
+                values = (num, lnum, block.nn[there], block.ln[there], pp, lpp)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(there), k, np.int32)), ids.take(pa.array(there)), *(pa.array(v) for v in values)], names=names)
+
+    return rows.mapInArrow(run, f"k int, obs_id {kind}, num double, lnum double, nn double, ln double, pp double, lpp double")
+
+
+def mapped_features(rows: DataFrame, kernel: Kernel) -> DataFrame:
+    """``(k, draw, feature, num, lnum, pp, lpp)`` of rows ``with_votes``: the same, added up over spots
+    per feature; ``draw`` is 0."""
+    sent = rows.sparkSession.sparkContext.broadcast(kernel)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel = sent.value
+        # Two numbers per state and feature, and per pair of states of a K.
+        sums: dict[int, list[np.ndarray]] = {}
+        for block in blocks(batches, kernel):
+            for k, _, votes in vote_matrices(block, kernel):
+                own = sums.setdefault(k, [0.0, 0.0, 0.0])
+                for i, part in enumerate((votes.T @ block.x, votes.T @ block.lx, votes.T @ votes)):
+                    own[i] = own[i] + part
+        out = FeatureSums(kernel)
+        for k, columns in kernel.columns.items():
+            if k not in sums:  # a K without any vote still has its features
+                out.total[k, 0] = np.zeros((4, len(kernel.features)))
+                continue
+            x, lx, pairs = sums[k]
+            m, ml = (profile[columns] for profile in (out.m, out.ml))
+            out.total[k, 0] = np.stack([(x * m).sum(0), (lx * ml).sum(0), (pairs @ m * m).sum(0), (pairs @ ml * ml).sum(0)])
+        yield from out.batches()
+
+    return _named(rows.mapInArrow(run, FEATURE_SUMS), kernel)
+
+
 def cosine(dot: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Plain cosine from sums; 0 when a norm is 0, clipped to [-1, 1]."""
     den = np.sqrt(left) * np.sqrt(right)

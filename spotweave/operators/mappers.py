@@ -5,11 +5,13 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spotweave.operators import knn, nearest, quality, tree, wann
+from spotweave.functions.indexing import ordered_index
+from spotweave.operators import allcuts, knn, nearest, quality, tree, wann
 from spotweave.operators.reindex import reindex_fill
 from spotweave.session import broadcast_if_small, cut_lineage
 
@@ -37,6 +39,17 @@ class PairContext:
     def __post_init__(self) -> None:
         self._scores: DataFrame | None = None
 
+    @cached_property
+    def kernel(self) -> allcuts.Kernel | None:
+        """All states of all cuts for one pass over the spots, if a task can hold them."""
+        return allcuts.build_kernel(self.sums, self.shared, self.labels, self.sizes)
+
+    @cached_property
+    def spot_rows(self) -> DataFrame:
+        """A row per spot with its number and its cells, written: mapper, cosines and null read it."""
+        index = ordered_index(self.st_obs.select("obs_id"), ["obs_id"])
+        return cut_lineage(allcuts.spot_rows(self.st, index, "i"))
+
     def scores(self) -> DataFrame:
         """Products of every spot with every state profile of every cut."""
         if self._scores is None:
@@ -73,7 +86,12 @@ class NearestCentroid(Mapper):
     name = "nearest_centroid"
 
     def map(self) -> tuple[DataFrame, DataFrame | None]:
-        best = nearest.nearest_assignment(self.pair.scores())
+        pair = self.pair
+        if pair.kernel is not None:
+            # Written once: the mapping and the confidence are two readings of it.
+            best = cut_lineage(allcuts.assign(pair.spot_rows, pair.kernel))
+        else:
+            best = nearest.nearest_assignment(pair.scores())
         return nearest.one_hot(best), best.select("k", "obs_id", "confidence")
 
 

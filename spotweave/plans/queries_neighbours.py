@@ -555,15 +555,23 @@ def _soft_sql(axis: str) -> str:
 @query("cossim_soft_per_spot", with_ctes(_soft_sql("obs_id"), "soft_cells"))
 def cossim_soft_per_spot(spark: SparkSession, sf: str) -> DataFrame:
     p = TablePair(spark, sf)
-    out = reconstruct.soft_spot_cosines(p.scores(p.rule_labels), supplier_vote(p), p.profiles(p.rule_cut))
+    if p.rule_kernel is not None:
+        rows = allcuts.with_votes(p.spot_rows, supplier_vote(p))
+        out = reconstruct.mapped_spot_cosines(allcuts.mapped_spots(rows, p.rule_kernel), "soft")
+    else:
+        out = reconstruct.soft_spot_cosines(p.scores(p.rule_labels), supplier_vote(p), p.profiles(p.rule_cut))
     return out.select("combo", "k", "obs_id", r6("value").alias("value"))
 
 
 @query("cossim_soft_per_gene", with_ctes(_soft_sql("feature"), "soft_cells"))
 def cossim_soft_per_gene(spark: SparkSession, sf: str) -> DataFrame:
     p = TablePair(spark, sf)
-    vote = supplier_vote(p).persist()  # read by the sums and by the pairs of votes
-    out = reconstruct.feature_cosines(p.st_shared, vote, p.profiles(p.rule_cut), p.shared, "soft")
+    if p.rule_kernel is not None:
+        rows = allcuts.with_votes(p.spot_rows, supplier_vote(p))
+        out = reconstruct.summed_cosines(allcuts.mapped_features(rows, p.rule_kernel), p.st_shared, "soft")
+    else:
+        vote = cut_lineage(supplier_vote(p))  # read by the sums and by the pairs of votes
+        out = reconstruct.feature_cosines(p.st_shared, vote, p.profiles(p.rule_cut), p.shared, "soft")
     return out.select("combo", "k", "feature", r6("value").alias("value"))
 
 

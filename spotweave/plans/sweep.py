@@ -13,8 +13,9 @@ from dataclasses import asdict, dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spotweave.functions.indexing import dense_index
+from spotweave.functions.indexing import ordered_index
 from spotweave.operators import (
+    allcuts,
     clusters,
     coherence,
     features,
@@ -29,6 +30,7 @@ from spotweave.operators import (
     spatial,
     tree,
 )
+from spotweave.session import cut_lineage
 from spotweave.sources import files, readers, writers
 
 logger = logging.getLogger(__name__)
@@ -118,23 +120,34 @@ def analyse(run: str, pair: mappers.PairContext, scaffold: dict[str, DataFrame],
     writers.write_by_k(tests, run, "coherence")
     writers.write_by_k(coherence.coherence_summary(tests), run, "coherence_summary")
 
-    profiles = clusters.state_profiles(pair.sums, sizes, cut).persist()
-    scores = pair.scores()
     one_hot = nearest.one_hot(hard)
-    spot = reconstruct.soft_spot_cosines(scores, mapping, profiles).unionByName(
-        reconstruct.hard_spot_cosines(scores.join(hard, ["k", "obs_id", "state"]))
-    )
-    gene = reconstruct.feature_cosines(pair.st, mapping, profiles, pair.shared, "soft").unionByName(
-        reconstruct.feature_cosines(pair.st, one_hot, profiles, pair.shared, "hard")
-    )
+    if pair.kernel is not None:
+        voted = {kind: allcuts.with_votes(pair.spot_rows, m) for kind, m in (("soft", mapping), ("hard", one_hot))}
+        spots = [reconstruct.mapped_spot_cosines(allcuts.mapped_spots(rows, pair.kernel), kind) for kind, rows in voted.items()]
+        genes = [reconstruct.summed_cosines(allcuts.mapped_features(rows, pair.kernel), pair.st, kind).drop("draw") for kind, rows in voted.items()]
+    else:
+        profiles = clusters.state_profiles(pair.sums, sizes, cut).persist()
+        scores = pair.scores()
+        spots = [
+            reconstruct.soft_spot_cosines(scores, mapping, profiles),
+            reconstruct.hard_spot_cosines(scores.join(hard, ["k", "obs_id", "state"])),
+        ]
+        genes = [
+            reconstruct.feature_cosines(pair.st, m, profiles, pair.shared, kind)
+            for kind, m in (("soft", mapping), ("hard", one_hot))
+        ]
+    spot, gene = spots[0].unionByName(spots[1]), genes[0].unionByName(genes[1])
     writers.write_by_k(spot, run, "cossim_spot")
     writers.write_by_k(gene, run, "cossim_gene")
     spot = spark.read.parquet(f"{run}/cossim_spot").where(in_run)
     gene = spark.read.parquet(f"{run}/cossim_gene").where(in_run)
-    index = dense_index(pair.st_obs.select("obs_id"), "obs_id")
-    null_spot, null_gene = spatial.shuffled_reconstruction(
-        pair.st, scores, profiles, spatial.label_counts(hard), index
-    )
+    counts = spatial.label_counts(hard)
+    if pair.kernel is not None:
+        null_spot, sums = allcuts.shuffled(pair.spot_rows, pair.kernel, counts, reconstruct.DRAWS)
+        null_gene = reconstruct.summed_cosines(sums, pair.st, "hard").where(F.col("combo") == "hard-raw")
+    else:
+        index = ordered_index(pair.st_obs.select("obs_id"), ["obs_id"])
+        null_spot, null_gene = spatial.shuffled_reconstruction(pair.st, scores, profiles, counts, index)
     nulls = reconstruct.null_medians(null_spot, null_gene).withColumn("combo", F.lit("hard-raw"))
     summary = reconstruct.cosine_medians(spot, gene, ["combo", "k"]).join(nulls, ["combo", "k"], "left")
     writers.write_by_k(summary, run, "cossim_summary")
@@ -222,8 +235,14 @@ def run_pair(spark: SparkSession, sc_path: str, st_path: str, out: str, config:
     scaffold = writers.read_scaffold(spark, out, key)
     if scaffold is None:
         logger.info("building the reference scaffold")
-        writers.write_scaffold(spark, out, build_scaffold(sc_counts, sc_obs, shared, config), key)
-        scaffold = writers.read_scaffold(spark, out, key)
+        built = build_scaffold(sc_counts, sc_obs, shared, config)
+        try:
+            writers.write_scaffold(spark, out, built, key)
+            scaffold = writers.read_scaffold(spark, out, key)
+        except Exception:  # the cache only saves time for the next run
+            logger.warning("the scaffold could not be cached under %s", out, exc_info=True)
+        if scaffold is None:
+            scaffold = {name: cut_lineage(part) for name, part in built.items()}
 
     start = scaffold["start"]
     sizes = _size_vector(start)
@@ -231,7 +250,7 @@ def run_pair(spark: SparkSession, sc_path: str, st_path: str, out: str, config:
     writers.write_start_clustering(start, n, run)
     sums = scaffold["sums"]
     centroids = clusters.cluster_centroids(sums, clusters.cluster_sizes(start), shared)
-    merges = tree.link(tree.profile_distances(centroids, n), config.linkage_method)
+    merges = tree.link_table(tree.distance_pairs(centroids, n), n, config.linkage_method)
     ks = tree.k_range(n, config.k_min, config.k_max, config.k_step)
     labels = tree.cuts(merges, ks, n)
     writers.write_by_k(tree.cut_frame(spark, labels), run, "cut")

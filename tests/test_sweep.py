@@ -74,6 +74,35 @@ def test_external_aligner_and_cached_scaffold(spark, root):
     assert {r["state"] for r in spark.read.parquet(f"{run}/assignment").where("k = 2").collect()} == {1}
 
 
+@pytest.mark.parametrize(("mapping", "linkage"), [("nearest_centroid", "ward"), ("wann", "average")])
+def test_sweep_from_communities(spark, root, mapping, linkage):
+    """The default mode: start clusters come from the graph, not from a label."""
+    out = f"{root}/communities"
+    config = sweep.SweepConfig(mapping=mapping, linkage_method=linkage)
+    scored = sweep.run_pair(spark, f"{root}/scRNA/cust", f"{root}/ST/supp", out, config).collect()
+    run = f"{out}/{mapping}"
+    start = spark.read.parquet(f"{run}/start_clustering")
+    n = start.select("c").distinct().count()
+    assert [r["k"] for r in scored] == list(range(1, n + 1))
+    cut = spark.read.parquet(f"{run}/cut")
+    assert all(r["n"] == r["k"] for r in cut.groupBy("k").agg(F.count_distinct("state").alias("n")).collect())
+    sums = spark.read.parquet(f"{run}/mapping").groupBy("k", "obs_id").agg(F.sum("p").alias("s"))
+    assert sums.where("abs(s - 1) > 1e-9").count() == 0
+    spots = spark.read.parquet(f"{run}/cossim_spot")
+    assert spots.where("value < -1 OR value > 1").count() == 0 and spots.select("combo").distinct().count() == 4
+    assert all(r["n_states"] <= r["k"] for r in spark.read.parquet(f"{run}/topology").collect())
+
+
+def test_a_failed_cache_write_does_not_end_the_sweep(spark, root, monkeypatch):
+    def broken(*args):
+        raise OSError("no space")
+
+    monkeypatch.setattr(writers, "write_scaffold", broken)
+    config = sweep.SweepConfig(start_from_annotation="segment", k_max=2)
+    scored = sweep.run_pair(spark, f"{root}/scRNA/cust", f"{root}/ST/supp", f"{root}/uncached", config).collect()
+    assert [r["k"] for r in scored] == [1, 2]
+
+
 def test_validation_of_a_table_of_pairs(spark, root, capsys):
     code = validation.validate_pairs(spark, f"{root}/pairs.csv")
     text = capsys.readouterr()
