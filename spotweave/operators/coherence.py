@@ -12,6 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from spotweave.operators import tree
+
 NORM_EPS = 1e-12
 Z_EPS = 1e-12
 SHUFFLES = 200
@@ -27,19 +29,14 @@ def centroid_cosines(gram: np.ndarray) -> np.ndarray:
     return gram / norm[:, None] / norm[None, :]
 
 
-def pairwise_cosines(centroids: DataFrame, value: str = "ml", key: str = "c") -> DataFrame:
+def pairwise_cosines(centroids: DataFrame, n_clusters: int, value: str = "ml") -> DataFrame:
     """``(a, b, cos)`` for every pair a < b of cluster profiles (L * (L - 1) / 2 rows)."""
-    v = F.col(value)
-    norms = centroids.groupBy(key).agg((F.sqrt(F.sum(v * v)) + NORM_EPS).alias("n"))
-    unit = centroids.join(norms, key).select(F.col(key).alias("id"), "feature", (v / F.col("n")).alias("u"))
-    left = unit.select(F.col("id").alias("a"), "feature", F.col("u").alias("ua"))
-    right = unit.select(F.col("id").alias("b"), "feature", F.col("u").alias("ub"))
-    return (
-        left.join(right, "feature")
-        .where(F.col("a") < F.col("b"))
-        .groupBy("a", "b")
-        .agg(F.sum(F.col("ua") * F.col("ub")).alias("cos"))
-    )
+
+    def cosine(others: np.ndarray, one: np.ndarray) -> np.ndarray:
+        norm = lambda v: np.sqrt((v * v).sum(-1)) + NORM_EPS
+        return others @ one / norm(others) / norm(one)
+
+    return tree.block_pairs(centroids.select("c", "feature", F.col(value).alias("v")), n_clusters, cosine, "cos")
 
 
 def pair_statistics(pairs: DataFrame, cut: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -103,12 +100,12 @@ def merge_coherence(
                     continue
                 found = _pairs(cos, target)
                 rng = np.random.default_rng(seed + int(state))
-                null = np.array(
-                    [
-                        _pairs(cos, rng.choice(others, size=len(target), replace=len(target) > len(others))).mean()
-                        for _ in range(n_perm)
-                    ]
-                )
+                size = len(target)
+                drawn = np.zeros((n_perm, len(cos)))  # how often each draw holds each cluster
+                for own in drawn:
+                    np.add.at(own, rng.choice(others, size=size, replace=size > len(others)), 1.0)
+                # All ordered pairs of a draw less those of a member with itself, all draws at once.
+                null = ((drawn @ cos * drawn).sum(1) - drawn @ cos.diagonal()) / (size * (size - 1))
                 out.append(
                     {
                         **row,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from spotweave.functions.indexing import ordered_index
+from spotweave.functions.indexing import exact_median, ordered_index
 from spotweave.functions.scalars import equal_width_bin, natural_key
 from spotweave.operators.knn import knn_join
 
@@ -141,19 +141,22 @@ def gaussian_noise(
     if alpha == 0:
         return counts.select("obs_id", "feature", "x")
     n_cells = obs.count() * features.count()
-    moments = counts.agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q")).first()
-    mean = (moments["s"] or 0.0) / n_cells
-    sigma = max(0.0, (moments["q"] or 0.0) / n_cells - mean * mean) ** 0.5
+    x = F.col("x").cast("double")
+    own = counts.agg(F.count(x).alias("n"), F.avg(x).alias("m"), F.var_pop(x).alias("v")).first()
+    mean = (own["m"] or 0.0) * own["n"] / max(1, n_cells)
+    # Squares around the mean of all cells: those of the cells there are, and of the zeros.
+    squares = own["n"] * ((own["v"] or 0.0) + ((own["m"] or 0.0) - mean) ** 2) + (n_cells - own["n"]) * mean**2
+    sigma = (squares / max(1, n_cells)) ** 0.5
     # Every cell gets noise, so the result is dense: each row lists all features.
     names = features.agg(F.array_sort(F.collect_set("feature"))).scalar()
     dense = obs.select("obs_id", F.explode(names).alias("feature")).join(counts, ["obs_id", "feature"], "left")
-    scale = float(1 << 53)
+    # Box-Muller from two hashed uniforms: 13 digits of an MD5 sum each.
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("obs_id").cast("string"), "feature"))
 
-    def uniform(salt: int) -> Column:
-        h = F.xxhash64(F.col("obs_id").cast("string"), "feature", F.lit(seed), F.lit(salt))
-        return (F.shiftrightunsigned(h, 11) + F.lit(1)) / F.lit(scale + 1)
+    def uniform(part: int) -> Column:
+        bits = F.conv(F.substring(digest, 1 + 13 * (part - 1), 13), 16, 10).cast("bigint")
+        return (bits + 1) / F.lit(float((1 << 52) + 1))
 
-    # Box-Muller from two hashed uniforms.
     normal = F.sqrt(-2.0 * F.log(uniform(1))) * F.cos(2.0 * F.lit(3.141592653589793) * uniform(2))
     return dense.select(
         "obs_id",
@@ -162,42 +165,104 @@ def gaussian_noise(
     )
 
 
-def random_subset(df: DataFrame, n: int, key: str = "obs_id", seed: int = 0) -> DataFrame:
-    """n rows at random, the same ones for the same seed."""
-    return df.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key).limit(n)
+BUCKET_DIGITS = 4  # of a digest: 65536 buckets a round
+EXACT_ROWS = 10_000  # a last bucket of so many rows is ordered
+
+
+def draw(key: str | Column, seed: int) -> Column:
+    """A random place in 0..1 of a key, as the digits of an MD5 sum."""
+    key = F.col(key) if isinstance(key, str) else key
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
 
 
-def feature_dispersion(counts: DataFrame, n_obs: DataFrame, value: str = "lx") -> DataFrame:
-    """``(feature, mean, variance, dispersion)`` over all rows, zeros included."""
+def random_subset(df: DataFrame, n: int, key: str = "obs_id", seed: int = 0) -> DataFrame:
+    """The n rows of the smallest draws, ties by key: the same ones for the same seed.
+
+    The n-th smallest draw is found from counts per leading digits, so that rows are only filtered
+    and no more than ``EXACT_ROWS`` are ever ordered. Rows without a key are not drawn.
+    """
+    rows = df.where(F.col(key).isNotNull()).withColumn("_draw", draw(key, seed))
+    known, left = "", n
+    while True:
+        inside = rows.where(F.col("_draw").startswith(known)) if known else rows
+        digits = len(known) + BUCKET_DIGITS
+        # At most 65536 counts.
+        buckets = inside.groupBy(F.substring("_draw", 1, digits).alias("b")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("b")
+        before = buckets["n"].cumsum()
+        if not len(buckets) or before.iloc[-1] <= left:
+            return rows.drop("_draw")  # no more rows than asked for
+        at = int((before >= left).to_numpy().argmax())
+        left -= int(before.iloc[at] - buckets["n"].iloc[at])
+        known = buckets["b"].iloc[at]
+        if buckets["n"].iloc[at] <= EXACT_ROWS or digits >= 32:
+            break
+    below = rows.where(F.substring("_draw", 1, digits) < known)
+    last = rows.where(F.col("_draw").startswith(known)).orderBy("_draw", key).limit(left)
+    return below.unionByName(last).drop("_draw")
+
+
+def small_pair(
+    sc: DataFrame, st: DataFrame, sc_obs: DataFrame, st_obs: DataFrame, n_cells: int, n_features: int, n_spots: int, n_spot_features: int, n_shared: int, seed: int = 0
+) -> tuple[DataFrame, DataFrame]:
+    """Counts of a smaller pair: the first ``n_shared`` shared features by name and the first of each
+    side's own ones up to its number (the shared ones alone where a side has fewer own ones than
+    ``n_shared``), and random rows that have a count in a shared feature (the reference rows: in a kept one)."""
+    names = lambda counts: counts.select("feature").distinct()
+    a, b = names(sc), names(st)
+    # Names of features, a row each.
+    first = lambda frame, n: frame.orderBy("feature").limit(max(0, n))
+    shared = a.join(b, "feature", "left_semi")
+    kept = first(shared, n_shared)
+    own = b.join(a, "feature", "left_anti")
+    keep_a = kept.unionByName(first(a.join(b, "feature", "left_anti"), n_features - n_shared))
+    enough = own.limit(n_shared).count() >= n_shared
+    keep_b = kept.unionByName(first(own, n_spot_features - n_shared)) if enough else first(shared, n_spot_features)
+    cells = random_subset(rows_with_counts(sc_obs.select("obs_id"), sc, kept), n_cells, seed=seed)
+    spots = random_subset(rows_with_counts(st_obs.select("obs_id"), st, shared), n_spots, seed=seed)
+
+    def cut(counts: DataFrame, rows: DataFrame, features: DataFrame) -> DataFrame:
+        return counts.join(rows, "obs_id", "left_semi").join(F.broadcast(features), "feature", "left_semi")
+
+    return cut(sc, cells, keep_a), cut(st, spots, keep_b)
+
+
+def median_scaled(counts: DataFrame) -> DataFrame:
+    """``(obs_id, feature, y)``: rows scaled to the median total of the rows that have counts."""
+    totals = counts.groupBy("obs_id").agg(F.sum("x").cast("double").alias("t")).where(F.col("t") > 0)
+    # One group; a literal key would be optimised into a join of all rows with all.
+    target = exact_median(totals.withColumn("_all", F.isnan("t")), ["_all"], "t").select("median").scalar()
+    return counts.join(totals, "obs_id").select("obs_id", "feature", (F.col("x") / F.col("t") * target).alias("y"))
+
+
+def feature_dispersion(counts: DataFrame, n_obs: DataFrame) -> DataFrame:
+    """``(feature, mean, dispersion)`` over all ``n_obs`` rows, zeros included: log1p of the mean and
+    log of variance / mean of the counts scaled to the median total. The dispersion of a
+    feature without variance is NULL."""
     n = n_obs.scalar()
-    v = F.col(value)
-    sums = counts.groupBy("feature").agg(F.sum(v).alias("s"), F.sum(v * v).alias("q")).withColumn("n", n)
-    mean = F.col("s") / F.col("n")
-    variance = F.greatest((F.col("q") - F.col("s") * mean) / (F.col("n") - 1), F.lit(0.0))
-    return sums.select("feature", mean.alias("mean"), variance.alias("variance")).withColumn(
-        "dispersion", F.try_divide("variance", F.when(F.col("mean") > 0, F.col("mean")))
-    )
+    own = median_scaled(counts).groupBy("feature").agg(F.count("y").alias("c"), F.avg("y").alias("m"), F.var_pop("y").alias("v"))
+    own = own.withColumn("mean", F.col("m") * F.col("c") / n)
+    squares = F.col("c") * (F.col("v") + (F.col("m") - F.col("mean")) * (F.col("m") - F.col("mean"))) + (n - F.col("c")) * F.col("mean") * F.col("mean")
+    ratio = squares / (n - 1) / F.when(F.col("mean") == 0, F.lit(1e-12)).otherwise(F.col("mean"))
+    return own.select("feature", F.log1p("mean").alias("mean"), F.log(F.when(ratio > 0, ratio)).alias("dispersion"))
 
 
 def top_variable_features(stats: DataFrame, n: int, bins: int = 20, keep: DataFrame | None = None) -> DataFrame:
-    """The n features of the largest dispersion, scaled within bins of the mean.
+    """``(feature, score)``: the n features of the largest dispersion, standardised within ``bins``
+    equal bins of the mean (open below, closed above). A feature alone in its bin scores 1. Features
+    that tie with the n-th are kept; one without a score counts as 0.
 
     ``keep`` lists features that stay whatever their rank. The windows run over the
     features, one row each.
     """
     lo, hi = stats.agg(F.min("mean")).scalar(), stats.agg(F.max("mean")).scalar()
-    binned = stats.withColumn("bin", equal_width_bin("mean", lo, hi, bins))
-    per = binned.groupBy("bin").agg(
-        F.avg("dispersion").alias("_m"), F.stddev_samp("dispersion").alias("_s"), F.count("dispersion").alias("_c")
-    )
-    scaled = binned.join(per, "bin").withColumn(
-        "score",
-        # A feature alone in its bin scores 1, as the usual rule has it.
-        F.when(F.col("_c") < 2, F.lit(1.0)).otherwise(
-            F.coalesce(F.try_divide(F.col("dispersion") - F.col("_m"), F.col("_s")), F.lit(0.0))
-        ),
-    )
-    top = scaled.orderBy(F.round("score", 9).desc(), "feature").limit(n).select("feature", "score")
+    place = F.ceil(F.try_divide(F.col("mean") - lo, (hi - lo) / bins)) - 1
+    binned = stats.withColumn("bin", F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.coalesce(place, F.lit(0)))))
+    per = binned.groupBy("bin").agg(F.avg("dispersion").alias("_m"), F.stddev_samp("dispersion").alias("_s"), F.count("dispersion").alias("_c"))
+    score = F.when(F.col("_c") == 1, F.when(F.col("dispersion").isNotNull(), F.lit(1.0))).otherwise(F.try_divide(F.col("dispersion") - F.col("_m"), F.col("_s")))
+    scaled = binned.join(per, "bin").withColumn("score", score)
+    # The n-th largest score, a number; features are few.
+    last = scaled.where(F.col("score").isNotNull()).orderBy(F.round("score", 9).desc()).limit(n).agg(F.min(F.round("score", 9))).scalar()
+    top = scaled.where(F.round(F.coalesce("score", F.lit(0.0)), 9) >= last).select("feature", "score")
     if keep is None:
         return top
     extra = keep.select("feature").join(top, "feature", "left_anti").select(

@@ -101,6 +101,22 @@ def unit_histogram(rows: DataFrame, keys: list[str], value: str, bins: int = 40)
     return rows.groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def auto_histogram(rows: DataFrame, keys: list[str], value: str, most: int = 40) -> DataFrame:
+    """``(keys, low, width, n)``: counts in bins of the least width of 1, 2 or 5 times a power of ten
+    that takes at most ``most`` bins over the group's range. A group of one value has bins of 0.01.
+    NULLs are left out."""
+    known = rows.where(F.col(value).isNotNull())
+    ends = known.groupBy(*keys).agg((F.max(value) - F.min(value)).alias("_r"))
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(F.col("_r") / most)))
+    step = F.round(F.col("_r") / most / unit, 9)
+    wide = F.when(step <= 1, 1.0).when(step <= 2, 2.0).when(step <= 5, 5.0).otherwise(10.0) * unit
+    width = F.when(F.col("_r") < 1e-9, F.lit(0.01)).otherwise(wide)
+    # One row per group.
+    sized = known.join(F.broadcast(ends.select(*keys, F.round(width, 12).alias("width"))), keys)
+    at = F.floor(F.round(F.col(value) / F.col("width"), 9))
+    return sized.groupBy(*keys, "width", at.alias("_at")).agg(F.count(F.lit(1)).alias("n")).select(*keys, (F.col("_at") * F.col("width")).alias("low"), "width", "n")
+
+
 def box_statistics(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``(keys, n, q1, median, q3, low, high)`` for a box plot."""
     spread = rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(

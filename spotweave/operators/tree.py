@@ -7,7 +7,7 @@ sequential by nature and tiny next to the matrix.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -80,35 +80,38 @@ def profile_distances(centroids: DataFrame, n_clusters: int, value: str = "m") -
     return np.sqrt(_pair_sums(freq, ["f"], n_clusters, "difference")[0])
 
 
-def distance_pairs(centroids: DataFrame, n_clusters: int, value: str = "m", block: int = PAIR_BLOCK) -> DataFrame:
-    """``(a, b, d)``, a < b: Euclidean distances between relative-frequency profiles, in Spark.
+def block_pairs(rows: DataFrame, n_clusters: int, measure: Callable[[np.ndarray, np.ndarray], np.ndarray], out: str, block: int = PAIR_BLOCK) -> DataFrame:
+    """``(a, b, out)``, a < b: ``measure(profiles, profile)`` of the ``rows(c, feature, v)`` of every two clusters.
 
     Clusters are dealt into blocks; a task meets two blocks and holds nothing else. A block is copied
-    once per other block, what all pairs need; no pair is a row before its distance is known.
+    once per other block, what all pairs need; no pair is a row before it is measured.
     """
-    freq = relative_frequency(centroids, "c", value)
     count = -(-n_clusters // block)
     own = F.floor(F.col("c") / block).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda o: F.struct(F.least(own, o).alias("p"), F.greatest(own, o).alias("q")))
-    rows = freq.select("c", "feature", F.col("f").cast("double").alias("f"), F.inline(others))
+    dealt = rows.select("c", "feature", F.col("v").cast("double").alias("v"), F.inline(others))
 
     def meet(key: tuple, part: pa.Table) -> pa.Table:
-        c = part.column("c").to_numpy()
         names = part.column("feature").combine_chunks().dictionary_encode()
-        there, row = np.unique(c, return_inverse=True)
+        there, row = np.unique(part.column("c").to_numpy(), return_inverse=True)
         dense = np.zeros((len(there), len(names.dictionary)))
-        dense[row, names.indices.to_numpy()] = part.column("f").to_numpy()
+        dense[row, names.indices.to_numpy()] = part.column("v").to_numpy()
         p, q = (v.as_py() for v in key)
-        out = []
+        found = [(np.empty(0), np.empty(0), np.empty(0))]
         for i, a in enumerate(there.tolist()):
-            far = (there > a) & ((there // block == q) if a // block == p else False)
-            if far.any():
-                d = np.sqrt(((dense[far] - dense[i]) ** 2).sum(1))
-                out.append((np.full(len(d), a), there[far], d))
-        a, b, d = (np.concatenate(x) for x in zip(*out)) if out else (np.empty(0), np.empty(0), np.empty(0))
-        return pa.table({"a": pa.array(a.astype(np.int32)), "b": pa.array(b.astype(np.int32)), "d": pa.array(d)})
-
-    return rows.groupBy("p", "q").applyInArrow(meet, "a int, b int, d double")
+            far = (there > a) & (there // block == q)
+            if a // block == p and far.any():
+                found.append((np.full(far.sum(), a), there[far], measure(dense[far], dense[i])))
+        a, b, v = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"a": pa.array(a.astype(np.int32)), "b": pa.array(b.astype(np.int32)), out: pa.array(v)})
+
+    return dealt.groupBy("p", "q").applyInArrow(meet, f"a int, b int, {out} double")
+
+
+def distance_pairs(centroids: DataFrame, n_clusters: int, value: str = "m") -> DataFrame:
+    """``(a, b, d)``, a < b: Euclidean distances between relative-frequency profiles, in Spark."""
+    freq = relative_frequency(centroids, "c", value).withColumnRenamed("f", "v")
+    return block_pairs(freq, n_clusters, lambda others, one: np.sqrt(((others - one) ** 2).sum(1)), "d")
 
 
 def link(distances: np.ndarray, method: str = "average") -> np.ndarray:

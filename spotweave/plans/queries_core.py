@@ -367,7 +367,8 @@ def cossim_medians(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def pairwise_cosine(spark: SparkSession, sf: str) -> DataFrame:
-    return coherence.pairwise_cosines(TablePair(spark, sf).centroids).select("a", "b", r6("cos").alias("cos"))
+    p = TablePair(spark, sf)
+    return coherence.pairwise_cosines(p.centroids, p.n_clusters).select("a", "b", r6("cos").alias("cos"))
 
 
 @query(
@@ -391,7 +392,7 @@ def pairwise_cosine(spark: SparkSession, sf: str) -> DataFrame:
 )
 def merged_coherence(spark: SparkSession, sf: str) -> DataFrame:
     p = TablePair(spark, sf)
-    out = coherence.pair_statistics(coherence.pairwise_cosines(p.centroids), p.rule_cut, p.sizes)
+    out = coherence.pair_statistics(coherence.pairwise_cosines(p.centroids, p.n_clusters), p.rule_cut, p.sizes)
     return out.select("k", "state", "n", r6("mean_cos").alias("mean_cos"), r6("median_cos").alias("median_cos"))
 
 
@@ -407,14 +408,18 @@ def coherence_null(spark: SparkSession, sf: str) -> DataFrame:
     "hvg_topn",
     with_ctes(
         f"""SELECT feature, {s6('score')} AS score FROM (
-            SELECT feature, CASE WHEN count(d) OVER (PARTITION BY bin) < 2 THEN 1.0
-                ELSE COALESCE((d - avg(d) OVER (PARTITION BY bin)) / nullif(stddev_samp(d) OVER (PARTITION BY bin), 0), 0) END AS score
-            FROM (SELECT *, least(CAST(floor((mean - min(mean) OVER ()) / nullif(max(mean) OVER () - min(mean) OVER (), 0) * 20) AS INTEGER), 19) AS bin
-                  FROM (SELECT feature, mean, greatest((q - s * mean) / (n - 1), 0) / nullif(mean, 0) AS d
-                        FROM (SELECT feature, SUM(lx) AS s, SUM(lx * lx) AS q, (SELECT count(*) FROM sc_obs) AS n,
-                                SUM(lx) / (SELECT count(*) FROM sc_obs) AS mean
-                              FROM (SELECT feature, {_LOGNORM} AS lx FROM sc) GROUP BY feature)))
-        ) ORDER BY round(score, 9) DESC, feature LIMIT 10""",
+            SELECT feature, CASE WHEN count(d) OVER w = 1 AND d IS NOT NULL THEN 1.0
+                ELSE (d - avg(d) OVER w) / nullif(stddev_samp(d) OVER w, 0) END AS score
+            FROM (SELECT feature, d, greatest(0, CAST(ceil((m - min(m) OVER ()) / ((max(m) OVER () - min(m) OVER ()) / 20)) AS INTEGER) - 1) AS bin
+                  FROM (SELECT f.feature, ln(1 + avg(COALESCE(y, 0))) AS m,
+                            ln(nullif(var_samp(COALESCE(y, 0)) / avg(COALESCE(y, 0)), 0)) AS d
+                        FROM sc_obs o CROSS JOIN (SELECT DISTINCT feature FROM sc) f
+                        LEFT JOIN (SELECT obs_id, feature, x / SUM(x) OVER (PARTITION BY obs_id)
+                                       * (SELECT median(t) FROM (SELECT SUM(x) AS t FROM sc GROUP BY obs_id)) AS y FROM sc) v
+                            ON v.obs_id = o.obs_id AND v.feature = f.feature
+                        GROUP BY f.feature))
+            WINDOW w AS (PARTITION BY bin)
+        ) QUALIFY rank() OVER (ORDER BY round(COALESCE(score, 0), 9) DESC) <= 10""",
         "sc",
         "sc_obs",
     ),
@@ -422,8 +427,7 @@ def coherence_null(spark: SparkSession, sf: str) -> DataFrame:
 def hvg_topn(spark: SparkSession, sf: str) -> DataFrame:
     p = TablePair(spark, sf)
     n = p.sc_obs.agg(F.count(F.lit(1)).alias("n"))
-    stats = prep.feature_dispersion(normalize.lognorm(p.sc), n)
-    return prep.top_variable_features(stats, 10).select("feature", r6("score").alias("score"))
+    return prep.top_variable_features(prep.feature_dispersion(p.sc, n), 10).select("feature", r6("score").alias("score"))
 
 
 @query(

@@ -580,21 +580,69 @@ def safe_scalars(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("noise_statistics")
+_UNIFORM = "(('0x' || substr(md5('42:' || o.obs_id || ':' || f.feature), {at}, 13))::BIGINT + 1) / 4503599627370497.0"
+
+
+@query(
+    "noise_statistics",
+    with_ctes(
+        f"""SELECT feature, count(*) AS n, {s6('avg(x)')} AS mean, {s6('min(x)')} AS low FROM (
+            SELECT f.feature, greatest(0, COALESCE(x, 0) + 0.5 * (SELECT stddev_pop(COALESCE(x, 0)) FROM st_obs CROSS JOIN shared
+                    LEFT JOIN sts USING (obs_id, feature))
+                * sqrt(-2 * ln({_UNIFORM.format(at=1)})) * cos(2 * pi() * {_UNIFORM.format(at=14)})) AS x
+            FROM st_obs o CROSS JOIN shared f LEFT JOIN sts t ON t.obs_id = o.obs_id AND t.feature = f.feature
+        ) GROUP BY feature""",
+        "st_obs",
+        "sts",
+    ),
+)
 def noise_statistics(spark: SparkSession, sf: str) -> DataFrame:
     """Supplier counts with Gaussian noise: rows, mean and smallest value per feature."""
     p = TablePair(spark, sf)
     noisy = prep.gaussian_noise(p.st_shared, p.st_obs, p.shared, 0.5)
-    return noisy.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.min("x").alias("low"))
+    return noisy.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("x")).alias("mean"), r6(F.min("x")).alias("low"))
 
 
-@query("random_subset")
+@query(
+    "random_subset",
+    with_ctes(
+        "SELECT obs_id FROM sc_obs WHERE obs_id IN (SELECT obs_id FROM sc WHERE x <> 0) ORDER BY md5('42:' || obs_id), obs_id LIMIT 15",
+        "sc_obs",
+        "sc",
+    ),
+)
 def random_subset(spark: SparkSession, sf: str) -> DataFrame:
     """A seeded sample of customers that have counts; the limit is the operator."""
     p = TablePair(spark, sf)
     return prep.random_subset(prep.rows_with_counts(p.sc_obs, p.sc), 15, seed=42).select("obs_id")
 
 
+_SMALL = """SELECT '{side}' AS side, obs_id, feature, x FROM {table}
+    WHERE obs_id IN (SELECT obs_id FROM {table}_obs WHERE obs_id IN (SELECT obs_id FROM {table} WHERE x <> 0 AND feature IN ({used}))
+        ORDER BY md5('7:' || obs_id), obs_id LIMIT {rows})
+    AND feature IN (SELECT feature FROM (SELECT feature FROM shared ORDER BY feature LIMIT {n})
+        UNION ALL SELECT feature FROM (SELECT DISTINCT feature FROM {table} WHERE feature NOT IN (SELECT feature FROM shared) ORDER BY feature LIMIT 2))"""
+
+
+@query(
+    "small_pair",
+    with_ctes(
+        _SMALL.format(side="sc", table="sc", used="SELECT feature FROM shared ORDER BY feature LIMIT 3", rows=40, n=3)
+        + " UNION ALL "
+        + _SMALL.format(side="st", table="st", used="SELECT feature FROM shared", rows=12, n=3),
+        "sc_obs",
+        "st_obs",
+        "shared",
+    ),
+)
+def small_pair(spark: SparkSession, sf: str) -> DataFrame:
+    """A smaller pair of matrices: 40 customers, 12 suppliers, 3 shared features and 2 own ones a side."""
+    p = TablePair(spark, sf)
+    a, b = prep.small_pair(p.sc, p.st, p.sc_obs, p.st_obs, 40, 5, 12, 5, 3, seed=7)
+    columns = ("obs_id", "feature", "x")
+    return a.select(F.lit("sc").alias("side"), *columns).unionByName(b.select(F.lit("st").alias("side"), *columns))
+
+
 @query(
     "register_patches",
     with_ctes(

@@ -181,6 +181,24 @@ def onehot_summary(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(*plain, *[r6(c).alias(c) for c in out.columns if c not in plain])
 
 
+@query(
+    "max_prob_histogram",
+    with_ctes(
+        f"""SELECT k, {s6('floor(round(v / width, 9)) * width')} AS low, {s6('width')} AS width, count(*) AS n
+        FROM (SELECT k, round(max_prob, 9) AS v FROM emb_onehot) JOIN (
+            SELECT k, CASE WHEN r < 1e-9 THEN 0.01 ELSE round(power(10.0, floor(log10(r / 40)))
+                * (SELECT min(m) FROM (VALUES (1.0), (2.0), (5.0), (10.0)) t(m) WHERE m >= round(r / 40 / power(10.0, floor(log10(r / 40))), 9)), 12) END AS width
+            FROM (SELECT k, max(round(max_prob, 9)) - min(round(max_prob, 9)) AS r FROM emb_onehot GROUP BY k)) USING (k)
+        GROUP BY ALL""",
+        "emb_onehot",
+    ),
+)
+def max_prob_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    rows = quality.onehot_per_row(Vectors(spark, sf).vote()).withColumn("max_prob", F.round("max_prob", 9))
+    out = quality.auto_histogram(rows, ["k"], "max_prob")
+    return out.select("k", r6("low").alias("low"), r6("width").alias("width"), "n")
+
+
 @query(
     "confidence_summary",
     with_ctes(

@@ -187,3 +187,35 @@ def test_mapper_registry(spark):
         mappers.register_aligner("wann", lambda *a: None)
     mappers.register_aligner("tangram", lambda pair, k, cells: None)
     assert mappers.build_mapper("tangram").name == "tangram"
+
+
+def test_random_subset_takes_the_smallest_draws(spark, monkeypatch):
+    from hashlib import md5
+
+    ids = [i % 97 for i in range(300)] + [None, None]
+    rows = spark.createDataFrame([(i, "x") for i in ids], "obs_id bigint, v string").repartition(3)
+    known = sorted((md5(f"5:{i}".encode()).hexdigest(), i) for i in ids if i is not None)
+    for digits, exact in ((4, 10_000), (1, 2), (1, 40)):
+        monkeypatch.setattr(prep, "BUCKET_DIGITS", digits)
+        monkeypatch.setattr(prep, "EXACT_ROWS", exact)
+        for n in (0, 1, 50, 299, 300, 500):
+            got = sorted(r["obs_id"] for r in prep.random_subset(rows, n, seed=5).collect())
+            assert got == sorted(i for _, i in known[:n])
+    empty = spark.createDataFrame([], "obs_id bigint, v string")
+    assert prep.random_subset(empty, 5).collect() == []
+
+
+def test_automatic_bins(spark):
+    rows = [("a", v / 1000) for v in range(400, 1000)] + [("one", 1.0)] * 4 + [("null", None)]
+    frame = spark.createDataFrame(rows, "key string, v double")
+    got = {(r["key"], round(r["low"], 9)): (round(r["width"], 9), r["n"]) for r in quality.auto_histogram(frame, ["key"], "v").collect()}
+    assert got.pop(("one", 1.0)) == (0.01, 4)
+    assert len(got) == 30 and all(v == (0.02, 20) for v in got.values())
+
+
+def test_features_without_variance_or_alone_in_a_bin(spark):
+    cells = [(i, "flat", 5.0) for i in range(4)] + [(i, "low", 1.0 + i) for i in range(4)] + [(0, "high", 4000.0), (1, "high", 100.0)]
+    counts = spark.createDataFrame(cells, "obs_id bigint, feature string, x double")
+    n = spark.createDataFrame([(5,)], "n bigint")
+    score = {r["feature"]: r["score"] for r in prep.top_variable_features(prep.feature_dispersion(counts, n), 2).collect()}
+    assert score["high"] == 1.0 and len(score) >= 2
