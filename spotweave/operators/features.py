@@ -66,16 +66,18 @@ def align(measured: DataFrame, predicted: DataFrame) -> DataFrame:
 
 
 def best_key_column(keys: DataFrame, lookup: DataFrame, key: str = "key") -> tuple[str, float]:
-    """Lookup column matching the largest share of ``keys`` (first wins on a tie)."""
-    wanted = keys.select(F.col(key).cast("string").alias("_k"))
-    total = wanted.count()
-    best, best_ratio = "", -1.0
-    for column in lookup.columns:
-        have = lookup.select(F.col(column).cast("string").alias("_k")).distinct()
-        ratio = wanted.join(have, "_k", "left_semi").count() / total if total else 0.0
-        if ratio > best_ratio:
-            best, best_ratio = column, ratio
-    return best, best_ratio
+    """Lookup column matching the largest share of ``keys`` (first wins on a tie).
+
+    All columns are stacked and meet the keys in one join; a number per column comes back.
+    """
+    wanted = keys.groupBy(F.col(key).cast("string").alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    total = wanted.agg(F.sum("_n")).first()[0] or 0
+    stacked = F.array(*(F.struct(F.lit(i).alias("at"), F.col(c).cast("string").alias("_k")) for i, c in enumerate(lookup.columns)))
+    have = lookup.select(F.inline(stacked)).distinct()
+    found = {r["at"]: r["n"] for r in have.join(wanted, "_k").groupBy("at").agg(F.sum("_n").alias("n")).collect()}
+    ratios = [found.get(i, 0) / total if total else 0.0 for i in range(len(lookup.columns))]
+    best = max(range(len(ratios)), key=lambda i: (ratios[i], -i))
+    return lookup.columns[best], ratios[best]
 
 
 def translate_keys(

@@ -45,23 +45,29 @@ def assign_boxes(spots: DataFrame, boxes: list[tuple[float, float, float, float]
 
 
 def assign_boxes_table(spots: DataFrame, boxes: DataFrame) -> DataFrame:
-    """As ``assign_boxes`` for boxes in a table ``(box, x0, y0, x1, y1)``.
+    """As ``assign_boxes`` for boxes in a table ``(box, x0, y0, x1, y1)`` of any size; the lowest number
+    wins. Spots have distinct ids; a box with a NULL, infinite or reversed edge holds none.
 
-    The boxes are a handful of drawn regions; they travel as one array, so the spots
-    are neither joined nor shuffled.
+    A box lies in at most four tiles of the grid whose tiles are as wide as its longer side, rounded up
+    to a power of two. Spots meet boxes on the tile, once per width in use.
     """
-    packed = boxes.agg(
-        F.array_sort(F.collect_list(F.struct("box", "x0", "y0", "x1", "y1")))
-    ).scalar()
-    inside = F.filter(
-        "_boxes",
-        lambda b: F.col("px").between(b["x0"], b["x1"]) & F.col("py").between(b["y0"], b["y1"]),
-    )
-    return (
-        spots.withColumn("_boxes", packed)
-        .withColumn("box", F.coalesce(F.get(inside["box"], 0), F.lit(-1)).cast("int"))
-        .drop("_boxes")
-    )
+    edges = [F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")]
+    x0, y0, x1, y1 = edges
+    finite = F.lit(True)
+    for e in edges:
+        finite = finite & e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(1e300))
+    side = F.greatest(x1 - x0, y1 - y0, F.lit(2.0**-30))
+    sized = boxes.where(finite & (x0 <= x1) & (y0 <= y1)).withColumn("_t", F.pow(F.lit(2.0), F.ceil(F.log2(side)).cast("double")))
+    tile = lambda v: F.floor(v / F.col("_t")).cast("bigint")
+    tiles = sized.withColumn("_x", F.explode(F.sequence(tile(x0), tile(x1)))).withColumn("_y", F.explode(F.sequence(tile(y0), tile(y1))))
+    widths = [r["_t"] for r in sized.select("_t").distinct().collect()]  # one per power of two
+    if not widths:
+        return spots.withColumn("box", F.lit(-1))
+    near = spots.select("obs_id", "px", "py", F.explode(F.array(*(F.lit(w) for w in widths))).alias("_t"))
+    near = near.withColumn("_x", tile(F.col("px"))).withColumn("_y", tile(F.col("py")))
+    hits = near.join(tiles, ["_t", "_x", "_y"]).where(F.col("px").between(x0, x1) & F.col("py").between(y0, y1))
+    lowest = hits.groupBy("obs_id").agg(F.min("box").cast("int").alias("box"))
+    return spots.join(lowest, "obs_id", "left").withColumn("box", F.coalesce("box", F.lit(-1)))
 
 
 def fill_from_nearest(assigned: DataFrame) -> DataFrame:

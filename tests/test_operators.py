@@ -219,3 +219,22 @@ def test_features_without_variance_or_alone_in_a_bin(spark):
     n = spark.createDataFrame([(5,)], "n bigint")
     score = {r["feature"]: r["score"] for r in prep.top_variable_features(prep.feature_dispersion(counts, n), 2).collect()}
     assert score["high"] == 1.0 and len(score) >= 2
+
+
+def test_boxes_of_a_table_equal_the_listed_ones(spark):
+    rng = np.random.default_rng(4)
+    spots = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(-20, 20, (300, 2)))] + [(900, None, 1.0)], "obs_id bigint, px double, py double")
+    corners = rng.integers(-20, 18, (40, 2))
+    boxes = [(float(x), float(y), float(x + w), float(y + h)) for (x, y), (w, h) in zip(corners, rng.integers(0, 9, (40, 2)))] + [(-5.0, -19.0, 500.0, 3.0)]
+    table = spark.createDataFrame([(i, *b) for i, b in enumerate(boxes)] + [(-7, 3.0, 3.0, 1.0, 9.0), (-8, None, 0.0, 9.0, 9.0)], "box int, x0 double, y0 double, x1 double, y1 double")
+    want = {r["obs_id"]: r["box"] for r in prep.assign_boxes(spots, boxes).collect()}
+    assert {r["obs_id"]: r["box"] for r in prep.assign_boxes_table(spots, table).collect()} == want
+    assert {r["box"] for r in prep.assign_boxes_table(spots, table.where("box < 0")).collect()} == {-1}
+
+
+def test_best_key_column_counts_every_key(spark):
+    keys = spark.createDataFrame([("a",), ("a",), ("b",), ("z",)], "key string")
+    lookup = spark.createDataFrame([("b", "a", 1), ("b", "q", 2), (None, "b", 3)], "one string, two string, three int")
+    assert features.best_key_column(keys, lookup) == ("two", 0.75)
+    assert features.best_key_column(keys.where("key = 'z'"), lookup) == ("one", 0.0)
+    assert features.best_key_column(keys.limit(0), lookup) == ("one", 0.0)
