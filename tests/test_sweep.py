@@ -74,13 +74,12 @@ def test_external_aligner_and_cached_scaffold(spark, root):
     assert {r["state"] for r in spark.read.parquet(f"{run}/assignment").where("k = 2").collect()} == {1}
 
 
-@pytest.mark.parametrize(("mapping", "linkage"), [("nearest_centroid", "ward"), ("wann", "average")])
-def test_sweep_from_communities(spark, root, mapping, linkage):
+def test_sweep_from_communities(spark, root):
     """The default mode: start clusters come from the graph, not from a label."""
     out = f"{root}/communities"
-    config = sweep.SweepConfig(mapping=mapping, linkage_method=linkage)
+    config = sweep.SweepConfig(mapping="wann", linkage_method="ward")
     scored = sweep.run_pair(spark, f"{root}/scRNA/cust", f"{root}/ST/supp", out, config).collect()
-    run = f"{out}/{mapping}"
+    run = f"{out}/wann"
     start = spark.read.parquet(f"{run}/start_clustering")
     n = start.select("c").distinct().count()
     assert [r["k"] for r in scored] == list(range(1, n + 1))
@@ -94,13 +93,22 @@ def test_sweep_from_communities(spark, root, mapping, linkage):
 
 
 def test_a_failed_cache_write_does_not_end_the_sweep(spark, root, monkeypatch):
+    """The scaffold is that of the first sweep, which is built no second time here."""
+    keys, read = [], writers.read_scaffold
+
+    def remembered(spark, out, key):
+        keys.append(key)
+        return read(spark, out, key)
+
     def broken(*args):
         raise OSError("no space")
 
+    monkeypatch.setattr(writers, "read_scaffold", remembered)
     monkeypatch.setattr(writers, "write_scaffold", broken)
+    monkeypatch.setattr(sweep, "build_scaffold", lambda *args: read(spark, f"{root}/out/000_cust__supp", keys[-1]))
     config = sweep.SweepConfig(start_from_annotation="segment", k_max=2)
     scored = sweep.run_pair(spark, f"{root}/scRNA/cust", f"{root}/ST/supp", f"{root}/uncached", config).collect()
-    assert [r["k"] for r in scored] == [1, 2]
+    assert [r["k"] for r in scored] == [1, 2] and len(keys) == 1
 
 
 def test_validation_of_a_table_of_pairs(spark, root, capsys):
