@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import deque
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -28,7 +28,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset("head script style noscript template title svg math iframe object canvas audio video select button textarea option datalist".split())
+HIDDEN = frozenset("head script style noscript template title svg iframe select button textarea option datalist".split())
 PLAIN = frozenset("article main section body html".split())
 AWAY = frozenset("nav aside footer form menu dialog search".split())
 # Names of classes, ids and roles by which pages mark what is not the article.
@@ -47,86 +47,126 @@ SCALE = 1000
 @dataclass
 class Block:
     text: str
-    chain: tuple[int, ...]  # numbers of the open block elements, outermost first
+    element: int  # number of the innermost open block element, 0 for none
     links: float  # share of the characters that are in links
     home: bool
     away: bool
     heading: bool
 
 
+# What an open element may be, besides its tag; the reader counts how many are open of each.
+HIDES, IS_LINK, IS_HOME, IS_AWAY, IS_BLOCK = 1, 2, 4, 8, 16
+
+
 class _Reader(HTMLParser):
+    """Reads a page in time linear in its length: open elements are found by tag and counted,
+    and the chain of a block is a number in a tree of block elements."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        # name, number, whether the article may be in it, whether it is set apart
-        self.open: list[tuple[str, int, bool, bool]] = []
+        self.open: list[tuple[str, int]] = []  # tag and flags, outermost first
+        self.places: defaultdict[str, list[int]] = defaultdict(list)  # in ``open``, of each tag
+        self.count = dict.fromkeys((HIDES, IS_LINK, IS_HOME, IS_AWAY, IS_BLOCK), 0)
+        # The tree of block elements; 0 is the page.
+        self.parent, self.depth, self.inner = [0], [0], 0
         self.blocks: list[Block] = []
         self.parts: list[tuple[str, bool]] = []
-        self.count = self.hidden = 0
 
     def flush(self) -> None:
         text = " ".join("".join(p for p, _ in self.parts).split())
         if text:
             linked = sum(len(p.strip()) for p, link in self.parts if link)
             visible = sum(len(p.strip()) for p, _ in self.parts)
-            chain = tuple(n for name, n, _, _ in self.open if name in BLOCKS)
-            heading = any(re.fullmatch("h[1-6]", e[0]) for e in self.open[-3:])
+            heading = any(re.fullmatch("h[1-6]", tag) for tag, _ in self.open[-3:])
             # What is set apart inside the article stays so; an article set apart is none.
-            self.blocks.append(Block(text, chain, linked / max(1, visible), any(e[2] for e in self.open), any(e[3] for e in self.open), heading))
+            self.blocks.append(Block(text, self.inner, linked / max(1, visible), self.count[IS_HOME] > 0, self.count[IS_AWAY] > 0, heading))
         self.parts = []
 
+    def _push(self, tag: str, flags: int) -> None:
+        self.places[tag].append(len(self.open))
+        self.open.append((tag, flags))
+        for flag in self.count:
+            self.count[flag] += bool(flags & flag)
+        if flags & IS_BLOCK:
+            self.parent.append(self.inner)
+            self.depth.append(self.depth[self.inner] + 1)
+            self.inner = len(self.parent) - 1
+
+    def _pop(self) -> None:
+        tag, flags = self.open.pop()
+        self.places[tag].pop()
+        for flag in self.count:
+            self.count[flag] -= bool(flags & flag)
+        if flags & IS_BLOCK:
+            self.inner = self.parent[self.inner]
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in VOID and tag != "hr":
             self.parts.append((" ", False))
             return
         if tag in BLOCKS:
             self.flush()
-            self._close("p", {"article", "body", "div", "li", "td", "section", "blockquote", "aside", "main"})
+            self._close("p", ("article", "body", "div", "li", "td", "section", "blockquote", "aside", "main"))
             if tag in ("li", "dt", "dd", "tr"):
-                self._close(tag, {"ul", "ol", "dl", "table", "menu"})
+                self._close(tag, ("ul", "ol", "dl", "table", "menu"))
         elif tag in ("td", "th"):
             self.parts.append((" ", False))
         if tag == "hr":
             return
         names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower()
-        apart = tag in AWAY or (tag == "header" and not any(e[0] == "article" for e in self.open))
+        apart = tag in AWAY or (tag == "header" and not self.places["article"])
         if tag not in PLAIN or not HOME_NAMES.search(names):
             apart = apart or (tag not in ("html", "body") and bool(AWAY_NAMES.search(names)))
-        self.count += 1
-        self.open.append((tag, self.count, tag in ("article", "main") or bool(HOME_NAMES.search(names)), apart))
-        self.hidden += tag in HIDDEN
+        home = tag in ("article", "main") or bool(HOME_NAMES.search(names))
+        self._push(tag, HIDES * (tag in HIDDEN) + IS_LINK * (tag == "a") + IS_HOME * home + IS_AWAY * apart + IS_BLOCK * (tag in BLOCKS))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
             self.handle_endtag(tag)
 
-    def _close(self, tag: str, fence: set[str]) -> None:
+    def _close(self, tag: str, fence: tuple[str, ...] = ()) -> None:
         """Ends the innermost ``tag`` unless a ``fence`` element is open inside it."""
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self.hidden -= sum(e[0] in HIDDEN for e in self.open[i:])
-                del self.open[i:]
-                return
-            if self.open[i][0] in fence:
-                return
+        at = self.places[tag][-1] if self.places[tag] else -1
+        if at > max((self.places[f][-1] for f in fence if self.places[f]), default=-1):
+            while len(self.open) > at:
+                self._pop()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
-        if any(e[0] == tag for e in self.open):
-            self._close(tag, set())
+        self._close(tag)
 
     def handle_data(self, data: str) -> None:
-        if not self.hidden:
-            self.parts.append((data, any(e[0] == "a" for e in self.open)))
+        if not self.count[HIDES]:
+            self.parts.append((data, self.count[IS_LINK] > 0))
+
+
+@dataclass
+class Page:
+    """Blocks of a page and the tree of block elements that they are in."""
+
+    blocks: list[Block]
+    parent: list[int]
+    depth: list[int]
+
+    def shared(self, a: int, b: int) -> int:
+        """Number of block elements around both elements. Between blocks that follow each other
+        the way through the tree is not longer than the tags between them."""
+        while a != b:
+            if self.depth[a] >= self.depth[b]:
+                a = self.parent[a]
+            else:
+                b = self.parent[b]
+        return self.depth[a]
 
 
-def read_blocks(html: str) -> list[Block]:
+def read_page(html: str) -> Page:
     reader = _Reader()
     reader.feed(html)
     reader.close()
     reader.flush()
-    return reader.blocks
+    return Page(reader.blocks, reader.parent, reader.depth)
 
 
 def evidence(block: Block) -> float:
@@ -198,27 +238,29 @@ def min_cut(n: int, source: list[int], sink: list[int], edges: list[tuple[int, i
                 at[a] += 1
 
 
-def label(blocks: list[Block]) -> list[bool]:
+def label(page: Page) -> list[bool]:
     """Content or not, for all blocks of a page at once."""
+    blocks, depth = page.blocks, page.depth
     n = len(blocks)
     cost = lambda odds: round(SCALE * (odds if odds > 30 else math.log1p(math.exp(odds))))
     odds = [evidence(b) for b in blocks]
     containers: dict[int, int] = {}
     edges = []
     for i, b in enumerate(blocks):
-        if len(b.chain) > 1:
-            edges.append((i, containers.setdefault(b.chain[-2], n + len(containers)), round(SCALE * CONTAINER)))
+        if depth[b.element] > 1:
+            edges.append((i, containers.setdefault(page.parent[b.element], n + len(containers)), round(SCALE * CONTAINER)))
         if i:
-            shared = sum(x == y for x, y in zip(b.chain, blocks[i - 1].chain))
-            steps = max(len(b.chain), len(blocks[i - 1].chain)) - shared
-            edges.append((i - 1, i, round(SCALE * NEXT / 2 ** max(0, steps - 1))))
+            before = blocks[i - 1].element
+            steps = max(depth[b.element], depth[before]) - page.shared(b.element, before)
+            # Beyond 60 steps the capacity rounds to 0 anyway.
+            edges.append((i - 1, i, round(SCALE * NEXT / 2 ** min(60, max(0, steps - 1)))))
     free = [0] * len(containers)
     return min_cut(n + len(free), [cost(x) for x in odds] + free, [cost(-x) for x in odds] + free, edges)[:n]
 
 
 def main_text(html: str) -> str:
-    blocks = read_blocks(html)
-    return "\n".join(b.text for b, keep in zip(blocks, label(blocks)) if keep)
+    page = read_page(html)
+    return "\n".join(b.text for b, keep in zip(page.blocks, label(page)) if keep)
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -30,9 +30,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 LENGTH = 2048
 END_ID = 0
 CELL_ROWS = 8_000
-# Bytes of units and ids that a worker keeps during a partition; emptied when full.
-MEMO_BYTES = 24 << 20
-ENTRY_BYTES = 200  # of an entry besides its characters and ids
+# Characters of a text encoded at a time.
+TEXT_SLICE = 1 << 18
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 
 
@@ -50,15 +49,11 @@ class Capacity:
     rule: str = "norm"
 
 
-class UnitMemo(dict):
-    """Packed ids of text units. Unit ``w`` stands for a space and ``w``: the tokenizer always
-    splits at a space between two characters that are no white space, so the ids of a text are
-    those of its units. Units are encoded by tiktoken from the vocabulary of the given
-    ``tokenizers`` file, whose ids equal its ranks: the same ids in a third of the time."""
+class Vocabulary:
+    """Ids of texts by a ``tokenizers`` file. Its merges are applied by tiktoken, whose ids equal
+    the file's ranks: the same ids in a fraction of the time."""
 
     def __init__(self, path: str):
-        super().__init__()
-        self.held = 0
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
         # Ids of the added tokens by their names; at one place the longest name counts.
@@ -75,25 +70,11 @@ class UnitMemo(dict):
     def encode(self, text: str) -> bytes:
         return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
 
-    def __missing__(self, unit: str) -> bytes:
-        ids = self.encode(" " + unit)
-        if len(unit) <= 64:
-            self.held += len(unit) + len(ids) + ENTRY_BYTES
-            if self.held > MEMO_BYTES:
-                self.release()
-            self[unit] = ids
-        return ids
 
-    def release(self) -> None:
-        self.clear()
-        self.held = 0
-
-
-# The split pattern of the byte-level tokenizer, and white space that the quick
-# split at single spaces does not foresee.
+# Fixed value: the split pattern of the byte-level tokenizer.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-ODD_BYTES = b"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
-ODD_RUNS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+# The tokenizer always splits before a space between two characters that are no white space.
+SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 def _visible_bytes() -> dict[str, int]:
@@ -105,54 +86,47 @@ def _visible_bytes() -> dict[str, int]:
 
 
 @lru_cache(maxsize=1)
-def _memo(path: str) -> UnitMemo:
-    return UnitMemo(path)
-
-
-def encode(text: str, memo: UnitMemo) -> bytes:
-    """Ids of ``text`` without added tokens as little-endian 32-bit numbers."""
-    parts = text.split(" ")
-    raw = text.encode()
-    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or len(raw.translate(None, ODD_BYTES)) < len(raw) or any(x in raw for x in ODD_RUNS):
-        units = parts[:1]
-        for part in parts[1:]:  # a space beside other white space stays inside its unit
-            if part and units[-1] and not part[0].isspace() and not units[-1][-1].isspace():
-                units.append(part)
-            else:
-                units[-1] += " " + part
-        parts = units
-    return memo.encode(parts[0]) + b"".join(map(memo.__getitem__, parts[1:]))
+def _vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
+def encode(text: str, vocabulary: Vocabulary, size: int = TEXT_SLICE) -> bytes:
+    """Ids of ``text`` without added tokens as little-endian 32-bit numbers. A long text is
+    encoded in slices of about ``size`` characters, which bounds the ids held as Python numbers."""
+    out, low = [], 0
+    while len(text) - low > size and (cut := SAFE_CUT.search(text, low + size)):
+        out.append(vocabulary.encode(text[low : cut.start()]))
+        low = cut.start()
+    return b"".join([*out, vocabulary.encode(text[low:])])
 
 
-def encode_document(text: str, memo: UnitMemo) -> bytes:
+def encode_document(text: str, vocabulary: Vocabulary) -> bytes:
     """Ids of ``text``; names of added tokens split it first."""
-    if memo.names is None:
-        return encode(text, memo)
+    if vocabulary.names is None:
+        return encode(text, vocabulary)
     out, done = [], 0
-    for found in memo.names.finditer(text):
-        out += [encode(text[done : found.start()], memo), memo.named[found.group()].to_bytes(4, "little")]
+    for found in vocabulary.names.finditer(text):
+        out += [encode(text[done : found.start()], vocabulary), vocabulary.named[found.group()].to_bytes(4, "little")]
         done = found.end()
-    return b"".join([*out, encode(text[done:], memo)])
+    return b"".join([*out, encode(text[done:], vocabulary)])
 
 
 def tokenize(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """Pieces of at most ``length`` ids; ``ids`` holds little-endian 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _memo(tokenizer)
+        vocabulary = _vocabulary(tokenizer)
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
                 out = []
                 for name, content in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = encode_document(content or "", memo) + END_ID.to_bytes(4, "little")
+                    ids = encode_document(content or "", vocabulary) + END_ID.to_bytes(4, "little")
                     n = len(ids) // 4
                     cuts = [0, *range((n - 1) % length + 1, n + 1, length)]
                     out += [(name, i, a, b - a, ids[4 * a : 4 * b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "piece", "start", "length", "ids"])
-        # Workers serve other stages after this one; only the vocabulary stays.
-        memo.release()
 
     return docs.select(F.col(doc_id).cast("bigint"), F.col(text).cast("string")).mapInArrow(run, PIECES)
 

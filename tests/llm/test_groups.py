@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -104,13 +105,22 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 def test_ids_are_those_of_the_tokenizer(spark):
     tokenizer = Tokenizer.from_file(PATH)
     tokenizer.encode_special_tokens = True
-    memo = packing.UnitMemo(PATH)
+    vocabulary = packing.Vocabulary(PATH)
     rng = random.Random(3)
     parts = [" ", "\n", "\t", "a", "é", "'s", "12", "!", "\x1d", "\x85", " ", "日", "<|endoftext|>", "word "]
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(1500)]
     texts += [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
     for t in texts:
-        assert packing.encode(t, memo) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        expected = np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        assert packing.encode(t, vocabulary) == expected
+        for size in (1, 7, 40):  # a text cut into slices has the same ids
+            assert packing.encode(t, vocabulary, size) == expected
+
+
+@pytest.mark.parametrize("text", ["ab " * 400_000, "a" * 300_000, " " * 300_000, "\n" * 300_000, "7" * 300_000, "-" * 300_000, "日" * 300_000])
+def test_ids_of_very_long_texts(text):
+    got = packing.encode(text, packing.Vocabulary(PATH))
+    assert got == np.array(Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_names_of_added_tokens_are_their_ids(make):
@@ -261,3 +271,16 @@ def test_pipeline(spark):
     check_packing(rows, packing.LENGTH)
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in kept[-1].collect()}
     assert all(s(spark, docs.limit(0), sf).count() == 0 for _, s in corpus_pipeline.STAGES)
+
+
+@pytest.mark.parametrize("html", ["<div>x " * 60_000, "<b>x" * 60_000, "<b><p>x" * 40_000, "<div>" * 60_000 + "x</div>" * 60_000, "<ul><li>w " * 40_000])
+def test_pages_nested_deep_or_never_closed_are_read_in_linear_time(html):
+    began = time.process_time()
+    html_text.main_text(html)
+    assert time.process_time() - began < 5
+
+
+def test_formulas_and_fallback_texts_stay_inline():
+    words = "some words of an article that are many enough to be kept by the cut "
+    page = f"<article><p>{words}<math><mi>x</mi></math> and <video>fallback</video> end</p><p>{words}</p></article>"
+    assert html_text.main_text(page) == f"{words}x and fallback end\n{words.strip()}"
