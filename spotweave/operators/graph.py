@@ -6,10 +6,9 @@ write to shared storage.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from spotweave.operators import components
 from spotweave.operators.knn import knn_join
 from spotweave.session import cut_lineage
 
@@ -22,14 +21,7 @@ TOLERANCE = 1e-9
 
 def principal_components(vectors: DataFrame, limit: int = MAX_COMPONENTS) -> DataFrame:
     """``(obs_id, vec)`` in min(limit, rows - 1, columns - 1) components."""
-    first = vectors.select(F.size("vec").alias("d")).first()
-    n, width = vectors.count(), first["d"] if first else 0
-    size = min(limit, n - 1, width - 1)
-    if size < 1:
-        raise ValueError(f"{n} rows x {width} columns are too few for components")
-    data = vectors.select("obs_id", array_to_vector("vec").alias("v"))
-    model = PCA(k=size, inputCol="v", outputCol="w").fit(data)
-    return model.transform(data).select("obs_id", vector_to_array("w").alias("vec"))
+    return components.principal_components(vectors, limit)
 
 
 def neighbour_edges(vectors: DataFrame, n_neighbours: int = GRAPH_NEIGHBOURS, metric: str = "euclidean") -> DataFrame:
