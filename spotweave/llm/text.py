@@ -7,6 +7,7 @@ Hashes are 64 bits wide: two different words share one with probability 2**-64.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -135,8 +136,18 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Hands memory that this worker has freed back to the system. A worker serves one stage after
+    another, and the allocators keep what the largest of them needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def chunks(batches, column: str, size: int = CHUNK_BYTES, lower: bool = False) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches that hold about ``size`` bytes of text (one text at least)."""
+    give_back()
     for batch in batches:
         texts = text_bytes(batch.column(column))
         if lower:
@@ -149,6 +160,7 @@ def chunks(batches, column: str, size: int = CHUNK_BYTES, lower: bool = False) -
             total += len(t)
         if low < len(texts):
             yield batch.slice(low), texts[low:]
+    give_back()
 
 
 def free_name(df: DataFrame, base: str) -> str:
