@@ -2,8 +2,8 @@
 
 The covariance is only ever multiplied with a few vectors: a pass over the rows gives its product
 with a block of ``BLOCK`` vectors, tasks add up their share, and the shares meet in two rounds of
-sums by feature range. The driver holds features x ``BLOCK`` numbers a pass, never features x
-features. The rows are centred implicitly. The iteration ends when every component asked for is an
+sums by feature range. A pass adds two blocks of features x ``BLOCK``
+numbers at the driver, kept until the end; there are at most ``MAX_PASSES`` passes. The rows are centred implicitly. The iteration ends when every component asked for is an
 eigenvector up to ``TOLERANCE`` of the largest eigenvalue, or when the vectors span all features.
 """
 
