@@ -56,6 +56,7 @@ def contact_counts(graph: DataFrame, start: DataFrame) -> DataFrame:
 
 def _modularity(pairs: DataFrame, resolution: float = 1.0) -> DataFrame:
     """``(k, modularity)`` from ``(k, s, t, e)`` edge counts; NULL without an edge."""
+    pairs = cut_lineage(pairs)  # read twice; behind it lies the search of the neighbours
     m = pairs.groupBy("k").agg(F.sum("e").cast("double").alias("m"))
     ends = pairs.select(
         "k",
@@ -208,7 +209,7 @@ def communities(
     the nodes of the next level, until nothing moves and nothing merges. Deterministic; labels are not those of another
     implementation. ``vertices(obs_id)`` adds rows without an edge.
     """
-    graph = simple_graph(edges)
+    graph = cut_lineage(simple_graph(edges))
     both = graph.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
         graph.select(F.col("b").alias("u"), F.col("a").alias("v"))
     )

@@ -176,7 +176,7 @@ def onehot_per_row(spark: SparkSession, sf: str) -> DataFrame:
 )
 def onehot_summary(spark: SparkSession, sf: str) -> DataFrame:
     rows = quality.onehot_per_row(Vectors(spark, sf).vote()).withColumn("max_prob", F.round("max_prob", 9))
-    out = quality.onehot_summary(rows)
+    out = quality.onehot_summary(cut_lineage(rows))  # read by the means and by the medians
     plain = ("k", "n_rows", "n_cols")
     return out.select(*plain, *[r6(c).alias(c) for c in out.columns if c not in plain])
 
@@ -195,7 +195,7 @@ def onehot_summary(spark: SparkSession, sf: str) -> DataFrame:
 )
 def max_prob_histogram(spark: SparkSession, sf: str) -> DataFrame:
     rows = quality.onehot_per_row(Vectors(spark, sf).vote()).withColumn("max_prob", F.round("max_prob", 9))
-    out = quality.auto_histogram(rows, ["k"], "max_prob")
+    out = quality.auto_histogram(cut_lineage(rows), ["k"], "max_prob")  # read by the widths and by the counts
     return out.select("k", r6("low").alias("low"), r6("width").alias("width"), "n")
 
 
@@ -212,7 +212,7 @@ def max_prob_histogram(spark: SparkSession, sf: str) -> DataFrame:
 )
 def confidence_summary(spark: SparkSession, sf: str) -> DataFrame:
     conf = quality.entropy_confidence(Vectors(spark, sf).vote()).withColumn("confidence", F.round("confidence", 9))
-    out = quality.confidence_summary(conf)
+    out = quality.confidence_summary(cut_lineage(conf))  # read by the means and by the median
     return out.select("k", "n", *[r6(c).alias(c) for c in out.columns if c not in ("k", "n")])
 
 
@@ -533,9 +533,10 @@ define(
 
 def supplier_vote(p: TablePair) -> DataFrame:
     """Adaptive-neighbour mapping of the suppliers at every rule cut."""
-    spots, cells = p.vectors()
+    # Read several times by both searches; the tables behind them are far larger.
+    spots, cells = (cut_lineage(v) for v in p.vectors())
     cells = cells.join(p.start.select("obs_id"), "obs_id", "left_semi")
-    start = p.start.select("obs_id", "c")
+    start = cut_lineage(p.start.select("obs_id", "c"))
     grid = wann.reliability_grid(cells.count())
     near = knn.knn_join(cells, cells, grid[-1], self_join=True)
     found = wann.reliability(near, start, p.rule_labels, grid)
