@@ -1,15 +1,17 @@
 """Graphs over matrix rows: neighbour graph, modularity, community search.
 
-Edges are DataFrames; iterations are DataFrame joins whose lineage is cut by a
-write to shared storage.
+Edges are DataFrames; iterations over them are DataFrame joins whose lineage is cut by a
+write to shared storage, but for the moves between communities (see ``moves``).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from spotweave.functions.indexing import ordered_index
 from spotweave.operators import components
 from spotweave.operators.knn import knn_join
+from spotweave.operators.moves import local_moves
 from spotweave.session import cut_lineage
 
 MAX_COMPONENTS = 30
@@ -108,68 +110,6 @@ def modularity_of_labels(graph: DataFrame, assigned: DataFrame) -> DataFrame:
     return _modularity(pairs)
 
 
-def _local_moves(edges: DataFrame, nodes: DataFrame, resolution: float, total: float, tolerance: float = TOLERANCE) -> DataFrame:
-    """``(v, label)`` after moving nodes to the neighbouring community with the best
-    modularity gain, until no node would gain more than ``tolerance`` by a move.
-
-    ``edges(u, v, w)`` holds both directions without loops, ``nodes(v, deg)`` the
-    weighted degrees. A round moves a share of the nodes picked by hash, at first a half and
-    later fewer, so that neighbours which keep swapping come apart.
-    """
-    labels = nodes.select("v", F.col("v").alias("label"), "deg")
-    step = 0
-    while True:
-        volume = labels.groupBy("label").agg(F.sum("deg").alias("vol"))
-        toward = (
-            edges.join(labels.select(F.col("v").alias("u"), F.col("label").alias("near")), "u")
-            .groupBy("v", "near")
-            .agg(F.sum("w").alias("w"))
-        )
-        here = labels.select("v", "label", "deg")
-        options = (
-            here.join(toward, "v")
-            .join(volume.withColumnRenamed("label", "near"), "near")
-            .withColumn("own", F.col("near") == F.col("label"))
-            # Gain of belonging to `near`, with the node itself taken out of it.
-            .withColumn(
-                "gain",
-                F.col("w")
-                - F.lit(resolution)
-                * F.col("deg")
-                * (F.col("vol") - F.when(F.col("own"), F.col("deg")).otherwise(F.lit(0.0)))
-                / F.lit(2.0 * total),
-            )
-        )
-        best = options.groupBy("v").agg(
-            F.max_by("near", F.struct(F.round("gain", 9), -F.xxhash64("near"))).alias("to"),
-            F.max("gain").alias("gain"),
-            F.max(F.when(F.col("own"), F.col("gain"))).alias("stay"),
-        )
-        # Alone in its community a node has no edge to it; it gains 0 by staying.
-        mine = volume.withColumnRenamed("vol", "own_vol")
-        moved = (
-            here.join(mine, "label")
-            .join(best, "v", "left")
-            .withColumn(
-                "stay_gain",
-                F.coalesce(
-                    "stay",
-                    -F.lit(resolution) * F.col("deg") * (F.col("own_vol") - F.col("deg")) / F.lit(2.0 * total),
-                ),
-            )
-            .withColumn("turn", F.pmod(F.xxhash64("v", F.lit(step)), F.lit(2 + step // 12)) == 0)
-            .withColumn("better", F.coalesce(F.col("gain") > F.col("stay_gain") + tolerance, F.lit(False)))
-            .select("v", "deg", F.when(F.col("turn") & F.col("better"), F.col("to")).otherwise(F.col("label")).alias("new"), "better")
-        )
-        # A round reads the last labels several times; without a cut the plan would
-        # grow by that factor each round.
-        saved = cut_lineage(moved)
-        labels = saved.select("v", F.col("new").alias("label"), "deg")
-        if saved.where("better").isEmpty():
-            return labels.select("v", "label")
-        step += 1
-
-
 def _connected(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Splits communities that fell apart: the smallest id reachable inside each."""
     inside = (
@@ -217,12 +157,19 @@ def communities(
     nodes = current.groupBy("v").agg(F.sum("w").alias("deg"))
     if vertices is not None:
         nodes = vertices.select(F.col("obs_id").alias("v")).distinct().join(nodes, "v", "left").na.fill(0.0, ["deg"])
-    nodes = cut_lineage(nodes)
+    # Numbers in the order of the ids stand for them from here on.
+    named = cut_lineage(ordered_index(nodes.where(F.col("v").isNotNull()), ["v"]))
     total = (current.agg(F.sum("w")).first()[0] or 0.0) / 2.0
-    member = nodes.select(F.col("v").alias("obs_id"), F.col("v").alias("c"))
+    member = named.select(F.col("i").alias("obs_id"), F.col("i").alias("c"))
     if total > 0:
+        nodes = named.select(F.col("i").alias("v"), "deg", F.xxhash64("v").alias("h"))
+        current = cut_lineage(
+            current.join(named.select(F.col("v").alias("u"), F.col("i").alias("iu")), "u")
+            .join(named.select("v", F.col("i").alias("iv")), "v")
+            .select(F.col("iu").alias("u"), F.col("iv").alias("v"), "w")
+        )
         while True:
-            moved = _local_moves(current, nodes, resolution, total, tolerance)
+            moved = local_moves(current, nodes, resolution, total, tolerance)
             joined = cut_lineage(_connected(current, moved))
             member = cut_lineage(
                 member.join(joined.select(F.col("v").alias("c"), "label"), "c").select(
@@ -230,8 +177,12 @@ def communities(
                 )
             )
             before = nodes.count()
+            # A community is named by one of its nodes, and has its hash.
             nodes = cut_lineage(
-                nodes.join(joined, "v").groupBy("label").agg(F.sum("deg").alias("deg")).withColumnRenamed("label", "v")
+                nodes.join(joined, "v")
+                .groupBy("label")
+                .agg(F.sum("deg").alias("deg"), F.max(F.when(F.col("v") == F.col("label"), F.col("h"))).alias("h"))
+                .withColumnRenamed("label", "v")
             )
             current = cut_lineage(
                 current.join(joined.select(F.col("v").alias("u"), F.col("label").alias("lu")), "u")
@@ -245,8 +196,9 @@ def communities(
     sizes = member.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
     # One row per community reaches this window.
     codes = sizes.withColumn("code", (F.row_number().over(W.orderBy(F.desc("n"), "c")) - 1).cast("int"))
+    member = member.join(named.select(F.col("i").alias("obs_id"), F.col("v").alias("name")), "obs_id")
     return member.join(codes, "c").select(
-        "obs_id", F.col("code").alias("c"), F.concat(F.lit("cluster_"), F.col("code")).alias("name")
+        F.col("name").alias("obs_id"), F.col("code").alias("c"), F.concat(F.lit("cluster_"), F.col("code")).alias("name")
     )
 
 
