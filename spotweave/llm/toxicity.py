@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from spotweave.llm.ngrams import HashArray, count_grams
-from spotweave.llm.text import ALNUM, chunks, free_name, hash_slices, hash_words, mix, take_words
+from spotweave.llm.text import ALNUM, byte_class, chunks, free_name, hash_slices, hash_words, mix, take_words
 from spotweave.session import cut_lineage
 
 SAMPLE_ROWS = 200_000
@@ -51,6 +51,13 @@ RUN = re.compile(rf"[a-z{SIGNS}]++")
 TRIGGER = re.compile(rf"[a-z][{SIGNS}]++[a-z]|[@$!1350*4][a-z]|[a-z][0134579@$]|([a-z])\1\1")
 # Single characters with white space between them, up to any closing punctuation.
 SPACED = re.compile(rf"(?<![^\W_])[a-z{SIGNS}](?:\s+[a-z{SIGNS}]){{2,}}(?=(?:[^\w\s]|_)*(?:\s|\Z))")
+# The same by bytes, for many texts at once.
+LETTER = byte_class(lambda b: 97 <= b <= 122)
+SIGN = byte_class(lambda b: chr(b) in LEET or chr(b) in "._-~")
+BEFORE_LETTER = byte_class(lambda b: chr(b) in "@$!1350*4")
+AFTER_LETTER = byte_class(lambda b: chr(b) in "0134579@$")
+LETTER_OR_DIGIT = byte_class(lambda b: b < 128 and chr(b).isalnum())
+MAYBE_SPACE = byte_class(lambda b: b >= 128 or chr(b).isspace())
 EDGES = "!|+(*._-~"
 # Known words, their longest length, and the share of words that are not known.
 LEXICON = 100_000
@@ -160,16 +167,47 @@ def _spelling(word: str, log: list) -> float:
     return out
 
 
-def disguised(text: str) -> Iterator[str]:
+def suspects(texts: list[bytes]) -> list[list[tuple[int, int]]]:
+    """Per lower-case text the runs, as places of characters, that ``disguised`` has to look at: all
+    that are disguised and all whose last character may begin spaced ones, in order."""
+    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    at = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(t) + 1 for t in texts], out=at[1:])
+    letter, sign = LETTER[raw], SIGN[raw]
+    edges = np.flatnonzero(np.diff((letter | sign).view(np.int8), prepend=np.int8(0)))
+    begin, end = edges[0::2], edges[1::2]  # a line end is behind the last run
+    pairs = (BEFORE_LETTER[raw[:-1]] & letter[1:]) | (letter[:-1] & AFTER_LETTER[raw[1:]])
+    same = raw[1:] == raw[:-1]
+    thrice = letter[2:] & same[1:] & same[:-1]
+    signs = np.flatnonzero(np.diff(sign.view(np.int8), prepend=np.int8(0)))
+    inside = signs[0::2][letter[signs[0::2] - 1] & letter[signs[1::2]]]
+    places = np.concatenate([np.flatnonzero(pairs), np.flatnonzero(thrice), inside])
+    wanted = np.zeros(len(begin), bool)
+    wanted[np.searchsorted(begin, places, "right") - 1] = True
+    # Spaced characters: the next run is a single one, and no letter or digit is before the last.
+    single = np.append(end[1:] - begin[1:] == 1, False)[: len(begin)]
+    wanted |= single & MAYBE_SPACE[raw[end]] & ~LETTER_OR_DIGIT[raw[end - 2]]
+    begin, end = begin[wanted], end[wanted]
+    text = np.searchsorted(at, begin, "right") - 1
+    # Bytes to characters: those that continue one are not counted.
+    more = np.flatnonzero((raw & 0xC0) == 0x80)
+    skipped = np.searchsorted(more, begin) - np.searchsorted(more, at)[text]
+    low = (begin - at[text] - skipped).tolist()
+    high = (end - at[text] - skipped).tolist()
+    spans = list(zip(low, high))
+    first = np.searchsorted(text, np.arange(len(texts) + 1))
+    return [spans[a:b] for a, b in zip(first[:-1], first[1:])]
+
+
+def disguised(text: str, runs: list[tuple[int, int]] | None = None) -> Iterator[str]:
     """Disguised runs of a lower-case text, and single characters with white space between them. Every
-    run is read a bounded number of times, however long it is."""
+    run is read a bounded number of times, however long it is. ``runs`` are its ``suspects``, if known."""
     done = 0
-    for run in RUN.finditer(text):
-        low, high = run.span()
+    for low, high in (run.span() for run in RUN.finditer(text)) if runs is None else runs:
         if low < done:  # inside the spaced characters before it
             continue
         if TRIGGER.search(text, low, high):
-            yield run.group()
+            yield text[low:high]
         # Only a run's last character can have white space behind it.
         elif found := SPACED.match(text, high - 1):
             done = found.end()
@@ -184,9 +222,9 @@ class Restorer:
         self.spaced = lru_cache(maxsize=10_000)(lambda chars: decode_spaced(chars, model))
         self.model = model
 
-    def words(self, text: str) -> list[str]:
+    def words(self, text: str, runs: list[tuple[int, int]] | None = None) -> list[str]:
         out = []
-        for token in disguised(text):
+        for token in disguised(text, runs):
             if len(single := token.split()) > 1:
                 chars = "".join(single).rstrip(EDGES).lstrip(EDGES[1:])
                 out += self.spaced(chars) if len(chars) <= 256 else decode_spaced(chars, self.model)
@@ -238,7 +276,11 @@ def features(texts: list[bytes], restorer: Restorer) -> tuple[np.ndarray, np.nda
     words = hash_words(texts, ALNUM)
     doc = np.repeat(np.arange(len(texts)), np.diff(words.first))
     own = _word_features(words)
-    extra = [restorer.words(t.decode("utf-8", "replace")) for t in texts]
+    extra = []
+    for t, runs in zip(texts, suspects(texts)):
+        text = t.decode("utf-8", "replace") if runs else ""
+        # Bytes that are no text move the places of the runs: then all runs are looked at.
+        extra.append(restorer.words(text, runs if "\ufffd" not in text else None))
     more = hash_words([" ".join(w).encode() for w in extra], ALNUM)
     extra_doc = np.repeat(np.arange(len(texts)), np.diff(more.first))
     return np.concatenate([own, _word_features(more)]), np.concatenate([doc, extra_doc]), np.diff(words.first)

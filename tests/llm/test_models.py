@@ -185,6 +185,21 @@ def test_plain_text_is_not_decoded(letters):
     assert toxicity.Restorer(letters).words("a plain book, 26.235.44.18 of%%% 4785380592391139 in%%% a$$$") == []
 
 
+def test_suspects_leave_out_only_plain_runs():
+    draw = random.Random(3)
+    for signs in ("aabbcde019@$!|+(*._-~  \t\n,;:\u00e9 \u00df \u65e5\u00a0%#", "ab1@. \u00e9"):
+        texts = ["".join(draw.choices(signs, k=draw.randint(0, 40))) for _ in range(2000)] + ["", "s t u p i d", "i.d.i.o.t"]
+        runs = toxicity.suspects([t.encode() for t in texts])
+        assert [list(toxicity.disguised(t, r)) for t, r in zip(texts, runs)] == [list(toxicity.disguised(t)) for t in texts]
+    assert toxicity.suspects([b"plain words, 12 ab", b"", b"an id1ot"]) == [[], [], [(3, 8)]]
+
+
+def test_disguise_behind_bytes_that_are_no_text(letters):
+    table, doc, _ = toxicity.features([b"plain", b"\xe9\x80 1d10t"], toxicity.Restorer(letters))
+    idiot = toxicity.features([b"idiot"], toxicity.Restorer(letters))[0][0]
+    assert any((row == idiot).all() for row in table[doc == 1])
+
+
 def test_toxicity(make, odd, spark):
     draw = random.Random(5)
     word = lambda: "".join(draw.choices("abcdefghilmnoprstu", k=6))
