@@ -27,7 +27,7 @@ from spotweave.llm.text import ALNUM, Words, chunks, hash_words
 from spotweave.session import cut_lineage
 
 WINDOW = 10
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 2 << 20
 SAMPLE = 8
 SLICE_BYTES = 32 << 20
 FOUND = "n_words bigint, spans array<struct<start: int, end: int>>, items array<string>"

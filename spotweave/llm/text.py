@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 # Text handled at a time inside a task: bounds the numpy arrays, whatever the batch is.
@@ -146,20 +147,24 @@ def give_back() -> None:
 
 
 def chunks(batches, column: str, size: int = CHUNK_BYTES, lower: bool = False) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches that hold about ``size`` bytes of text (one text at least)."""
+    """Slices of the batches that hold about ``size`` bytes of text (one text at least). Only the
+    texts of one slice are there as Python values."""
     give_back()
+
+    def cut(batch: pa.RecordBatch, low: int, high: int) -> tuple[pa.RecordBatch, list[bytes]]:
+        part = batch.slice(low, high - low)
+        texts = text_bytes(part.column(column))
+        return part, [t.lower() for t in texts] if lower else texts
+
     for batch in batches:
-        texts = text_bytes(batch.column(column))
-        if lower:
-            texts = [t.lower() for t in texts]
         low = total = 0
-        for i, t in enumerate(texts):
-            if total and total + len(t) > size:
-                yield batch.slice(low, i - low), texts[low:i]
+        for i, length in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+            if total and total + length > size:
+                yield cut(batch, low, i)
                 low, total = i, 0
-            total += len(t)
-        if low < len(texts):
-            yield batch.slice(low), texts[low:]
+            total += length
+        if low < batch.num_rows:
+            yield cut(batch, low, batch.num_rows)
     give_back()
 
 

@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
-from spotweave.llm import decontaminate, secret_scan, substring_dedup
+import pyarrow as pa
+from spotweave.llm import decontaminate, secret_scan, substring_dedup, text
 from spotweave.llm.text import ALNUM, NOT_SPACE, hash_words, mix, rolling
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -148,3 +150,29 @@ def test_query_digest(spark):
 
     row = next(r for r in QUERIES["op1_secret_scans"](spark, "/root/testdata/sf0.01").collect() if r["spans"])
     assert row["base_sha256"] == hashlib.sha256(row["spans"].encode()).hexdigest()
+
+
+def test_slices_are_cut_before_they_are_read(monkeypatch):
+    """Texts become Python values a slice at a time, however many a batch holds."""
+    texts = ["ab", None, "éé", "", "C" * 9, "d", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["i", "text"])
+    read = []
+    monkeypatch.setattr(text, "text_bytes", lambda column, plain=text.text_bytes: read.append(len(column)) or plain(column))
+    got = [(part.column("i").to_pylist(), own) for part, own in text.chunks([batch, batch.slice(0, 0)], "text", 6, lower=True)]
+    assert got == [([0, 1, 2, 3], [b"ab", b"", "éé".encode(), b""]), ([4], [b"c" * 9]), ([5, 6], [b"d", b""])]
+    assert read == [4, 1, 2]
+
+
+def test_a_shard_holds_little():
+    """Working memory of a task's shards: 10 million bytes of text, a benchmark word in ten."""
+    draw = random.Random(2)
+    needles = decontaminate.Needles([list(range(1, 11))], [["i"]])
+    needles.vocabulary = np.unique(hash_words([b" ".join(b"w%d" % i for i in range(100))], ALNUM).hashes)
+    needles.patterns = [np.arange(1, 11)]
+    texts = [" ".join(f"w{draw.randrange(1000)}" for _ in range(20_000)) for _ in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    tracemalloc.start()
+    rows = sum(part.num_rows for part in decontaminate._search(needles, iter([batch]), [], True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(texts) and peak < 80 << 20
