@@ -9,8 +9,9 @@ trie is sent to the tasks in shards of at most ``SHARD_BYTES``, split by the las
 bytes, however large it is; more shards mean more passes. ``adaptive_code_length``
 is the same model, learnt along one document.
 
-The word base is add-one smoothed unigram counts; its table is broadcast up to
-``WORDS_BYTES`` and joined beyond.
+The word base is add-one smoothed unigram counts; its table is sent likewise, in shards of at
+most ``WORDS_BYTES`` by hash. Of several passes the first writes the texts once and the others
+write a number and scores for each row, so disk does not grow with the passes times the texts.
 
 Defined results: a NULL text is empty (one end symbol, one end token); zero bytes count as 1;
 repeated rows each get a row; NULL ids are kept; other columns are ignored; without training
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from spotweave.llm.ngrams import FLUSH, HashArray, Tally, count_grams, grams, mask, roll_up
-from spotweave.llm.text import NOT_SPACE, chunks, hash_words
+from spotweave.llm.text import NOT_SPACE, chunks, free_name, hash_words
 from spotweave.session import cut_lineage
 
 DEPTH = 5
@@ -142,20 +143,25 @@ def shard_of(values: np.ndarray, shards: int) -> np.ndarray:
 
 
 class WordTable:
-    """Counts of hashed words; ``base`` sums add-one log10 probabilities of the tokens."""
+    """Counts of the hashed words of one shard; ``base_score`` sums add-one log10 probabilities of
+    the tokens that belong to it."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, kinds: int, shard: int = 0, shards: int = 1):
+        self.shard, self.shards = shard, shards
         self.index = HashArray(words.view(np.uint64))
         self.counts = np.append(counts, 0).astype(np.int32 if total < 1 << 31 else np.int64)
-        self.share = math.log10(total + len(words) + 1)
+        self.share = math.log10(total + kinds + 1)
 
     def score(self, texts: list[bytes]) -> dict[str, np.ndarray]:
         tokens, first = text_tokens(texts)
-        at = self.index.find(tokens)
+        mine = slice(None) if self.shards == 1 else np.flatnonzero(tokens.view(np.int64) % self.shards == self.shard)
+        at = self.index.find(tokens[mine])
+        held, known, base = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), np.int64), np.zeros(len(tokens))
+        held[mine], known[mine], base[mine] = 1, at >= 0, np.log10(self.counts[at] + 1.0) - self.share
         return {
-            "n_tokens": np.diff(np.append(first, len(tokens))),
-            "n_known": np.add.reduceat((at >= 0).astype(np.int64), first),
-            "base_score": np.add.reduceat(np.log10(self.counts[at] + 1.0) - self.share, first),
+            "n_tokens": np.add.reduceat(held, first),
+            "n_known": np.add.reduceat(known, first),
+            "base_score": np.add.reduceat(base, first),
         }
 
 
@@ -215,13 +221,11 @@ def trie_shards(nodes: DataFrame, depth: int = DEPTH, shard_bytes: int = SHARD_B
         yield Deferred(kind, *arrays, depth, i, shards, *more), i == shards - 1
 
 
-def apply_scorers(rows: DataFrame, scorers: list, columns: dict[str, str], add: bool = False, lower: bool = True, keep_text: bool = True) -> DataFrame:
-    """One pass: appends the scorers' columns, or adds to those that are there. Without
-    ``keep_text`` the texts do not travel back."""
-    rows = rows if add else rows.drop(*columns)
-    sent = [rows.sparkSession.sparkContext.broadcast(s) for s in scorers]
-    names = [f.name for f in rows.schema.fields] + ([] if add else list(columns))
-    names = [n for n in names if keep_text or n != "text"]
+def apply_scorers(rows: DataFrame, sent: list, columns: dict[str, str], lower: bool = True, keep_text: bool = True) -> DataFrame:
+    """One pass: appends the columns of the scorers that were broadcast. Without ``keep_text``
+    the texts do not travel back."""
+    rows = rows.drop(*columns)
+    names = [n for n in (*rows.columns, *columns) if keep_text or n != "text"]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields} | columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,56 +233,76 @@ def apply_scorers(rows: DataFrame, scorers: list, columns: dict[str, str], add:
             got: dict[str, np.ndarray] = {}
             for scorer in sent:
                 got |= scorer.value.get().score(texts)
-            if add:
-                got = {k: v + part.column(k).to_numpy() for k, v in got.items()}
             yield pa.RecordBatch.from_arrays([pa.array(got[k]) if k in got else part.column(k) for k in names], names=names)
 
     return rows.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in names))
 
 
-def score_documents(rows: DataFrame, nodes: DataFrame, depth: int = DEPTH, shard_bytes: int = SHARD_BYTES, more: list | None = None, columns: dict[str, str] | None = None, keep_text: bool = True) -> DataFrame:
-    """``rows`` (any columns, with ``text``) and ``score``, the log10 probability of each text.
-    ``more`` scorers with their ``columns`` join the first pass."""
-    for i, (trie, last) in enumerate(trie_shards(nodes, depth, shard_bytes)):
-        keep = keep_text or not last
-        if i == 0:
-            rows = apply_scorers(rows, [trie, *(more or [])], {"score": "double"} | (columns or {}), keep_text=keep)
-        else:
-            rows = apply_scorers(cut_lineage(rows), [trie], {"score": "double"}, add=True, keep_text=keep)
-    return rows
+def apply_passes(rows: DataFrame, passes: Iterator[tuple[list, dict[str, str], bool]], lower: bool = True, keep_text: bool = True) -> DataFrame:
+    """``rows`` with the columns of all passes' scorers; a column of several passes is their sum.
+    A pass is ``(scorers, columns, last)``. The first of several writes the texts with a number
+    for each row; the later ones write numbers and scores alone."""
+    context = rows.sparkSession.sparkContext
+    scorers, columns, last = next(passes)
+    sent = [context.broadcast(s) for s in scorers]
+    if last:
+        return apply_scorers(rows, sent, columns, lower, keep_text)
+    row, kinds = free_name(rows, "_row"), dict(columns)
+    first = cut_lineage(apply_scorers(rows.withColumn(row, F.monotonically_increasing_id()), sent, columns, lower))
+    parts = first.select(row, F.lit(0).alias("pass"), *columns)
+    for i, (scorers, columns, _) in enumerate(passes, 1):
+        for old in sent:  # what it made is written
+            old.destroy()
+        sent, kinds = [context.broadcast(s) for s in scorers], kinds | columns
+        scored = cut_lineage(apply_scorers(first.select(row, "text"), sent, columns, lower, keep_text=False))
+        parts = parts.unionByName(scored.withColumn("pass", F.lit(i)), allowMissingColumns=True)
+    for old in sent:
+        old.destroy()
+    # One narrow entry a pass, added in the order of the passes.
+    each = parts.groupBy(row).agg(F.array_sort(F.collect_list(F.struct("pass", *kinds))).alias("each"))
+    add = lambda c: F.aggregate(f"each.{c}", F.lit(0).cast(kinds[c]), lambda a, x: a + F.coalesce(x, F.lit(0).cast(kinds[c])))
+    sums = each.select(row, *(add(c).alias(c) for c in kinds))
+    others = [c for c in first.columns if c not in kinds and c != row and (keep_text or c != "text")]
+    return first.select(row, *others).join(sums, row).select(*others, *kinds)
+
+
+def score_documents(rows: DataFrame, nodes: DataFrame, depth: int = DEPTH, shard_bytes: int = SHARD_BYTES, keep_text: bool = True) -> DataFrame:
+    """``rows`` (any columns, with ``text``) and ``score``, the log10 probability of each text."""
+    passes = (([trie], {"score": "double"}, last) for trie, last in trie_shards(nodes, depth, shard_bytes))
+    return apply_passes(rows, passes, keep_text=keep_text)
 
 
 BASE = {"n_tokens": "bigint", "n_known": "bigint", "base_score": "double"}
 
 
-def score_with_base(rows: DataFrame, nodes: DataFrame, counts: DataFrame, words_bytes: int = WORDS_BYTES, **options) -> DataFrame:
-    """``rows`` with ``score`` and the word base ``n_tokens``, ``n_known`` and ``base_score``."""
+def word_shards(counts: DataFrame, words_bytes: int = WORDS_BYTES) -> Iterator[tuple[Deferred, bool]]:
+    """The word counts in tables of at most ``words_bytes``, split by hash, made one after the
+    other, and whether it is the last."""
     size = counts.agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total")).first()
-    if size["kinds"] * WORD_BYTES <= words_bytes:
-        words = Deferred(WordTable, *columns_of(counts.select("word", "n")), size["total"] or 0)
-        return score_documents(rows, nodes, more=[words], columns=BASE, **options)
-    options.pop("keep_text", None)
-    return joined_base(score_documents(rows, nodes, **options), counts, (size["total"] or 0) + size["kinds"] + 1)
-
-
-def joined_base(rows: DataFrame, counts: DataFrame, room: int) -> DataFrame:
-    """The word base by a join, for any number of words: ``room`` is N + V + 1."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in chunks(batches, "text", lower=True):
-            tokens, first = text_tokens(texts)
-            for i, (a, b) in enumerate(zip(first, np.append(first[1:], len(tokens)))):
-                words, k = np.unique(tokens[a:b], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column("_digest")[i].as_py()] * len(words), pa.string()), pa.array(words.view(np.int64)), pa.array(k)], names=["_digest", "word", "k"])
-
-    keyed = rows.drop(*BASE).withColumn("_digest", F.sha2(F.coalesce("text", F.lit("")), 256))
-    tokens = keyed.groupBy("_digest").agg(F.first("text").alias("text")).mapInArrow(run, "_digest string, word bigint, k bigint")
-    found = tokens.join(counts, "word", "left").groupBy("_digest").agg(
-        F.sum("k").alias("n_tokens"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("k") * (F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0)) - math.log10(room))).alias("base_score"),
-    )
-    return keyed.join(found, "_digest").drop("_digest")
+    shards = max(1, math.ceil(size["kinds"] / max(1, words_bytes // WORD_BYTES)))
+    for i in range(shards):
+        own = counts if shards == 1 else counts.where(F.pmod("word", F.lit(shards)) == i)
+        yield Deferred(WordTable, *columns_of(own.select("word", "n")), size["total"] or 0, size["kinds"], i, shards), i == shards - 1
+
+
+def score_with_base(rows: DataFrame, nodes: DataFrame, counts: DataFrame, words_bytes: int = WORDS_BYTES, depth: int = DEPTH, shard_bytes: int = SHARD_BYTES, keep_text: bool = True) -> DataFrame:
+    """``rows`` with ``score`` and the word base ``n_tokens``, ``n_known`` and ``base_score``. A pass
+    takes a shard of the trie and one of the words, as long as there are both."""
+
+    def passes() -> Iterator[tuple[list, dict[str, str], bool]]:
+        tries, words = trie_shards(nodes, depth, shard_bytes), word_shards(counts, words_bytes)
+        last_trie = last_words = False
+        while not (last_trie and last_words):
+            scorers, columns = [], {}
+            if not last_trie:
+                trie, last_trie = next(tries)
+                scorers, columns = [trie], {"score": "double"}
+            if not last_words:
+                table, last_words = next(words)
+                scorers, columns = [*scorers, table], columns | BASE
+            yield scorers, columns, last_trie and last_words
+
+    return apply_passes(rows, passes(), keep_text=keep_text)
 
 
 def train(rows: DataFrame, depth: int = DEPTH) -> DataFrame:

@@ -17,12 +17,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from spotweave.llm.ngrams import count_grams, roll_up
-from spotweave.llm.ppm import SHARD_BYTES, Nodes, apply_scorers, trie_shards
-from spotweave.llm.text import NOT_SPACE, byte_class, chunks, hash_slices, hash_words, mix, windows
+from spotweave.llm.ppm import SHARD_BYTES, Deferred, Nodes, apply_passes, trie_shards
+from spotweave.llm.text import NOT_SPACE, byte_class, hash_slices, hash_words, mix, windows
 from spotweave.session import BROADCAST_ROWS, cut_lineage
 
 ORDER = 5
@@ -32,7 +31,7 @@ REPEAT_PERCENT = 50
 SYMBOLS = byte_class(lambda b: b in b"#*$%&|<>")
 HEADS = byte_class(lambda b: b & 0xC0 != 0x80)
 LETTERS = byte_class(lambda b: b >= 0x80 or bytes([b]).isalnum())
-FORM = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lexical bigint"
+FORM = dict.fromkeys(["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lexical"], "bigint")
 
 
 def _again(keys: np.ndarray) -> np.ndarray:
@@ -136,19 +135,31 @@ def distinct_texts(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return marked.join(F.broadcast(again), "mark", "left_anti").select("key", "text").unionByName(once) if few else once
 
 
+class Form:
+    """``form`` as a scorer, for the first pass over the texts."""
+
+    score = staticmethod(form)
+
+
 def perplexities(rows: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``rows(key, digest, text, ...)`` with ``score``, the log10 probability of each text under the
-    model of its key (its language), which has learnt each digest once. Languages are scored one after the other, each over its own rows."""
+    """``rows(key, digest, text, ...)`` without the texts, with their ``form`` and ``score``, the log10 probability
+    of each under the model of its key (its language), which has learnt each digest once. Languages are scored one after the other, each over its own rows."""
     counts = cut_lineage(count_grams(distinct_texts(rows), order, lower=False, keyed=True))
     nodes = cut_lineage(roll_up(counts, order, distinct=True))
     cuts = discounts(nodes, order)
+
+    def passes(key: str) -> Iterator[tuple[list, dict[str, str], bool]]:
+        shards = trie_shards(nodes.where(F.col("key") == key), order - 1, shard_bytes, KneserNey, cuts[key])
+        for i, (model, last) in enumerate(shards):
+            yield [model] if i else [model, Deferred(Form)], {"score": "double"} | ({} if i else FORM), last
+
     out = None
     for key in sorted(cuts):
-        own = rows.where(F.col("key") == key)
-        for i, (model, _) in enumerate(trie_shards(nodes.where(F.col("key") == key), order - 1, shard_bytes, KneserNey, cuts[key])):
-            own = apply_scorers(own if i == 0 else cut_lineage(own), [model], {"score": "double"}, add=i > 0, lower=False)
+        own = apply_passes(rows.where(F.col("key") == key), passes(key), lower=False, keep_text=False)
         out = own if out is None else out.unionByName(own)
-    return out if out is not None else rows.withColumn("score", F.lit(0.0)).limit(0)
+    if out is None:
+        out = rows.drop("text").select("*", F.lit(0.0).alias("score"), *(F.lit(0).cast(kind).alias(c) for c, kind in FORM.items())).limit(0)
+    return out
 
 
 def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", spread: float = SPREAD) -> DataFrame:
@@ -157,14 +168,7 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("key"), F.col(text).cast("string").alias("text"))
     rows = rows.withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
 
-    held = ("doc_id", "key", "digest", "score")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in chunks(batches, "text"):
-            got = form(texts)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in held), *map(pa.array, got.values())], names=[*held, *got])
-
-    scored = perplexities(rows).mapInArrow(run, f"doc_id bigint, key string, digest binary, score double, {FORM}")
+    scored = perplexities(rows)
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT)
     scored = scored.withColumn("base_failed", failed).withColumn("log_perplexity", -F.col("score") / (F.col("n_lexical") + 1))
     scored = cut_lineage(scored.drop("score", "n_lexical"))

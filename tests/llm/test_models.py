@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from spotweave.llm import ppm, quality, toxicity
 from spotweave.llm.ngrams import HashArray, Tally, count_grams, grams, mask, roll_up
+from spotweave.session import cut_lineage
 
 rng = random.Random(2)
 DOCS = ["".join(rng.choices("abc é\n", k=rng.randint(0, 40))) for _ in range(40)]
@@ -83,6 +84,24 @@ def test_word_base(make, words_bytes):
         assert got[i]["base_score"] == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in tokens))
 
 
+def test_texts_are_written_once_however_many_passes(make, monkeypatch):
+    written = []
+    monkeypatch.setattr(ppm, "cut_lineage", lambda df: written.append(df.columns) or cut_lineage(df))
+    train, test = [*DOCS[:25], "a b B"], [*DOCS[25:], "a x", None, "", "b\tB a"]
+    rows, tests = make(list(enumerate(train))).select("text"), make(list(enumerate(test)))
+    counts, nodes = ppm.count_words(rows), ppm.train(rows, 3)
+    whole = ppm.score_with_base(tests, nodes, counts, depth=3)
+    want = {r["doc_id"]: r for r in whole.collect()}
+    written.clear()
+    shards = {"words_bytes": counts.count() * ppm.WORD_BYTES // 3, "shard_bytes": nodes.count() * ppm.NODE_BYTES // 2 + 1}
+    parted = ppm.score_with_base(tests, nodes, counts, depth=3, keep_text=False, **shards)
+    assert parted.columns == [c for c in whole.columns if c != "text"]
+    for r in parted.collect():
+        for c in ("score", "base_score", "n_tokens", "n_known"):
+            assert r[c] == pytest.approx(want[r["doc_id"]][c], rel=1e-6)
+    assert len(written) > 2 and sum("text" in c for c in written) == 1
+
+
 def test_tally_and_hash_array():
     keys = np.random.default_rng(1).integers(0, 50, 5000).astype(np.uint64)
     tally = Tally()
