@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spotweave.functions.indexing import ordered_index
-from spotweave.operators import coherence, spatial, wann
+from spotweave.operators import coherence, knn, spatial, wann
 from spotweave.operators.nulls import LabelShuffle, permute
 
 
@@ -127,3 +127,29 @@ def test_merge_coherence_draws_like_numpy(spark):
     assert rows[6, 0]["skipped_reason"] == coherence.FEW and rows[1, 0]["skipped_reason"] == coherence.NO_OTHERS
     summary = {r["k"]: r for r in coherence.coherence_summary(spark.createDataFrame(list(rows.values()))).collect()}
     assert summary[2]["n_tested_states"] == 2 and summary[6]["mean_cossim"] is None
+
+
+@pytest.mark.parametrize("most", [4_000_000, 0])
+def test_votes_of_equal_rows_are_worked_out_from_one_list(spark, monkeypatch, most):
+    monkeypatch.setattr(wann, "BROADCAST_ROWS", most)
+    rng = np.random.default_rng(12)
+    # Groups of copies larger and smaller than a list, single rows and a row without neighbours' labels.
+    points = np.vstack([np.repeat(rng.poisson(2.0, size=(3, 5)), 70, axis=0), np.repeat(rng.poisson(2.0, size=(20, 5)), 3, axis=0), rng.poisson(2.0, size=(40, 5))]).astype(float)
+    rows = [(int(i), points[i].tolist(), int(rng.integers(0, 4))) for i in rng.permutation(len(points))]
+    cells = spark.createDataFrame(rows, "obs_id bigint, vec array<double>, c int").persist()
+    spots = spark.createDataFrame([(i, (points[i * 7] + (i % 3 == 0)).tolist()) for i in range(30)] + [(100 + i, points[0].tolist()) for i in range(9)], "obs_id bigint, vec array<double>")
+    start = cells.where("obs_id % 11 <> 5").select("obs_id", "c")
+    labels = {k: np.arange(4) % k for k in (1, 2, 3, 4)}
+    grid = wann.reliability_grid(cells.count())
+    plain = wann.reliability(knn.knn_join(cells, cells, grid[-1], self_join=True), start, labels, grid).persist()
+    groups, top, n = knn.knn_groups(cells, cells, grid[-1], self_join=True)
+    assert n == cells.select("vec").distinct().count()
+    assert top.count() == n * (grid[-1] + 1) < cells.count() * grid[-1]
+    got = wann.reliability(top, start, labels, grid, (groups, n))
+    flat = lambda df: sorted((r["obs_id"], r["c"], tuple(r["sizes"])) for r in df.collect())
+    assert flat(got) == flat(plain)
+    want = wann.adaptive_vote(knn.knn_join(spots, cells, grid[-1]), plain, labels, grid)
+    groups, top, n_spots = knn.knn_groups(spots, cells, grid[-1])
+    voted = wann.adaptive_vote(top, plain, labels, grid, (groups, n_spots))
+    rounded = lambda df: sorted((r["k"], r["obs_id"], r["state"], round(r["p"], 9)) for r in df.collect())
+    assert rounded(voted) == rounded(want) and voted.select("obs_id").distinct().count() == 39
